@@ -106,3 +106,61 @@ class Spans:
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[begin]) * self.inverse[begin]
         return mix(h + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word in ``data`` and the piece that it lies in; pieces are neighbours."""
+    origin, until = int(begin[0]), int(end[-1])
+    inside = ~_SPACE[data[origin:until]]
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[begin - origin] = True
+    edge[-1] = True
+    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1] | edge[1:-1]] if len(inside) else inside)
+    ends = np.flatnonzero(inside & (np.r_[~inside[1:], True] | edge[1:]) if len(inside) else inside) + 1
+    # empty pieces share a begin with the next one: the last of them holds the word
+    return starts + origin, ends + origin, np.searchsorted(begin, starts + origin, "right") - 1
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``pieces``, but a long text is cut between words and nothing is repeated."""
+    for i, j in runs(offsets, limit):
+        begin, stop = int(offsets[i]), int(offsets[j])
+        if stop == begin:
+            continue
+        if j - i > 1 or stop - begin <= limit:
+            yield np.arange(i, j), offsets[i:j], offsets[i + 1 : j + 1]
+            continue
+        while begin < stop:
+            cut = min(begin + limit, stop)
+            while cut < stop and not len(near := np.flatnonzero(_SPACE[data[cut : cut + limit]])):
+                cut = min(cut + limit, stop)
+            cut = cut if cut >= stop else cut + int(near[0])
+            yield np.array([i]), np.array([begin]), np.array([cut])
+            begin = cut
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and hash of each word with A-Z in lower case, in order; a row's words come in one go."""
+    held_rows, held = [], []
+    for rows, begin, end in word_pieces(data, offsets):
+        origin = int(begin[0])
+        first, last, piece = words(data, begin, end)
+        hashes = Spans(_LOWER[data[origin : int(end[-1])]])(first - origin, last - origin)
+        if held and held_rows[-1][-1:] != rows[:1]:
+            yield np.concatenate(held_rows), np.concatenate(held)
+            held_rows, held = [], []
+        if len(rows) == 1:  # perhaps a piece of a long text
+            held_rows.append(np.full(len(hashes), rows[0]) if len(hashes) else np.zeros(0, np.int64))
+            held.append(hashes)
+            if not len(hashes):
+                held_rows.pop(), held.pop()
+            continue
+        yield rows[piece], hashes
+    if held:
+        yield np.concatenate(held_rows), np.concatenate(held)

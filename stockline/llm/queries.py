@@ -13,6 +13,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op8_suffix_dedup,)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_minhash, op8_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
