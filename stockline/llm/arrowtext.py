@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; temporary arrays are 8 to 16 times this.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
