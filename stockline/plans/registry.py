@@ -1,7 +1,10 @@
-"""Registered queries of the analytics operators and their SQL."""
+"""All registered queries of the analytics operators and their SQL."""
 
 from __future__ import annotations
 
+from . import call_queries, ledger_queries
+
 FLAGSHIP = "bill_reconciliation"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = {**call_queries.QUERIES, **ledger_queries.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
