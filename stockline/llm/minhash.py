@@ -8,12 +8,11 @@ r"""Operator 4: near duplicates by fast similarity sketching, banding and exact
 3. Documents with one set are one class, represented by its least doc_id. Representatives meet
    where all rows of a band agree. With 32 bands of 5 rows a pair at similarity 0.85 fails to meet
    with probability 1e-8, at 0.8 with 4e-6.
-4. Links are confirmed on the full sets. In round one each member of a bucket is compared with the
-   bucket's least member. Then, while a bucket holds several components, the members outside its
-   largest component are compared with all members of other components, at most ``centres`` of
-   them at a time, four times as many in each round, until no pair of different components is
-   left unchecked. Pairs inside a component are never made, so a group of n copies gives about
-   n pairs, and no link between components is lost.
+4. Links are confirmed on the full sets. Each member of a bucket is compared with the bucket's centre, the member
+   that meets most others. Where members of a centre are then in several components, those outside the largest one look for
+   partners by the prefix filter (``_candidates``), which loses no similar pair: both members of a bucket have its centre,
+   so a common order of their shingles. Pairs inside a component are never made, so a group of n copies
+   gives about n pairs, and no link between components is lost.
 5. Components: least label over links with pointer jumping; each step is cut by a checkpoint.
 
 Hot groups: exact copies and buckets are pre-aggregated before their shuffles, and rows meet their
@@ -29,11 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, utf8, word_hashes
-from .common import cut_lineage
+from .common import cut_lineage, small_batches
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
@@ -120,6 +119,10 @@ def _full_sets(size: int):
     return run
 
 
+def _similar(common: int, x: int, y: int, percent: int) -> bool:
+    return 100 * common >= percent * (x + y - common)
+
+
 def _confirmed(percent: int):
     """Batches (a, b, set of a, set of b) to the pairs that are similar."""
 
@@ -129,21 +132,42 @@ def _confirmed(percent: int):
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(both) - common)
+                if _similar(min(len(x), len(y)), len(x), len(y), percent):
+                    both = np.sort(np.concatenate((x, y)), kind="stable")
+                    keep[i] = _similar(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
+def _compared(percent: int):
+    """Batches (centre, member, their sets) to: n, whether they are similar, and the member's prefix.
+
+    The prefix is the first n - ceil(percent n / 100) + 1 shingles of the member, those that the centre lacks before those that it has.
+    """
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            size, similar, prefixes = [], [], []
+            for i in range(batch.num_rows):
+                c, x = (np.frombuffer(k[i].as_buffer(), np.uint64) for k in (left, right))
+                there = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x
+                size.append(len(x))
+                similar.append(_similar(int(there.sum()), len(c), len(x), percent))
+                prefixes.append(np.concatenate((x[~there], x[there]))[: len(x) - (percent * len(x) + 99) // 100 + 1].view(np.int64))
+            offsets = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "similar", "prefix"])
+
+    return run
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,44 +185,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, centres: int = 8) -> DataFrame:
+def _candidates(starred: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that have a centre in common and can be similar.
+
+    With a common order of shingles, similar sets share a shingle of their prefixes, and at their first common one, at places i
+    and j, min(n - i, m - j) is at least the overlap that similarity asks for. The order puts what the
+    centre lacks first, so members of a group of copies don't meet in what all of them have. Only members outside
+    the largest component of their centre look for partners.
+    """
+    placed = starred.join(labels.select(F.col("doc").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    several = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("a", "least")
+    placed = cut_lineage(placed.join(several, "a").select("a", "b", "n", "label", "least", "prefix"))
+    parts = placed.groupBy("a", "label").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("a").agg(F.max(F.struct("size", "label")).alias("top")).select("a", F.col("top.label").alias("top"))
+    reach = lambda n, i, m: (100 + percent) * (n - i) >= percent * (n + m)
+    x = placed.join(largest, "a").where("label <> top").select("a", F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "least", F.posexplode("prefix").alias("x_i", "shingle"))
+    x = x.where(reach(F.col("x_n"), F.col("x_i"), F.greatest(F.col("least"), F.floor(percent * F.col("x_n") / 100))))
+    y = placed.select("a", F.col("b").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.posexplode("prefix").alias("y_i", "shingle"))
+    met = x.join(y, ["a", "shingle"]).where((F.col("x_label") != F.col("y_label")) & reach(F.col("x_n"), F.col("x_i"), F.col("y_n")) & reach(F.col("y_n"), F.col("y_i"), F.col("x_n")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * common >= percent * union."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
     sketched = cut_lineage(texts.mapInArrow(_sketches(shingle), "doc long, n long, f1 long, f2 long, bands array<long>"))
     key = ["n", "f1", "f2"]
     classes = sketched.where("n > 0").groupBy(*key).agg(F.min("doc").alias("member"), F.first("bands").alias("bands"))
     member = classes.select("member", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("member").alias("centre"), F.max("member").alias("last")).where("centre <> last")
-    buckets = cut_lineage(member.join(shared, "band").select("band", "member", "centre").distinct())
+    shared = member.groupBy("band").agg(F.count("*").alias("size"), F.min("member").alias("low"), F.max("member").alias("high")).where("low <> high").select("band", "size")
+    buckets = cut_lineage(member.join(shared, "band").distinct())
+    # a bucket's centre is its member that meets most others over all bands
+    weight = buckets.groupBy("member").agg(F.sum("size").alias("weight"))
+    weighted = buckets.join(weight, "member")
+    centre = weighted.groupBy("band").agg(F.max(F.struct("weight", -F.col("member"))).alias("top")).select("band", (-F.col("top")[F.lit("col2")]).alias("centre"))
+    pairs = buckets.join(centre, "band").where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b")).distinct()
     involved = buckets.select(F.col("member").alias("doc")).distinct()
     sets = cut_lineage(texts.join(involved, "doc", "left_semi").mapInArrow(_full_sets(shingle), "doc long, shingles binary").where("shingles is not null"))
-    checked = cut_lineage(buckets.where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b")).distinct())
-    links = cut_lineage(verified(checked, sets, percent))
+    starred = cut_lineage(_with_sets(pairs, sets).mapInArrow(_compared(percent), "a long, b long, n long, similar boolean, prefix array<long>"))
+    links = starred.where("similar").select("a", "b")
     labels = components(links)
-    while True:
-        placed = buckets.select("band", "member").join(labels.select(F.col("doc").alias("member"), "label"), "member", "left")
-        placed = placed.select("band", "member", F.coalesce("label", "member").alias("label"))
-        several = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        open_ = cut_lineage(placed.join(several, "band", "left_semi"))
-        parts = open_.groupBy("band", "label").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("band").agg(F.max(F.struct("size", "label")).alias("top")).select("band", F.col("top.label").alias("top"))
-        minor = open_.join(largest, "band").where("label <> top").select("band", "member", "label")
-        most = minor.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-        ranked = minor.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("member"))).where(F.col("rank") <= centres)
-        other = open_.select("band", F.col("member").alias("y"), F.col("label").alias("of"))
-        pairs = cut_lineage(
-            ranked.join(other, "band").where("label <> of")
-            .select(F.least("member", "y").alias("a"), F.greatest("member", "y").alias("b")).distinct()
-            .join(checked, ["a", "b"], "left_anti")
-        )
-        new = cut_lineage(verified(pairs, sets, percent)) if not pairs.isEmpty() else pairs
-        if not new.isEmpty():
-            links = cut_lineage(links.union(new).distinct())
-            labels = components(links)
-        elif most <= centres:
-            break
-        checked = cut_lineage(checked.union(pairs))
-        centres *= 4
+    more = cut_lineage(_candidates(starred, labels, percent))
+    if not more.isEmpty():
+        found = _with_sets(more, sets).mapInArrow(_confirmed(percent), "a long, b long")
+        labels = components(links.union(found))
     representative = sketched.where("n > 0").join(classes.select(*key, "member"), key).select("doc", *key, "member")
     grouped = representative.join(labels.select(F.col("doc").alias("member"), "label"), "member", "left").select("doc", *key, F.coalesce("label", "member").alias("component"))
     alone = sketched.where("n = 0").select("doc", *key, F.col("doc").alias("component"))

@@ -49,10 +49,31 @@ def corpus(seed, n=150):
 def test_matches_brute_force(spark, seed, size, percent):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in M.near_duplicates(docs, shingle=size, percent=percent, centres=1).collect())
+    got = sorted(tuple(r) for r in M.near_duplicates(docs, shingle=size, percent=percent).collect())
     assert got == brute(rows, size, percent)
 
 
+def test_group_of_edited_copies_gives_few_pairs(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(10)):
+            words[rng.randrange(150)] = rng.choice(base) + rng.choice("xy")
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    keep = M._candidates
+    try:
+        M._candidates = lambda *a: seen.append(keep(*a).count()) or keep(*a)
+        got = sorted(tuple(r) for r in M.near_duplicates(docs, shingle=3, percent=85).collect())
+    finally:
+        M._candidates = keep
+    assert got == brute(rows, 3, 85)
+    assert seen[0] < 5000  # of 44,850
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     common, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
