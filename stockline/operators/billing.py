@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stockline.functions import economics as E
 from stockline.functions.models import tier_model
 
-from .calls import SEGMENT, SEGMENT_SO_FAR
+from .calls import by_segment, so_far
 
 MICRO = 1_000_000
 DWELL, HYSTERESIS = 3, 0.02
@@ -32,11 +32,11 @@ def bill_meter(calls: DataFrame) -> DataFrame:
 
     Calls without a burn rate pause the meter; the next one with a rate only anchors it again.
     """
-    trapezoid = F.floor((F.lag("burn").over(SEGMENT) + F.col("burn")) / 2 * MICRO).cast("long")
-    rows = calls.withColumn("_t", F.coalesce(trapezoid, F.lit(0).cast("long"))).withColumn("_c", F.sum("_t").over(SEGMENT_SO_FAR))
+    trapezoid = F.floor((F.lag("burn").over(by_segment()) + F.col("burn")) / 2 * MICRO).cast("long")
+    rows = calls.withColumn("_t", F.coalesce(trapezoid, F.lit(0).cast("long"))).withColumn("_c", F.sum("_t").over(so_far(by_segment())))
     whole = F.floor(F.col("_c") / MICRO).cast("long")
     rows = rows.withColumn("cycles", whole).withColumn("progress", (F.col("_c") % MICRO) / MICRO)
-    return rows.withColumn("new_cycles", F.col("cycles") - F.coalesce(F.lag("cycles").over(SEGMENT), F.lit(0))).drop("_t", "_c")
+    return rows.withColumn("new_cycles", F.col("cycles") - F.coalesce(F.lag("cycles").over(by_segment()), F.lit(0))).drop("_t", "_c")
 
 
 def alert_gate(calls: DataFrame, dwell: int = DWELL) -> DataFrame:
@@ -44,12 +44,12 @@ def alert_gate(calls: DataFrame, dwell: int = DWELL) -> DataFrame:
 
     The gate fires at the first call of a deep-water run that is the dwell-th or later and has seen a bill cycle in the run.
     """
-    rows = calls.withColumn("_run", F.sum(F.when(F.col("deep_water"), 0).otherwise(1)).over(SEGMENT_SO_FAR))
+    rows = calls.withColumn("_run", F.sum(F.when(F.col("deep_water"), 0).otherwise(1)).over(so_far(by_segment())))
     run = Window.partitionBy("session_id", "segment", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     deep = F.col("deep_water").cast("long")
     rows = rows.withColumn("_n", F.sum(deep).over(run)).withColumn("_k", F.sum(deep * F.col("new_cycles")).over(run))
     rows = rows.withColumn("_ok", F.col("deep_water") & (F.col("_n") >= dwell) & (F.col("_k") > 0))
-    first = F.min(F.when(F.col("_ok"), F.col("ord"))).over(SEGMENT_SO_FAR)
+    first = F.min(F.when(F.col("_ok"), F.col("ord"))).over(so_far(by_segment()))
     return rows.withColumn("gate_open", first.isNotNull()).withColumn("gate_fires", F.coalesce(first == F.col("ord"), F.lit(False))).drop("_run", "_n", "_k", "_ok")
 
 

@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 MISS_DROP, STOCK_EPSILON = 0.95, 100
 EMA_ALPHA, EMA_SEED, EMA_FLOOR = 0.12, 100.0, 100.0
 
-SESSION = Window.partitionBy("session_id").orderBy("ord")
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-SEGMENT = Window.partitionBy("session_id", "segment").orderBy("ord")
-SEGMENT_SO_FAR = SEGMENT.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_session():
+    return Window.partitionBy("session_id").orderBy("ord")
+
+
+def by_segment():
+    return Window.partitionBy("session_id", "segment").orderBy("ord")
+
+
+def so_far(window):
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
 
 
 def total_stock() -> Column:
@@ -55,13 +63,13 @@ def fold_calls(usage: DataFrame, rule: str = "max_total", key: str = "message_id
 
 
 def number_calls(calls: DataFrame) -> DataFrame:
-    return calls.withColumn("folded_seq", F.row_number().over(SESSION))
+    return calls.withColumn("folded_seq", F.row_number().over(by_session()))
 
 
 def number_turns(calls: DataFrame) -> DataFrame:
     """turn_seq grows at the first call and at each call that follows a human turn."""
-    bump = F.when((F.row_number().over(SESSION) == 1) | F.coalesce("human_turn", F.lit(False)), 1).otherwise(0)
-    return calls.withColumn("bump", bump).withColumn("turn_seq", F.sum("bump").over(SO_FAR)).drop("bump")
+    bump = F.when((F.row_number().over(by_session()) == 1) | F.coalesce("human_turn", F.lit(False)), 1).otherwise(0)
+    return calls.withColumn("bump", bump).withColumn("turn_seq", F.sum("bump").over(so_far(by_session()))).drop("bump")
 
 
 def classify_miss(calls: DataFrame, drop: float = MISS_DROP, eps: int = STOCK_EPSILON) -> DataFrame:
@@ -71,14 +79,14 @@ def classify_miss(calls: DataFrame, drop: float = MISS_DROP, eps: int = STOCK_EP
     decides, where they differ the row repeats the one before, so the answer is the last row that decides.
     ``root_start`` (optional) marks calls that start another conversation root: they never miss.
     """
-    before = lambda c: F.coalesce(F.lag(c).over(SESSION), F.lit(0))
+    before = lambda c: F.coalesce(F.lag(c).over(by_session()), F.lit(0))
     stays = total_stock() >= before(total_stock()) - eps
     if "root_start" in calls.columns:
         stays = stays & ~F.coalesce("root_start", F.lit(False))
     fell = lambda length: (length > 0) & (F.col("cr") < drop * length) & stays
     rows = calls.withColumn("_hit", fell(before("cr"))).withColumn("_miss", fell(before(F.col("cr") + F.col("cc"))))
     decided = F.when(F.col("_hit") == F.col("_miss"), F.col("_hit"))
-    return rows.withColumn("miss", F.coalesce(F.last(decided, ignorenulls=True).over(SO_FAR), F.lit(False))).drop("_hit", "_miss")
+    return rows.withColumn("miss", F.coalesce(F.last(decided, ignorenulls=True).over(so_far(by_session())), F.lit(False))).drop("_hit", "_miss")
 
 
 def effective_l(calls: DataFrame) -> DataFrame:
@@ -90,25 +98,25 @@ def segment_calls(calls: DataFrame, eps: int = STOCK_EPSILON, drop: float = MISS
 
     In sessions with a tree a fall that looks like an evicted cache is no boundary.
     """
-    before = lambda c: F.coalesce(F.lag(c).over(SESSION), F.lit(0))
+    before = lambda c: F.coalesce(F.lag(c).over(by_session()), F.lit(0))
     fell = (before(total_stock()) > 0) & (total_stock() < before(total_stock()) - eps)
     if has_tree:
         fell = fell & ~((before("l") > 0) & (F.col("cr") < drop * before("l")))
     if "root_start" in calls.columns:
         fell = fell | F.coalesce("root_start", F.lit(False))
     rows = calls.withColumn("boundary", fell)
-    return rows.withColumn("segment", F.sum(F.col("boundary").cast("long")).over(SO_FAR))
+    return rows.withColumn("segment", F.sum(F.col("boundary").cast("long")).over(so_far(by_session())))
 
 
 def with_previous(calls: DataFrame) -> DataFrame:
     """Previous L and stock within the segment."""
-    return calls.withColumn("prev_l", F.lag("l").over(SEGMENT)).withColumn("prev_stock", F.lag(total_stock()).over(SEGMENT))
+    return calls.withColumn("prev_l", F.lag("l").over(by_segment())).withColumn("prev_stock", F.lag(total_stock()).over(by_segment()))
 
 
 def segment_floor(calls: DataFrame) -> DataFrame:
     """Adds ``dead`` (largest counter of the segment's first call that has one) and ``ceiling`` (its stock)."""
     value = F.greatest("cr", "cc", "inp")
-    whole = SEGMENT.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = by_segment().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = lambda c: F.first(F.when(value > 0, c), ignorenulls=True).over(whole)
     return calls.withColumn("dead", first(value)).withColumn("ceiling", first(total_stock()))
 
@@ -124,7 +132,7 @@ def growth_ema(calls: DataFrame, residual: str = "residual", alpha: float = EMA_
 
     A segment's first call has no residual and holds the seed.
     """
-    values = F.collect_list(F.coalesce(F.col(residual).cast("double"), F.lit(-1.0))).over(SEGMENT.rowsBetween(-reach, 0))
+    values = F.collect_list(F.coalesce(F.col(residual).cast("double"), F.lit(-1.0))).over(by_segment().rowsBetween(-reach, 0))
     ema = F.aggregate(values, F.lit(seed), lambda g, r: F.when(r < 0, F.lit(seed)).otherwise(alpha * r + (1 - alpha) * g))
     return calls.withColumn("g_ema", ema).withColumn("g", F.greatest("g_ema", F.lit(floor)))
 
@@ -160,7 +168,7 @@ def project_growth(status: DataFrame, horizon, ceiling) -> DataFrame:
 
 def segment_peaks(calls: DataFrame) -> DataFrame:
     """Running peaks of each segment, and the first relative turn with a regret of 0.10 or more."""
-    w = SEGMENT_SO_FAR
+    w = so_far(by_segment())
     turn = F.col("turn_seq") - F.min("turn_seq").over(w)
     return (
         calls.withColumn("turn_rel", turn)
