@@ -22,7 +22,7 @@ def _profiles(spark, sf):
 PROFILE_ROUNDED = ("g_final", "o_avg", "mf", "pp_exit", "br_exit", "br_peak", "pp_peak", "g_min", "p0", "b_axis", "x_axis")
 PROFILES_SQL = """
 pf0 AS (SELECT session_id, segment, arg_max(model, ord) AS model, arg_max(dead, ord) AS l_floor, arg_max(dead, ord) AS b_total, max(l) AS l_peak, arg_max(g, ord) AS g_final, sum(outp)/CAST(count(*) AS DOUBLE) AS o_avg, arg_max(r, ord) AS c_ratio,
-  count(DISTINCT turn_seq) AS turns, count(*) AS n_calls, epoch_ms(max(ts))-epoch_ms(min(ts)) AS duration_ms, CAST(sum(cr+cc+inp) AS BIGINT) AS total_tokens_read, arg_max(mf, ord) AS mf, last(pp ORDER BY ord) AS pp_exit, last(br ORDER BY ord) AS br_exit,
+  count(DISTINCT turn_seq) AS turns, count(*) AS n_calls, (epoch_us(max(ts))//1000)-(epoch_us(min(ts))//1000) AS duration_ms, CAST(sum(cr+cc+inp) AS BIGINT) AS total_tokens_read, arg_max(mf, ord) AS mf, last(pp ORDER BY ord) AS pp_exit, last(br ORDER BY ord) AS br_exit,
   max(br) AS br_peak, max(pp) AS pp_peak, min(g) AS g_min, min(CASE WHEN br >= CAST(0.1 AS DOUBLE) THEN turn_seq END) - min(turn_seq) AS turn_at_br_amber FROM pos_v GROUP BY 1, 2),
 profile_v AS (SELECT *, l_floor/(c_ratio*g_final) AS p0, 2*o_avg/g_final AS b_axis, l_peak/CAST(l_floor AS DOUBLE) AS x_axis FROM pf0)"""
 PROFILE_COLUMNS = "session_id, segment, model, l_floor, b_total, l_peak, c_ratio, turns, n_calls, duration_ms, total_tokens_read, turn_at_br_amber, " + round_sql(*PROFILE_ROUNDED)

@@ -1 +1 @@
-
+"""Streaming forms of the call, segment, meter and daily operators."""
