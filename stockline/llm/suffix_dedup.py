@@ -10,7 +10,7 @@ in a document of smaller doc_id, or earlier in the same document.
    loses no equal pair. Rows with the same two hashes are combined in the task
    that makes them, before the shuffle: all but the earliest are repeats already.
 2. *Buckets*. Rows meet by anchor hash, the suffix bucket. An anchor that occurs once
-   holds no repeat. Runs equal as a whole (128 bits of hash) are repeats but for the
+   holds no repeat. Runs equal as a whole (96 bits of hash) are repeats but for the
    earliest. Only the earliest runs of anchors that have several are left over.
 3. *Block by block sort* (``_sort_block``). The bytes of those runs are sent by
    bucket. A task takes as many buckets as fit in a block and sorts their
@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import Spans, gram_hash, pieces, utf8
+from .arrowtext import Spans, gram_hash, mix, pieces, runs, utf8
+from .common import cut_lineage, small_batches
 
 LENGTH = 100
 GRAM_LOG2 = 5
@@ -53,14 +54,18 @@ COVER_PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 #: Length of the cover's strings: with the first and last 31 bytes they cover 100 bytes from any offset below 31.
 COVER_LENGTH = LENGTH - COVER_PERIOD
 #: Bytes of suffix buckets that are sorted at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 #: An anchor with more rows than this, or than one in a million of all rows, is taken window by window.
 HOT_ROWS, HOT_SAMPLE = 20_000, 1 / 64
 
 _INDEX_BITS = 26
 _LAST = (1 << 63) - 1
+#: A place in a text, packed with a 15-bit hash of the text above it.
+_PLACE = (1 << 34) - 1
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-ANCHOR_SCHEMA = "repeat boolean, h long, c long, doc long, at long, size long"
+ANCHOR_SCHEMA = "repeat boolean, h long, c int, doc long, at long"
+#: Bytes of text whose equal runs are combined before the shuffle, and rows sent to Spark at once.
+COMBINE_BYTES, SEND_ROWS = 8 << 20, 1 << 16
 
 
 def _windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple | None:
@@ -113,30 +118,36 @@ def _anchors(hot: np.ndarray):
             at = ((first + begin[0] - offsets[row]) << 14) | ((last - first) << 7) | (anchor - first)
             yield bucket, content(first, last + LENGTH), doc[row], at | (tag[row] << 48)
 
+    def combined(data, offsets, doc, tag):
+        found = list(one(data, offsets, doc, tag))
+        if not found:
+            return
+        h, c, d, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        c = (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        order = np.lexsort((at, d, c, h))
+        h, c, d, at = h[order], c[order], d[order], at[order]
+        same = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] != at[:-1]))]
+        kept = np.flatnonzero(~same)[np.argsort(order[~same])]
+        yield from _rows(False, h[kept], c[kept], d[kept], at[kept])
+        if same.any():
+            d, place, until = _merged(d[same], at[same] >> 14, (at[same] >> 14) + (at[same] >> 7 & 127) + LENGTH)
+            yield from _rows(True, mix(d.view(np.uint64) ^ place.view(np.uint64)), (until - place).astype(np.int32), d, place)
+
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            found = list(one(data, offsets, doc, tag))
-            if not found:
-                continue
-            h, c, d, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((at, d, c, h))
-            h, c, d, at = h[order], c[order], d[order], at[order]
-            same = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] != at[:-1]))]
-            yield _rows(np.zeros((~same).sum(), bool), h[~same], c[~same], d[~same], at[~same])
-            if same.any():
-                d, place, until = _merged(d[same], at[same] >> 14, (at[same] >> 14) + (at[same] >> 7 & 127) + LENGTH)
-                zero = np.zeros(len(d), np.int64)
-                yield _rows(np.ones(len(d), bool), zero, zero, d, place, until)
+            for i, j in runs(offsets, COMBINE_BYTES):
+                yield from combined(data, offsets[i : j + 1], doc[i:j], tag[i:j])
 
     return run
 
 
-def _rows(repeat, h, c, doc, at, size=None) -> pa.RecordBatch:
-    size = np.zeros(len(doc), np.int64) if size is None else size
-    arrays = [pa.array(repeat), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (h, c, doc, at, size))]
-    return pa.RecordBatch.from_arrays(arrays, ["repeat", "h", "c", "doc", "at", "size"])
+def _rows(repeat: bool, h, c, doc, at) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(h), SEND_ROWS):
+        part = slice(i, i + SEND_ROWS)
+        arrays = [pa.array(np.full(len(h[part]), repeat)), pa.array(h[part].view(np.int64)), pa.array(c[part]), pa.array(doc[part]), pa.array(at[part])]
+        yield pa.RecordBatch.from_arrays(arrays, ["repeat", "h", "c", "doc", "at"])
 
 
 def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,8 +244,9 @@ def _bucket_sort(batches):
         text = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
         begin = np.r_[0, np.cumsum((at >> 7 & 127) + LENGTH)]
         run, first, last = _sort_block(text, h, begin, doc, at)
-        place = (at[run] >> 14) + first
-        return _spans(doc[run], place, place + (last - first) + LENGTH)
+        place = (at[run] >> 14 & _PLACE) + first
+        arrays = (doc[run], at[run] >> 48, place, place + (last - first) + LENGTH)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], ["doc", "tag", "begin", "end"])
 
     held, size = [], 0
     for batch in batches:
@@ -254,27 +266,25 @@ def _bucket_sort(batches):
         yield sort(h, doc, at, [y for x in held for y in x[3]])
 
 
-def _spans(doc, begin, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, begin, end)], ["doc", "at", "size"])
+def _cut_runs(at_text: int):
+    """Batches (row, doc, runs of (h, at)) to the bytes of each run."""
 
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(0).field(at_text))
+            doc, lists = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            flat = lists.flatten()
+            h, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            row = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            begin = offsets[row] + (at >> 14 & _PLACE)
+            end = begin + (at >> 7 & 127) + LENGTH
+            view = memoryview(np.ascontiguousarray(data))
+            for i in range(0, len(h), SEND_ROWS):
+                s = slice(i, i + SEND_ROWS)
+                part = pa.array([view[a:b] for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(doc[row[s]]), pa.array(at[s]), part], ["h", "doc", "at", "part"])
 
-def _cut_runs(batches):
-    """Batches (doc, text, runs of (h, at)) to the bytes of each run."""
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        doc = batch.column(0).to_numpy(zero_copy_only=False)
-        lists = batch.column(2)
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten()
-        h, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        row = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        if not len(h):
-            continue
-        begin = offsets[row] + (at >> 14 & ((1 << 34) - 1))
-        end = begin + (at >> 7 & 127) + LENGTH
-        view = memoryview(np.ascontiguousarray(data))
-        parts = pa.array([view[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[row]), pa.array(at), parts], ["h", "doc", "at", "part"])
+    return run
 
 
 def _hot_anchors(texts: DataFrame) -> np.ndarray:
@@ -286,8 +296,9 @@ def _hot_anchors(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in counts.where(F.col("count") > least).select("h").toLocalIterator()], np.int64).view(np.uint64))
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: ``row`` (all its columns) and ``spans``, the maximal repeated spans (begin, end) in bytes."""
+def _spanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per row of docs: ``row`` (all its columns) and ``spans``, spans of repeated bytes that may overlap."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(
         F.struct("*").alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"),
@@ -296,48 +307,49 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = keyed.select("doc", "tag", F.col(f"row.{text}").alias("text"))
     found = texts.mapInArrow(_anchors(_hot_anchors(texts)), ANCHOR_SCHEMA)
     bucket, same = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("doc", "at")
-    runs = (
-        found.where("not repeat").select("h", "c", "doc", "at")
-        .withColumn("first", F.first(F.struct("doc", "at")).over(same))
+    marked = (
+        found.withColumn("first", F.first(F.struct("doc", "at")).over(same))
         .withColumn("several", F.min("c").over(bucket) != F.max("c").over(bucket))
         .withColumn("again", F.struct("doc", "at") != F.col("first"))
-        .where("several or again")
+        .where("repeat or several or again")
     )
-    listed = runs.groupBy("doc", F.shiftright("at", 48).alias("tag")).agg(
-        F.collect_list(F.when(~F.col("again"), F.struct("h", "at"))).alias("runs"),
-        F.collect_list(F.when(F.col("again"), F.col("at"))).alias("again"),
+    tag = F.when(F.col("repeat"), F.shiftright("at", 34)).otherwise(F.shiftright("at", 48))
+    begin = F.when(F.col("repeat"), F.col("at")).otherwise(F.shiftright("at", 14)).bitwiseAND(F.lit(_PLACE))
+    size = F.when(F.col("repeat"), F.col("c").cast("long")).otherwise(F.shiftright("at", 7).bitwiseAND(F.lit(127)) + LENGTH)
+    listed = cut_lineage(
+        marked.groupBy("doc", tag.alias("tag")).agg(
+            F.collect_list(F.when(~F.col("again") & ~F.col("repeat"), F.struct("h", "at"))).alias("runs"),
+            F.collect_list(F.when(F.col("again") | F.col("repeat"), F.struct(begin.alias("begin"), (begin + size).alias("end")))).alias("again"),
+        )
     )
     joined = keyed.join(listed, ["doc", "tag"], "left")
-    parts = (
-        joined.where(F.size("runs") > 0).select("doc", F.col(f"row.{text}").alias("text"), "runs")
-        .mapInArrow(_cut_runs, "h long, doc long, at long, part binary")
-    )
-    sorted_spans = (
-        parts.repartition(F.col("h")).sortWithinPartitions("h")
-        .mapInArrow(_bucket_sort, "doc long, at long, size long")
-    )
-    spans = found.where("repeat").select("doc", "at", "size").unionByName(sorted_spans)
-    spans = spans.groupBy("doc", F.shiftright("at", 34).alias("tag")).agg(F.collect_list(F.struct("at", "size")).alias("more"))
-    everything = joined.join(spans, ["doc", "tag"], "left")
-    place = lambda x: x.bitwiseAND((1 << 34) - 1)
-    whole = F.concat(
-        F.transform(F.coalesce("again", F.array().cast("array<bigint>")), lambda x: F.struct(place(F.shiftright(x, 14)).alias("begin"), (place(F.shiftright(x, 14)) + F.shiftright(x, 7).bitwiseAND(127) + LENGTH).alias("end"))),
-        F.transform(F.coalesce("more", F.array().cast("array<struct<at:bigint,size:bigint>>")), lambda x: F.struct(place(x["at"]).alias("begin"), place(x["size"]).alias("end"))),
-    )
-    return everything.select("row", whole.alias("spans")).mapInArrow(_merge_lists, T.StructType([T.StructField("row", docs.schema), T.StructField("spans", SPANS)]))
+    parts = joined.where(F.size("runs") > 0).select("row", "doc", "runs").mapInArrow(_cut_runs(docs.columns.index(text)), "h long, doc long, at long, part binary")
+    spans = parts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_bucket_sort, "doc long, tag long, begin long, end long")
+    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("more"))
+    empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    whole = F.concat(F.coalesce("again", empty), F.coalesce("more", empty))
+    return joined.join(spans, ["doc", "tag"], "left").select("row", whole.alias("spans"))
 
 
-def _merge_lists(batches):
-    for batch in batches:
-        lists = batch.column(1)
-        flat = lists.flatten()
-        begin, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        if len(row):
-            row, begin, end = _merged(row, begin, end)
-        offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(lists)))].astype(np.int32)
-        spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], ["begin", "end"]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["row", "spans"])
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: ``row`` (all its columns) and ``spans``, the maximal repeated spans (begin, end) in bytes."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _merged_lists(batch.column(1))], ["row", "spans"])
+
+    return _spanned(docs, doc_id, text).mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("spans", SPANS)]))
+
+
+def _merged_lists(lists: pa.ListArray) -> pa.ListArray:
+    """Lists of spans to lists of maximal spans, in order."""
+    flat = lists.flatten()
+    begin, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    if len(row):
+        row, begin, end = _merged(row, begin, end)
+    offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(lists)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], ["begin", "end"]))
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -351,7 +363,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _per_row(batch, text_index: int) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
     data, offsets = utf8(batch.column(0).field(text_index))
-    spans = batch.column(1)
+    spans = _merged_lists(batch.column(1))
     flat = spans.flatten()
     begin, end = (flat.field(i).to_pylist() for i in range(2))
     at = np.r_[0, np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))].tolist()
@@ -360,9 +372,10 @@ def _per_row(batch, text_index: int) -> Iterator[tuple[bytes, list[tuple[int, in
         yield bytes(raw[offsets[i] : offsets[i + 1]]), list(zip(begin[at[i] : at[i + 1]], end[at[i] : at[i + 1]], strict=True))
 
 
-def digest(spanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
-    fields = spanned.schema["row"].dataType.names
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes for each row of docs."""
+    docs = docs.select(doc_id, text)
+    fields = docs.columns
     at_text = fields.index(text)
 
     def run(batches):
@@ -376,7 +389,7 @@ def digest(spanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             ids = batch.column(0).field(fields.index(doc_id)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spanned.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _spanned(docs, doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -395,4 +408,4 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 columns[fields.index(n_chars)] = pa.array([None if x is None else len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return repeated_spans(docs, doc_id, text).mapInArrow(run, docs.schema)
+    return _spanned(docs, doc_id, text).mapInArrow(run, docs.schema)

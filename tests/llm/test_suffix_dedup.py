@@ -49,7 +49,7 @@ def test_matches_brute_force(spark, monkeypatch, block, hot):
         monkeypatch.setattr(S, "HOT_ROWS", 3)
         monkeypatch.setattr(S, "HOT_SAMPLE", 0.99)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in S.digest(S.repeated_spans(docs)).collect())
+    got = sorted(tuple(r) for r in S.digest(docs).collect())
     assert got == brute(rows)
 
 
@@ -62,7 +62,7 @@ def test_small_blocks(monkeypatch):
     text = pa.array([t for _, t in rows])
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([0] * len(rows)), text], ["doc", "tag", "text"])
     found = [b for b in S._anchors(np.zeros(0, np.uint64))([batch]) if not b.column(0)[0].as_py()]
-    runs = sorted(zip(*(found[0].column(i).to_pylist() for i in (1, 3, 4)), strict=True))
+    runs = sorted(r for b in found for r in zip(*(b.column(i).to_pylist() for i in (1, 3, 4)), strict=True))
     cut = lambda d, a: (rows[d][1] or "").encode()[(a >> 14) : (a >> 14) + (a >> 7 & 127) + S.LENGTH]
     arrays = [pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs]), pa.array([r[2] for r in runs]), pa.array([cut(r[1], r[2]) for r in runs])]
     whole = pa.RecordBatch.from_arrays(arrays, ["h", "doc", "at", "part"])
@@ -78,7 +78,7 @@ def test_long_text_is_cut_in_pieces(spark, monkeypatch):
     part = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
     rows = [(1, part), (2, "start " + part[100_000:650_000] + " end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in S.digest(S.repeated_spans(docs)).collect()}
+    got = {r.doc_id: r for r in S.digest(docs).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed >= 550_000 and got[2].n_spans == 1
 
 
@@ -86,7 +86,7 @@ def test_nulls_repeats_and_clashing_columns(spark):
     text = "some words " * 30 + "tail"
     rows = [(None, text, 1), (1, text, 2), (1, text, 2), (2, None, None), (3, "", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans long").withColumnRenamed("spans", "doc")
-    got = S.digest(S.repeated_spans(docs)).collect()
+    got = S.digest(docs).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
