@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(links)
     more = cut_lineage(_candidates(starred, labels, percent))
     if not more.isEmpty():
-        found = _with_sets(more, sets).mapInArrow(_confirmed(percent), "a long, b long")
+        found = cut_lineage(_with_sets(more, sets).mapInArrow(_confirmed(percent), "a long, b long"))
         labels = components(links.union(found))
     representative = sketched.where("n > 0").join(classes.select(*key, "member"), key).select("doc", *key, "member")
     grouped = representative.join(labels.select(F.col("doc").alias("member"), "label"), "member", "left").select("doc", *key, F.coalesce("label", "member").alias("component"))
