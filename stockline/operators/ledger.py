@@ -24,15 +24,16 @@ def path_ledger(touches: DataFrame) -> DataFrame:
 
     A fullSet or write starts a path's epoch anew; a line keeps its last tokens; edits add up.
     """
-    by_path = Window.partitionBy(*_by(touches, "path")).orderBy("ord")
+    by_path = Window.partitionBy(*_by(touches, "path")).orderBy("ord", "line_no")
     so_far = by_path.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = touches.withColumn("epoch", F.sum(F.col("op").isin(*CLEARS).cast("long")).over(so_far))
+    starts = F.col("op").isin(*CLEARS) & F.coalesce(F.lag("ord").over(by_path) != F.col("ord"), F.lit(True))
+    rows = touches.withColumn("_starts", starts.cast("long")).withColumn("epoch", F.sum("_starts").over(so_far)).drop("_starts")
     line = Window.partitionBy(*_by(touches, "path"), "epoch", "line_no").orderBy("ord")
     is_edit = F.col("op") == "editDelta"
     written = F.when(~is_edit, F.col("tokens"))
     before = F.last(written, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_line", F.when(is_edit, 0).otherwise(F.col("tokens") - F.coalesce(before, F.lit(0))))
-    epoch = Window.partitionBy(*_by(touches, "path"), "epoch").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    epoch = Window.partitionBy(*_by(touches, "path"), "epoch").orderBy("ord", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("lines", F.sum("_line").over(epoch)).withColumn("edits", F.sum(F.when(is_edit, F.col("tokens")).otherwise(0)).over(epoch))
     overhead = F.last(F.when(~is_edit, F.col("overhead")), ignorenulls=True).over(epoch) if "overhead" in touches.columns else F.lit(0)
     rows = rows.withColumn("path_tokens", F.greatest(F.lit(0), F.col("lines") + F.col("edits") + F.coalesce(overhead, F.lit(0))))
@@ -125,7 +126,7 @@ def settle_by_path(deltas: DataFrame, path_deltas: DataFrame) -> DataFrame:
     drained = F.max(F.col("_keep") <= 1e-12).over(after)
     left = F.exp(F.coalesce(F.sum(F.when(F.col("_keep") > 1e-12, F.log("_keep"))).over(after), F.lit(0.0)))
     rows = rows.select(*_by(deltas, "ord"), (F.col("_banked") * F.when(F.coalesce(drained, F.lit(False)), 0.0).otherwise(left)).alias("_left"), "pos_total")
-    dealt = path_deltas.where("delta > 0").join(rows, _by(deltas, "ord"))
+    dealt = path_deltas.where("delta > 0").select(*_by(deltas, "ord"), "path", "delta").join(rows, _by(deltas, "ord"))
     return dealt.groupBy(*_by(deltas, "path")).agg(F.sum(F.try_divide(F.col("_left") * F.col("delta"), F.col("pos_total").cast("double"))).alias("deferred"))
 
 

@@ -27,10 +27,14 @@ def tree_edges(entries: DataFrame) -> DataFrame:
     return own.join(there, ["session_id", "parent_uuid"], "left").select(*KEY, "ord", F.when(F.col("_there") & (F.col("parent_uuid") != F.col("uuid")), F.col("parent_uuid")).alias("parent_uuid"))
 
 
-def _doubled(links: DataFrame, steps: int = 40) -> DataFrame:
-    """The end of each chain of links (session_id, a, b); nodes without a link end there. Cycles stop after ``steps`` rounds."""
+def _doubled(links: DataFrame) -> DataFrame:
+    """The end of each chain of links (session_id, a, b); nodes without a link end there.
+
+    A chain is no longer than its session, so cycles stop after log2 of the largest session's links.
+    """
     links = _cut(links)
-    for _ in range(steps):
+    largest = links.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(largest.bit_length() + 1):
         further = links.select("session_id", F.col("a").alias("b"), F.col("b").alias("c"))
         joined = links.join(further, ["session_id", "b"], "left")
         if joined.where("c IS NOT NULL").isEmpty():

@@ -96,7 +96,8 @@ def extract_usage(entries: DataFrame) -> DataFrame:
     rows = entries.withColumn("_own", F.coalesce(own, F.lit(False))).withColumn("_turn", is_turn_boundary())
     rows = rows.select("session_id", "ord", "ts", "uuid", "message_id", "request_id", "model", "is_sidechain", "is_sub_agent", number("cache_read_input_tokens").alias("cr"), creation.alias("cc"), number("input_tokens").alias("inp"), number("output_tokens").alias("outp"), "_own", "_turn")
     used = F.col("_own") & (F.col("model") != "<synthetic>") & (F.col("cr") + F.col("cc") + F.col("inp") + F.col("outp") > 0)
-    before = Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    # a sub-agent's file has an order of its own
+    before = Window.partitionBy("session_id", "is_sub_agent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_used", used)
     since = F.coalesce(F.max(F.when(F.col("_used") & ~F.col("is_sidechain"), F.col("ord"))).over(before), F.lit(-1).cast("long"))
     turn = F.coalesce(F.max(F.when(F.col("_turn"), F.col("ord"))).over(before) > since, F.lit(False))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,7 +99,7 @@ _TYPES = {"long": "Int64", "boolean": "boolean", "double": "Float64", "string":
 _DTYPES = {c.split()[0]: _TYPES[c.split()[1]] for c in OUTPUT.split(", ")}
 
 
-def _run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
+def _run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, timeout: bool = True) -> Iterable[pd.DataFrame]:
     s = json.loads(state.get[0]) if state.exists else fresh()
     out: list[dict] = []
     if state.hasTimedOut:
@@ -109,13 +110,18 @@ def _run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iter
         for row in rows.itertuples():
             out += step(key[0], s, row)
         state.update((json.dumps(s, default=int),))
-        state.setTimeoutDuration(IDLE_MS)
+        if timeout:
+            state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame(out, columns=_COLUMNS).astype(_DTYPES)
 
 
-def stream_fold(usage: DataFrame) -> DataFrame:
-    """Calls, revisions and closed segments of a stream of usage. A session that is idle for a week closes its segment and leaves the state."""
-    return usage.groupBy("session_id").applyInPandasWithState(_run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def stream_fold(usage: DataFrame, timeout: bool = True) -> DataFrame:
+    """Calls, revisions and closed segments of a stream of usage. A session that is idle for a week closes its segment and leaves the state.
+
+    A finite input (trigger availableNow) is run without the time-out, which would wait for it.
+    """
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
+    return usage.groupBy("session_id").applyInPandasWithState(partial(_run, timeout=timeout), OUTPUT, STATE, "append", kind)
 
 
 def stream_entries(lines: DataFrame) -> DataFrame:
