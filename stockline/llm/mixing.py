@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, n_words
 
 GROUP = 1024
+#: Up to this many sources (about 100 bytes each) are sent to the documents, more meet them in a join.
+FEW_SOURCES = 50_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     groups = F.greatest(F.lit(1), F.ceil(F.col("source_size") / (GROUP * shard_words)))
     sources = cut_lineage(sources.withColumn("groups", groups.cast("long")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("groups") * shard_words))).cast("long")))
     placed = (
-        sized.join(sources, "name")
+        sized.join(F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources, "name")
         .withColumn("g", _number(F.col("dice"), 1) % F.col("groups")).withColumn("s", _number(F.col("dice"), 8) % F.col("shards"))
         .select("doc_id", "source", "size", "name", "dice", "source_size", "target", "source_blocks", "g", "s")
     )
@@ -110,3 +112,44 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .withColumn("taken", F.col("rounds") * F.col("size") + overlap(F.col("start"), F.least(stop, "n")) + overlap(F.lit(0), F.greatest(F.lit(0), stop - F.col("n"))))
         .select("doc_id", "source", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), F.col("taken").cast("long"))
     )
+
+
+def _apportion_sql(step: str, rows: str, parent: str, child: str, votes: str, seats: str) -> str:
+    """Common tables that end in ``{step}``: all columns of ``rows`` and got."""
+    over = f"OVER (PARTITION BY {parent})" if parent else "OVER ()"
+    keys = ", ".join(x for x in (parent, child) if x)
+    order = f"{votes}/CAST(2*k-1 AS DOUBLE) DESC, {child}, k"
+    return f"""
+{step}a AS (SELECT *, count(*) {over} AS n_parts, coalesce({votes}/nullif(CAST(sum({votes}) {over} AS DOUBLE), 0), 0) AS share FROM {rows}),
+{step}b AS (SELECT *, CAST(greatest(0, floor({seats}*share-(n_parts*share/2+1))) AS BIGINT) AS sure, CAST(ceil({seats}*share+(n_parts*share/2+1)) AS BIGINT) AS most_k FROM {step}a),
+{step}c AS (SELECT *, {seats} - sum(sure) {over} AS open_seats FROM {step}b),
+{step}d AS (SELECT *, unnest(range(sure+1, most_k+1)) AS k FROM {step}c WHERE {votes} > 0),
+{step}e AS (SELECT *, row_number() OVER ({f"PARTITION BY {parent} " if parent else ""}ORDER BY {order}) AS rk FROM {step}d),
+{step}f AS (SELECT {keys}, count(*) AS more FROM {step}e WHERE rk <= open_seats GROUP BY {keys}),
+{step} AS (SELECT x.*, x.sure + coalesce(f.more, 0) AS got FROM {step}c x LEFT JOIN {step}f f ON {" AND ".join(f"x.{c.strip()} = f.{c.strip()}" for c in keys.split(","))})"""
+
+
+def mix_sql(block_words: int = 8, shard_words: int = 65536, seed: str = "1") -> str:
+    """The mix of ``documents`` for DuckDB, with the default weights and limit."""
+    number = lambda text, start: f"CAST('0x' || substr({text}, {start}, 7) AS BIGINT)"
+    return rf"""
+WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size, coalesce('=' || source, '~') AS name, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS dice FROM documents),
+s0 AS (SELECT name, CAST(sum(size) AS BIGINT) AS words FROM z GROUP BY name),
+s1 AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY name)-1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(3*words AS DOUBLE) AS cap, CAST(sum(words) OVER () AS DOUBLE) AS total FROM s0),
+s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap/weight, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap/weight, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s1),
+s3 AS (SELECT name, words, least(cap, max(lvl) OVER () * weight) AS target, CAST(round(total/{block_words}) AS BIGINT) AS blocks FROM s2),
+{_apportion_sql("s4", "s3", "", "name", "target", "blocks")},
+s5 AS (SELECT name, words AS source_size, target, got AS source_blocks, CAST(greatest(1, ceil(words/CAST({GROUP * shard_words} AS DOUBLE))) AS BIGINT) AS groups FROM s4),
+s6 AS (SELECT *, CAST(greatest(1, ceil(source_size/CAST(groups*{shard_words} AS DOUBLE))) AS BIGINT) AS shards FROM s5),
+p AS (SELECT z.*, source_size, target, source_blocks, {number("dice", 1)} % groups AS g, {number("dice", 8)} % shards AS s FROM z JOIN s6 ON z.name = s6.name),
+h0 AS (SELECT name, g, s, CAST(sum(size) AS BIGINT) AS words, max(source_blocks) AS source_blocks FROM p GROUP BY name, g, s),
+g0 AS (SELECT name, g, CAST(sum(words) AS BIGINT) AS words, max(source_blocks) AS source_blocks FROM h0 GROUP BY name, g),
+{_apportion_sql("g1", "g0", "name", "g", "words", "source_blocks")},
+h1 AS (SELECT h0.*, g1.got AS group_blocks FROM h0 JOIN g1 ON h0.name = g1.name AND h0.g = g1.g),
+{_apportion_sql("h2", "h1", "name, g", "s", "words", "group_blocks")},
+h3 AS (SELECT name, g, s, got, CAST(ceil(words/CAST({block_words} AS DOUBLE)) AS BIGINT) AS n FROM h2),
+h4 AS (SELECT name, g, s, n, least(got, 3*n) AS quota, {number(f"md5('{seed}|' || name || '|' || CAST(g AS VARCHAR) || '|' || CAST(s AS VARCHAR))", 1)} % greatest(n, 1) AS start FROM h3),
+d0 AS (SELECT p.*, n, quota, start, sum(size) OVER (PARTITION BY p.name, p.g, p.s ORDER BY dice, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS until FROM p JOIN h4 ON p.name = h4.name AND p.g = h4.g AND p.s = h4.s),
+d1 AS (SELECT *, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS rounds FROM d0)
+SELECT doc_id, source, size, source_size, target, CAST(rounds*size + greatest(0, least(until, least(start+rest, n)*{block_words}) - greatest(until-size, start*{block_words}))
+  + greatest(0, least(until, greatest(0, start+rest-n)*{block_words}) - greatest(until-size, 0)) AS BIGINT) AS taken FROM d1"""

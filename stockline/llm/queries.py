@@ -81,9 +81,9 @@ QUERIES = {
 
 
 def _oracles() -> dict[str, str]:
-    from . import topk
+    from . import mixing, topk
 
-    return {"op9_topk": topk.TOP_K_SQL}
+    return {"op1_mixing": mixing.mix_sql(), "op9_topk": topk.TOP_K_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
