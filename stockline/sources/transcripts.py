@@ -139,7 +139,7 @@ def write_daily(days: DataFrame, path: str) -> None:
 
 
 def hash_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, sha256 and number of lines of files up to 8 MiB; larger ones have neither."""
+    """path, sha256 and number of lines of files up to 8 MiB; larger ones have neither. Empty files aren't listed by the source."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     small = F.col("length") <= HASH_MAX_BYTES
     text = F.decode("content", "ISO-8859-1")
