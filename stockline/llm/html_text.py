@@ -5,19 +5,20 @@ scripts, styles, comments and the like is none of them, whether named by tag, ro
 marks its article (``article``, ``main`` or a role of that kind), lines outside of it are *doubtful*; where it
 doesn't, all lines are.
 
-*Differencing*: pages of a host are in order of URL path, in groups of about ``group`` pages that are dealt by a hash of the
-path, so that a host with a third of all pages is many groups. A page is paired with the neighbour whose path shares
-the longer prefix. Both pages' lines, as hashes, are aligned by a longest common subsequence, and
-the doubtful lines of the page that are aligned are deleted.
+*Differencing*: the distinct URLs of a host are in order of path, whatever their number: they are cut into ranges of about ``group`` URLs
+(at most ``MOST_RANGES`` ranges), and the first and last URL of a range meet those of the ranges beside it. A URL is paired with the
+neighbour whose path shares the longer prefix, and its rows are compared with one page of that neighbour (least page_id, then least
+hash of html). Both pages' lines, as hashes, are aligned by a longest common subsequence, and the doubtful lines of the page that are aligned are deleted.
 
 Lines of a marked article are kept even where both pages have them: copies of an article, and passages that
 articles share, are main text. Differencing alone would delete them.
 
-Only hashes of lines are shuffled for the pairing. Texts move only for pages with doubtful lines.
+URLs alone are sorted. The lines of one page for each URL, as hashes, go to the rows of its neighbours; rows of frequent URLs are dealt over
+groups that each get a copy of these hashes.
 
-Defined results: null or empty html gives an empty text; a null or odd URL has the host "" and is paired as any other;
-a page alone in its group keeps its doubtful lines; repeated rows are pages of their own and, having equal lines, lose shared doubtful
-lines (both are the same page: the neighbour must have another URL to count); an empty table gives an empty result. Only the named columns are read.
+Defined results: null or empty html gives an empty text; a null or odd URL has the host "" and is paired as any other, so null and empty URLs
+are one URL, the first of host ""; a URL alone on its host keeps its doubtful lines; rows of one URL are never compared with each other (they
+may be the same page) but all with the neighbour; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Up to this many hosts (about 50 bytes each) are sent to the pages, more meet them in a join.
-FEW_HOSTS = 50_000
+#: Bounds of this many ranges of URLs, at most, are gathered and sent to tasks.
+MOST_RANGES = 2000
+#: Rows of a URL are dealt over groups of about this many.
+ROWS_OF_A_URL = 2000
 
 #: Elements whose text is never main text, elements that hold raw text, and elements that end a line.
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe object svg math canvas button select option textarea dialog menu head title audio video map datalist".split())
@@ -158,56 +161,81 @@ def _shared_prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def _hash_list(page: list[tuple[str, bool]]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in page]
+
+
 def _hashes(batches):
-    """Batches (place, html) to line hashes of each page and whether it has doubtful lines."""
+    """Batches (host, path, page_id, print, html) to the same with line hashes in place of html."""
     for batch in batches:
-        found = [lines(x) for x in batch.column(1).to_pylist()]
-        lists = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in page] for page in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array([any(d for _, d in page) for page in found])], ["place", "lines", "doubtful"])
+        lists = [_hash_list(lines(x)) for x in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(lists, pa.list_(pa.int64()))], ["host", "path", "page_id", "print", "lines"])
 
 
-def _compare(batches):
-    """Batches (place, path, lines, neighbour on either side) to the lines that are aligned with the nearer one."""
+def _nearer(batches):
+    """Batches (host, path, path on either side or null) to the one that shares the longer prefix, or the one before."""
     for batch in batches:
-        shared = []
-        for row in batch.to_pylist():
-            near = [x for x in (row["before"], row["after"]) if x and x["path"] != row["path"]]
-            best = max(near, key=lambda x: _shared_prefix(x["path"], row["path"]), default=None)
-            shared.append(common_lines(row["lines"], best["lines"]) if best else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.int32()))], ["place", "shared"])
+        chosen = []
+        for path, *sides in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            chosen.append(max((x for x in sides if x is not None), key=lambda x: _shared_prefix(x, path), default=None))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.string())], ["host", "path", "partner"])
 
 
 def _texts(batches):
-    """Batches (page_id, url, html, shared or null) to texts."""
+    """Batches (page_id, url, html, line hashes of the partner or null) to texts."""
     for batch in batches:
         texts = []
-        for page, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            gone = set(shared or ())
-            texts.append("\n".join(t for i, (t, doubtful) in enumerate(lines(page)) if not (doubtful and i in gone)))
+        for page, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            found = lines(page)
+            gone = set(common_lines(_hash_list(found), other)) if other and any(d for _, d in found) else ()
+            texts.append("\n".join(t for i, (t, doubtful) in enumerate(found) if not (doubtful and i in gone)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
 
+def _partners(urls: DataFrame, group: int) -> DataFrame:
+    """host, path, partner of distinct URLs (host, path): the neighbour in order of path with the longer shared prefix."""
+    n = urls.count()
+    ranges = min(-(-n // group), MOST_RANGES)
+    # bounds are some of the URLs, chosen by their hash, so ranges depend on nothing but the table
+    every = max(n // (20 * ranges), 1) if ranges else 1
+    some = sorted((r.host.encode(), r.path.encode()) for r in urls.where(F.pmod(F.xxhash64("host", "path"), F.lit(every)) == 0).collect()) if ranges > 1 else []
+    bounds = some[:: max(len(some) // ranges, 1)] if some else []
+
+    def place(batches):
+        for batch in batches:
+            at = [bisect_left(bounds, (h.encode(), p.encode())) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32())], ["host", "path", "part"])
+
+    placed = urls.mapInArrow(place, "host string, path string, part int")
+    url = F.struct("host", "path")
+    edges = placed.groupBy("part").agg(F.min(url).alias("first"), F.max(url).alias("last"))
+    whole = Window.orderBy("part")  # one row for each range
+    edges = edges.select("part", F.lag("last").over(whole).alias("left"), F.lead("first").over(whole).alias("right"))
+    near = Window.partitionBy("part").orderBy("host", "path")
+    sided = placed.select("part", "host", "path", F.lag(url).over(near).alias("before"), F.lead(url).over(near).alias("after")).join(F.broadcast(edges), "part")
+    same = lambda x: F.when(x["host"] == F.col("host"), x["path"])
+    sided = sided.select("host", "path", same(F.coalesce("before", "left")).alias("before"), same(F.coalesce("after", "right")).alias("after"))
+    return sided.mapInArrow(_nearer, "host string, path string, partner string").where("partner is not null")
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", group: int = 400) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     where = F.coalesce("url", F.lit(""))
-    place = F.struct(
-        F.coalesce(F.regexp_extract(where, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host"),
-        F.regexp_replace(where, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "").alias("path"),
-        F.col("page_id"),
-        F.coalesce(F.xxhash64("html"), F.lit(0)).alias("print"),
-    )
-    rows = rows.withColumn("place", place)
-    hashed = rows.select("place", "html").mapInArrow(_hashes, f"place {rows.schema['place'].dataType.simpleString()}, lines array<bigint>, doubtful boolean")
-    hosts = rows.groupBy(F.col("place.host").alias("host")).agg(F.ceil(F.count("*") / group).alias("groups"))
-    few = hosts.count() <= FEW_HOSTS
-    dealt = hashed.withColumn("host", F.col("place.host")).join(F.broadcast(hosts) if few else hosts, "host").withColumn("deal", F.pmod(F.xxhash64("place.path"), F.col("groups")))
-    dealt = dealt.repartition("host", "deal")  # a join's partitions by host would hold a host in one task
-    near = Window.partitionBy("host", "deal").orderBy("place")
-    other = F.struct(F.col("place.path").alias("path"), F.col("lines"))
-    paired = dealt.withColumn("before", F.lag(other).over(near)).withColumn("after", F.lead(other).over(near)).where("doubtful")
-    shared = paired.select("place", F.col("place.path").alias("path"), "lines", "before", "after").mapInArrow(_compare, f"place {rows.schema['place'].dataType.simpleString()}, shared array<int>")
-    shared = shared.where(F.size("shared") > 0).dropDuplicates(["place"])
-    joined = rows.join(shared, "place", "left").select("page_id", "url", "html", "shared")
+    host = F.coalesce(F.regexp_extract(where, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    path = F.regexp_replace(where, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    rows = rows.withColumn("host", host).withColumn("path", path)
+    urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
+    partners = _partners(urls.select("host", "path"), group)
+    hashed = rows.select("host", "path", "page_id", F.coalesce(F.xxhash64("html"), F.lit(0)).alias("print"), "html")
+    hashed = hashed.mapInArrow(_hashes, "host string, path string, page_id long, print long, lines array<bigint>")
+    one = hashed.groupBy("host", F.col("path").alias("partner")).agg(F.min(F.struct("page_id", "print", "lines"))["lines"].alias("other"))
+    # rows of a frequent URL are dealt over groups, each of which meets the partner's lines
+    often = urls.where(F.col("n") > ROWS_OF_A_URL).select("host", "path", F.ceil(F.col("n") / ROWS_OF_A_URL).alias("deals"))
+    deals = F.coalesce("deals", F.lit(1))
+    rows = rows.join(F.broadcast(often), ["host", "path"], "left").withColumn("deal", F.pmod(F.monotonically_increasing_id(), deals))
+    shared = partners.join(one, ["host", "partner"]).join(F.broadcast(often), ["host", "path"], "left")
+    shared = shared.select("host", "path", "other", F.explode(F.sequence(F.lit(0).cast("long"), deals.cast("long") - 1)).alias("deal"))
+    joined = rows.join(shared, ["host", "path", "deal"], "left").select("page_id", "url", "html", "other")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

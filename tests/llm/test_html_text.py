@@ -78,3 +78,11 @@ def test_articles_of_the_pages(spark, sf_dir):
         want[r.page_id] = "\n".join(x for x in (" ".join(y.split()) for y in "".join(p.parts).split("\n")) if x)
     got = {r.page_id: r.text for r in H.main_text(pages).collect()}
     assert got == want
+
+
+def test_sections_smaller_than_a_group_meet_their_neighbour(spark):
+    """On a host of many groups, each pair of URLs has a line of its own that only true neighbours share."""
+    rows = [(2 * i + k, f"http://h.example/{i:04}/{k}", f"<p>section {i}</p><p>own {i} {k}</p>") for i in range(200) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.main_text(pages, group=10).collect()}
+    assert got == {2 * i + k: f"own {i} {k}" for i in range(200) for k in range(2)}
