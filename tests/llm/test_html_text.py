@@ -86,3 +86,13 @@ def test_sections_smaller_than_a_group_meet_their_neighbour(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text for r in H.main_text(pages, group=10).collect()}
     assert got == {2 * i + k: f"own {i} {k}" for i in range(200) for k in range(2)}
+
+
+def test_copies_of_a_url_meet_the_next_url(spark, monkeypatch):
+    monkeypatch.setattr(H, "ROWS_OF_A_URL", 2)
+    rows = [(i, "http://h.example/a", f"<p>Welcome</p><p>crawl {i}</p>") for i in range(7)] + [(50, "http://h.example/b", "<p>Welcome</p><p>b</p>")]
+    rows += [(100 + i, None if i % 2 else "", f"<p>Menu</p><p>text {i}</p>") for i in range(6)] + [(200, "odd", "<p>Menu</p><p>odd</p>"), (200, "odd", "<p>Menu</p><p>odd</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.text) for r in H.main_text(pages).collect())
+    want = [(i, f"crawl {i}") for i in range(7)] + [(50, "b")] + [(100 + i, f"text {i}") for i in range(6)] + [(200, "odd")] * 2
+    assert got == want
