@@ -1,14 +1,15 @@
 r"""Operator 2: licence scans by conditional compression.
 
-*Candidates*: neighbouring lines that hold a licence cue are a block; a blank line within a notice doesn't end it. Rows without a cue (found JVM-side) send no text to Python.
+*Candidates*: a block is all words, whatever their lines, that are near enough to a cue to belong to a notice with it (the longest template's
+length and its slack); overlapping blocks are one. Rows without a cue (found JVM-side) send no text to Python.
 
-*Ranking*: a block is compressed with zstandard alone and with each template as raw dictionary. The template that
-saves the largest share of the block's size is tried first.
+*Ranking*: the words about each cue, in order, are a window, compressed with zstandard alone and with each template as raw dictionary. The template that
+saves the largest share of the window's size is tried first. The share ranks and is reported; no template is left out for it.
 
-*Confirmation* (``differences``): the words of template and block are aligned. A template is confirmed if at most
-``slack`` of its words are missing and no word that tells licences apart (``TELLING``, and any word with a digit)
-is missing, added or replaced inside the aligned part. Templates are tried in the order of the size reductions.
-Confirmed words are taken out of the block and what is left is tried again, so a block may hold several notices.
+*Confirmation* (``differences``): the words of template and window are aligned, with the template's cue at the window's, and about their longest
+common run. A template is confirmed if at most ``slack`` of its words are missing and no word that tells licences apart (``TELLING``, and any word with a
+digit) is missing, added or replaced inside the aligned part. Only templates are left out that can't be confirmed, by the counts of the window's words.
+Confirmed words are taken out and what is left is ranked and tried again, so a block may hold several notices.
 
 Defined results: null, empty texts and texts without a cue have no candidate; equal notices are counted each; ties go
 to the template first in the list; very long texts are scanned whole. Only the named columns are read, so others can't clash.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -58,7 +61,10 @@ TEMPLATES = (
 )
 #: Words that tell one licence from another (fixed values).
 TELLING = frozenset("mit apache bsd gnu lesser affero gpl lgpl agpl mozilla isc unencumbered creative commons cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives zero not no without later or clause domain".split())
-CUE = r"(?i)licen[sc]e|permission is hereby|permission to use|redistribut|public domain|spdx|creative commons"
+#: A cue may be wrapped, with comment signs between its words.
+CUE = r"(?i)licen[sc]e|permission\W+is\W+hereby|permission\W+to\W+use|redistribut|public\W+domain|spdx|creative\W+commons"
+#: Share of a template's words that may be missing or added.
+SLACK = 0.1
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -76,27 +82,42 @@ def _templates():
     return found, zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
-def blocks(text: str) -> list[str]:
-    """Runs of lines that hold a cue, with the lines between two of them that are blank, and all up to the notice's stop."""
-    found, run, gap = [], [], []
-    for line in text.split("\n"):
-        if _CUE.search(line):
-            run += [*gap, line]
-            gap = []
-        elif run:
-            gap.append(line)
-            if len(gap) > 2 or (line.strip() and run[-1].rstrip().endswith((".", ":"))):
-                found.append("\n".join(run))
-                run, gap = [], []
-    return [*found, "\n".join(run)] if run else found
+def _room(template: list[str], slack: float) -> int:
+    """Words by which a confirmed copy may be longer than the template."""
+    return int(slack * len(template)) + 1
+
+
+def _near(text: str, slack: float) -> tuple[list[tuple[str, int, int]], list[int], int]:
+    """Words with their places, the index of each cue's word, and how far from it a notice's words may be."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    ends = [e for _, _, e in found]
+    cues = sorted({i for m in _CUE.finditer(text) if (i := bisect_right(ends, m.start())) < len(found)})
+    return found, cues, max(len(t) + _room(t, slack) for _, t, _ in _templates()[0])
+
+
+def blocks(text: str, slack: float = SLACK) -> list[str]:
+    """Parts of a text whose words may belong to a notice with one of its cues."""
+    found, cues, reach = _near(text, slack)
+    runs: list[list[int]] = []
+    for i in cues:
+        low, high = max(i - reach, 0), min(i + reach, len(found) - 1)
+        if runs and low <= runs[-1][1]:
+            runs[-1][1] = high
+        else:
+            runs.append([low, high])
+    return [text[found[low][1] : found[high + 1][1] if high + 1 < len(found) else len(text)] for low, high in runs]
 
 
 def reductions(block: str) -> list[tuple[float, int]]:
     """Share of the block's compressed size that each template saves, largest first."""
+    return _reductions(block, range(len(TEMPLATES)))
+
+
+def _reductions(block: str, chosen) -> list[tuple[float, int]]:
     templates, plain = _templates()
-    data = block.lower().encode()
+    data = block.lower().encode("utf-8", "replace")
     alone = len(plain.compress(data))
-    return sorted((((alone - len(c.compress(data))) / alone, -i) for i, (_, _, c) in enumerate(templates)), reverse=True)
+    return sorted((((alone - len(templates[i][2].compress(data))) / alone, -i) for i in chosen), reverse=True)
 
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
@@ -115,23 +136,73 @@ def _tells(word: str) -> bool:
     return word in TELLING or any(c.isdigit() for c in word)
 
 
-def identify(block: str, least: float = 0.1, slack: float = 0.1) -> list[tuple[str, float, int]]:
-    """Confirmed licences of a block: name, size reduction, number of differing words."""
+def _possible(block: list[str], chosen, slack: float) -> list[int]:
+    """Templates whose words are in the block often enough for a confirmation, in whatever order."""
+    templates, _ = _templates()
+    has, left = Counter(block), []
+    for i in chosen:
+        lacks = Counter(templates[i][1]) - has
+        if sum(lacks.values()) <= slack * len(templates[i][1]) and not any(map(_tells, lacks)):
+            left.append(i)
+    return left
+
+
+def _confirm(own: list[str], rest: list[str], at: int, slack: float) -> tuple[int, int, int] | None:
+    """Begin, end and number of differing words of a confirmed copy with its cue at rest[at]."""
+    room = _room(own, slack)
+    low, high = max(at - len(own) - room, 0), at + len(own) + room
+    run = difflib.SequenceMatcher(None, own, rest[low:high], autojunk=False).find_longest_match()
+    starts = [low + run.b - run.a, *(at - i for i, w in enumerate(own) if w == rest[at])]
+    for start in dict.fromkeys(starts):
+        first = max(start - room, 0)
+        missing, added, begin, end = differences(own, rest[first : max(start + len(own) + room, first)])
+        if end and len(missing) <= slack * len(own) and len(added) <= slack * len(own) and not any(map(_tells, [*missing, *added])):
+            return first + begin, first + end, len(missing) + len(added)
+    return None
+
+
+def identify(block: str, slack: float = SLACK) -> list[tuple[str, float, int]]:
+    """Confirmed licences of a block: name, size reduction of the window about its cue, number of differing words."""
     templates, _ = _templates()
-    found, rest = [], words(block)
-    ranked = [(share, -i) for share, i in reductions(block) if share >= least]
-    tried = True
-    while rest and tried:
-        tried = False
-        for share, i in ranked:
-            name, own, _ = templates[i]
-            missing, added, begin, end = differences(own, rest)
-            edges = rest[max(0, begin - 1) : begin] + rest[end : end + 1]
-            inside = len(missing) <= slack * len(own) and len(added) <= slack * len(own)
-            if inside and not any(map(_tells, [*missing, *added])) and not any(w in ("not", "nc", "sa", "nd") for w in edges):
-                found.append((name, share, len(missing) + len(added)))
-                rest, tried = rest[:begin] + rest[end:], True
+    places, cues, reach = _near(block, slack)
+    places = [(*p, i) for i, p in enumerate(places)]  # the number shows where notices were taken out
+    rest = [p[0] for p in places]
+    chosen = _possible(rest, range(len(templates)), slack)
+    is_cue = [False] * len(rest)
+    for i in cues:
+        is_cue[i] = True
+
+    def denied(begin, end):
+        """Whether a word beside the copy, in the same sentence, makes it another licence or none."""
+        for k, x, y in ((begin - 1, begin - 1, begin), (end, end - 1, end)):
+            if 0 <= k < len(rest) and rest[k] in ("not", "nc", "sa", "nd") and not re.search(r"[.!?:]\s", block[places[x][2] : places[y][1]]):
+                return True
+        return False
+
+    found, at = [], 0
+    while chosen and at < len(rest):
+        if not is_cue[at]:
+            at += 1
+            continue
+        low, high = max(at - reach, 0), min(at + reach + 1, len(rest))
+        fit = _possible(rest[low:high], chosen, slack)
+        # where notices were taken out, what is left is put together
+        pieces, k = [], low
+        for i in range(low + 1, high + 1) if fit else ():
+            if i == high or places[i][3] != places[i - 1][3] + 1:
+                pieces.append(block[places[k][1] : places[i - 1][2]])
+                k = i
+        for share, i in _reductions(" ".join(pieces), fit) if fit else ():
+            name, own, _ = templates[-i]
+            copy = _confirm(own, rest, at, slack)
+            if copy and not denied(*copy[:2]):
+                begin, end, n = copy
+                found.append((name, share, n))
+                del rest[begin:end], places[begin:end], is_cue[begin:end]
+                at = max(begin - reach, 0)
                 break
+        else:
+            at += 1
     return found
 
 

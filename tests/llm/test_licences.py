@@ -35,3 +35,15 @@ def test_defined_results(spark):
     got = {r.doc_id: (r.n_candidates, len(r.notices)) for r in L.licence_scan(docs).collect()}
     assert got == {1: (0, 0), 2: (0, 0), None: (1, 1), 3: (1, 0)}
     assert L.licence_scan(docs.where("false")).count() == 0
+
+
+def test_wrapped_templates():
+    """Each template, wrapped at any usual width, as it is and as a comment."""
+    import textwrap
+
+    for name, text in L.TEMPLATES:
+        for width in range(60, 81):
+            lines = textwrap.wrap(text, width)
+            for sign in ("", "# "):
+                wrapped = "\n".join(sign + x for x in lines)
+                assert names(f"{sign}Copyright someone\n{sign}\n{wrapped}\n{sign}\nimport os") == [name], (width, wrapped)
