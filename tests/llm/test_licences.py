@@ -47,3 +47,11 @@ def test_wrapped_templates():
             for sign in ("", "# "):
                 wrapped = "\n".join(sign + x for x in lines)
                 assert names(f"{sign}Copyright someone\n{sign}\n{wrapped}\n{sign}\nimport os") == [name], (width, wrapped)
+
+
+def test_notices_in_long_lines():
+    """A notice in a long line, and neighbours that each are a small share of their block."""
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000))
+    for name, text in L.TEMPLATES:
+        assert names(f"{words} {text} {words}") == [name], text
+    assert sorted(names(" ".join(t for _, t in L.TEMPLATES))) == sorted(n for n, _ in L.TEMPLATES)
