@@ -2,8 +2,10 @@ r"""Operator 10: benchmark decontamination by template canonicalisation.
 
 *Templates* (``tokens``): a text is words without their outer punctuation, in lower case. A word that begins with a digit
 becomes the placeholder NUMBER, a unit after a number UNIT, a capitalised word inside a sentence NAME; every other word stands for
-itself. Windows of ``window`` tokens are hashed; windows with fewer than half their tokens literal identify nothing and are left out.
-An item of fewer than ``window`` tokens is one window of its own length (four tokens at least).
+itself. Windows of ``window`` tokens are hashed; windows with fewer than half their tokens literal identify no template and are left out.
+An item of fewer than ``window`` tokens is one window of its own length. An item of fewer than four tokens, or without a window that
+identifies a template (number sequences, tables, lists of names), is met by value: its windows are hashed with the words that stand in them,
+so only equal words match, whatever their kind.
 
 *Hash join*: the windows of a block of benchmark items are a sorted hash array that each task probes with all
 windows of all its texts. A block has at most ``block_words`` words, the proven bound of what is sent to tasks; a larger benchmark is
@@ -38,7 +40,9 @@ UNITS = (
     "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "percent", "degrees", "mph", "kmh", "kb", "mb", "gb", "tb", "hz", "w", "kw", "v", "a", "j",
 )
 NUMBER, UNIT, NAME = (np.uint64(x) for x in mix(np.array([11, 12, 13], np.uint64)))
+#: Items of fewer tokens are met by value.
 SHORTEST = 4
+_BY_VALUE = mix(np.array([17], np.uint64))[0]
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 _DIGIT = np.zeros(256, bool)
@@ -67,7 +71,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 def tokens(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """Token, literal flag, piece, and the stripped word's bytes (begin, end) for each word that has a letter or digit."""
+    """Token, literal flag, piece, the stripped word's bytes (begin, end) and its own hash for each word that has a letter or digit."""
     first, last, piece = words(data, begin, end)
     origin = int(begin[0])
     text = data[origin : int(end[-1])]
@@ -84,7 +88,7 @@ def tokens(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
     b = np.where(bare, last[keep], solid[right[keep]] + 1)
     piece = piece[keep]
     lowered = _lowered(text)
-    token = Spans(lowered)(a, b)
+    token = value = Spans(lowered)(a, b)
     number = _DIGIT[text[a]]
     follows = np.r_[False, piece[1:] == piece[:-1]]
     unit = np.r_[False, number[:-1]] & follows & np.isin(token, _unit_hashes())
@@ -94,7 +98,7 @@ def tokens(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
     latin = (text[a] == 0xC3) & (lowered[np.minimum(a + 1, len(text) - 1)] != text[np.minimum(a + 1, len(text) - 1)])
     name = inside & ~number & ~unit & (_UPPER[text[a]] | latin) & (upper[b] - upper[a] == _UPPER[text[a]]) & (b - a > 1)
     token = np.select([number, unit, name], [NUMBER, UNIT, NAME], token)
-    return token, ~(number | unit | name), piece, a + origin, b + origin
+    return token, ~(number | unit | name), piece, a + origin, b + origin, value
 
 
 def windows(token: np.ndarray, literal: np.ndarray, piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +114,30 @@ def windows(token: np.ndarray, literal: np.ndarray, piece: np.ndarray, size: int
     return good, mix(h[good])
 
 
+def windows_by_value(value: np.ndarray, piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and hash of each window, by the words themselves."""
+    at, h = windows(value, np.ones(len(value), bool), piece, size)
+    return at, h ^ _BY_VALUE
+
+
 class Probe:
     """Sorted window hashes of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, share: float):
         self.share, self.window = share, window
-        self.ids, self.words, self.sizes, self.total = [], [], [], []
+        self.ids, self.words, self.sizes, self.total, self.by_value = [], [], [], [], []
         hashes, owner, place = [], [], []
         for item_id, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
             found = tokens(raw, np.array([0]), np.array([len(raw)])) if len(raw) else None
-            if found is None or len(found[0]) < SHORTEST:
+            if found is None or not len(found[0]):
                 continue
-            token, literal, piece, a, b = found
+            token, literal, piece, a, b, value = found
             size = min(window, len(token))
             at, h = windows(token, literal, piece, size)
-            if not len(at):
-                continue
+            by_value = len(token) < SHORTEST or not len(at)
+            if by_value:
+                at, h = windows_by_value(value, piece, size)
             slots = {i: bytes(raw[a[i] : b[i]]).lower() for i in np.flatnonzero(~literal).tolist()}
             hashes.append(h)
             owner.append(np.full(len(at), len(self.ids)))
@@ -135,21 +146,22 @@ class Probe:
             self.words.append(slots)
             self.sizes.append(size)
             self.total.append(len(at))
+            self.by_value.append(by_value)
         self.hashes, self.owner, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (owner, np.int64), (place, np.int64)))
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.owner, self.place = self.hashes[order], self.owner[order], self.place[order]
-        self.lengths = sorted(set(self.sizes))
+        self.lengths = sorted(set(zip(self.sizes, self.by_value, strict=True)))
 
-    def hits(self, token, literal, piece):
+    def hits(self, token, literal, piece, value):
         """Index of the first word of each window of the text that some item has, with the range of items."""
-        for size in self.lengths:
-            at, h = windows(token, literal, piece, size)
+        for size, by_value in self.lengths:
+            at, h = windows_by_value(value, piece, size) if by_value else windows(token, literal, piece, size)
             low = np.searchsorted(self.hashes, h)
             met = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == h)
             for i in met.tolist():
                 high = int(np.searchsorted(self.hashes, h[i], "right"))
                 for k in range(int(low[i]), high):
-                    if self.sizes[self.owner[k]] == size:
+                    if (self.sizes[self.owner[k]], self.by_value[self.owner[k]]) == (size, by_value):
                         yield int(at[i]), int(self.owner[k]), int(self.place[k])
 
 
@@ -167,7 +179,7 @@ def _judge(probe: Probe, item: int, met: set[tuple[int, int, tuple]]) -> tuple[f
             continue
         stands, exact, consistent = {}, True, True
         for place, values in group:
-            own = [probe.words[item][i] for i in range(place, place + probe.sizes[item]) if i in probe.words[item]]
+            own = [probe.words[item][i] for i in range(place, place + probe.sizes[item]) if i in probe.words[item]] if values else []
             for x, y in zip(own, values, strict=True):
                 consistent &= stands.setdefault(x, y) == y
                 exact &= x == y
@@ -206,9 +218,10 @@ def _leaks(probe: Probe):
             for part in found:
                 if part is None:
                     continue
-                token, literal, piece, a, b = part
-                for at, item, place in probe.hits(token, literal, piece):
-                    values = tuple(bytes(data[a[k] : b[k]]).lower() for k in range(at, at + probe.sizes[item]) if not literal[k])
+                token, literal, piece, a, b, value = part
+                for at, item, place in probe.hits(token, literal, piece, value):
+                    paired = () if probe.by_value[item] else range(at, at + probe.sizes[item])
+                    values = tuple(bytes(data[a[k] : b[k]]).lower() for k in paired if not literal[k])
                     met[i + int(piece[at]), item].add((at - place, place, values))
         rows = defaultdict(list)
         for (row, item), places in sorted(met.items()):

@@ -63,3 +63,14 @@ def test_long_text_in_pieces(monkeypatch):
         data = np.frombuffer(b"short " + text, np.uint8)
         found = D._leaks(probe)(data, np.array([0, 6, len(data)]))
         assert [x[0] for x in found[1]] == [2] and not found[0]
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 12])
+def test_items_of_placeholders_and_short_items_are_met_by_value(spark, block_words):
+    items = [(1, "2, 4, 8, 16, 32, what comes next?"), (2, "3 + 4 = 7"), (3, "Alice Met Bob Jones In Old Paris Near Big Ben On Monday Morning"), (4, "17 * 3"), (5, "1 1 2 3 5 8 13 21 34 55 89 144")]
+    texts = {10: ("so: 2, 4, 8, 16, 32, what comes next? tell", [1]), 11: ("2, 4, 8, 16, 33, what comes next?", []), 12: ("it says 3 + 4 = 7.", [2]), 13: ("3 + 5 = 8", []), 14: ("we know Alice Met Bob Jones In Old Paris Near Big Ben On Monday Morning", [3]), 15: ("17 * 3", [4]), 16: ("17 * 4", []), 17: ("x 1 1 2 3 5 8 13 21 34 55 89 144 y", [5]), 18: ("We saw Carol Meet Dan Smith At New Rome By Big Tom On Friday Evening", [])}
+    docs = spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks if x.exact] for r in D.leaks(docs, bench, block_words=block_words).collect()}
+    assert got == {k: v[1] for k, v in texts.items()}
+    assert {r.doc_id for r in D.without_leaks(docs, bench, block_words=block_words).collect()} == {11, 13, 16, 18}
