@@ -46,8 +46,8 @@ def _lines(spark, sf):
     n = F.coalesce(F.length("text"), F.lit(0))
     use_id = lambda t: F.concat(F.lit("t"), t.cast("string"))
     path = F.concat(F.lit("src/f"), (n % 5).cast("string"), F.lit(".js"))
-    tool = F.when(n % 3 == 0, F.struct(F.lit("tool_use").alias("type"), use_id(F.col("turn")).alias("id"), F.lit("Write").alias("name"), F.to_json(F.struct(path.alias("file_path"), F.substring("text", 1, 200).alias("content"))).alias("input"))).otherwise(
-        F.struct(F.lit("tool_use").alias("type"), use_id(F.col("turn")).alias("id"), F.lit("Edit").alias("name"), F.to_json(F.struct(path.alias("file_path"), F.substring("text", 1, 20).alias("old_string"), F.substring("text", 1, 60).alias("new_string"))).alias("input"))
+    tool = F.when(n % 3 == 0, F.struct(F.lit("tool_use").alias("type"), use_id(F.col("turn")).alias("id"), F.lit("Write").alias("name"), F.to_json(F.struct(path.alias("file_path"), F.col("text").alias("content"))).alias("input"))).otherwise(
+        F.struct(F.lit("tool_use").alias("type"), use_id(F.col("turn")).alias("id"), F.lit("Edit").alias("name"), F.to_json(F.struct(path.alias("file_path"), F.substring("text", 1, 20).alias("old_string"), F.col("text").alias("new_string"))).alias("input"))
     )
     # input is an object in a transcript, not a string
     block = F.concat(F.lit('[{"type":"tool_use","id":"'), use_id(F.col("turn")), F.lit('","name":"'), tool["name"], F.lit('","input":'), tool["input"], F.lit("}]"))

@@ -120,3 +120,13 @@ def test_text_functions(spark):
         assert tuple(one(X.shell_label(F.lit(command)))[0]) == want, command
     kept = one(X.parse_kept(F.lit('{"paths":[{"path":"a"}],"skills":["s"]}')), X.parse_kept(F.lit('[{"path":"b"}]')), X.parse_kept(F.lit("{bad")))
     assert [k.status for k in kept] == ["ok", "ok", "error"] and kept[0].skills == ["s"] and kept[1].paths[0].path == "b"
+
+
+def test_tool_writes_count_the_whole_text(spark, tmp_path):
+    from stockline.plans.tree_queries import tool_writes
+
+    text = lambda n: ("some words of a longer turn " * n)[:n]
+    rows = [(i, t, role, x) for i, n in enumerate((3000, 6000, 3001, 6001)) for t, role, x in ((1, "assistant", text(n)), (2, "user", "ok"))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.session_id: r.path_tokens for r in tool_writes(spark, str(tmp_path)).collect()}
+    assert got[1] > 1.9 * got[0] > 0 and got[3] > 1.9 * got[2] > 0
