@@ -25,10 +25,13 @@ Anchors that are very frequent (estimated on a sample, which affects the route a
 the result) are taken window by window: each window is then its own bucket, combined
 before the shuffle, so no bucket grows with the number of documents that share a line.
 
+A row is known by (doc_id, 64-bit hash of its text) everywhere, so rows without a doc_id, or
+with that of another row, never get each other's spans.
+
 Defined results: null text is empty; a null doc_id sorts after all others; rows that
-repeat a doc_id are ordered by a hash of their texts, and rows equal in both are
-never earlier than one another; an empty table gives an empty result. Other columns
-are carried in a struct, so their names can't clash.
+repeat a doc_id (null too) are ordered by the hash of their texts, and rows equal in both are
+one document that is there several times: they are never earlier than one another and lose the same bytes;
+an empty table gives an empty result. Other columns are carried in a struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -55,15 +58,14 @@ COVER_PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 COVER_LENGTH = LENGTH - COVER_PERIOD
 #: Bytes of suffix buckets that are sorted at once.
 BLOCK_BYTES = 1 << 19
-#: An anchor with more rows than this, or than one in a million of all rows, is taken window by window.
-HOT_ROWS, HOT_SAMPLE = 20_000, 1 / 64
+#: An anchor with more rows than this is taken window by window. The list of such anchors is sent to tasks; where it would pass
+#: MOST_HOT (64 MB), the rarest of them stay buckets of their own.
+HOT_ROWS, HOT_SAMPLE, MOST_HOT = 20_000, 1 / 64, 1 << 23
 
 _INDEX_BITS = 26
 _LAST = (1 << 63) - 1
-#: A place in a text, packed with a 15-bit hash of the text above it.
-_PLACE = (1 << 34) - 1
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-ANCHOR_SCHEMA = "repeat boolean, h long, c int, doc long, at long"
+ANCHOR_SCHEMA = "repeat boolean, h long, c int, doc long, print long, at long"
 #: Bytes of text whose equal runs are combined before the shuffle, and rows sent to Spark at once.
 COMBINE_BYTES, SEND_ROWS = 8 << 20, 1 << 16
 
@@ -99,9 +101,9 @@ def _windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple | No
 
 
 def _anchors(hot: np.ndarray):
-    """Batches (doc, tag, text) to rows of ANCHOR_SCHEMA: a run's bucket, or a span that is a repeat within this batch."""
+    """Batches (doc, print, text) to rows of ANCHOR_SCHEMA: a run's bucket, or a span that is a repeat within this batch."""
 
-    def one(data, offsets, doc, tag) -> Iterator[tuple]:
+    def one(data, offsets) -> Iterator[tuple]:
         for rows, begin, end in pieces(offsets, LENGTH - 1):
             if (found := _windows(data, begin, end)) is None:
                 continue
@@ -116,42 +118,55 @@ def _anchors(hot: np.ndarray):
                 first, last = np.r_[first[~own], at], np.r_[last[~own], at]
             row = rows[piece]
             at = ((first + begin[0] - offsets[row]) << 14) | ((last - first) << 7) | (anchor - first)
-            yield bucket, content(first, last + LENGTH), doc[row], at | (tag[row] << 48)
+            yield bucket, content(first, last + LENGTH), row, at
 
-    def combined(data, offsets, doc, tag):
-        found = list(one(data, offsets, doc, tag))
+    def combined(data, offsets, doc, print_):
+        found = list(one(data, offsets))
         if not found:
             return
-        h, c, d, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        h, c, row, at = (np.concatenate(x) for x in zip(*found, strict=True))
         c = (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        place, owner = _documents(doc, print_)
+        d = place[row]
         order = np.lexsort((at, d, c, h))
         h, c, d, at = h[order], c[order], d[order], at[order]
         same = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] != at[:-1]))]
         kept = np.flatnonzero(~same)[np.argsort(order[~same])]
-        yield from _rows(False, h[kept], c[kept], d[kept], at[kept])
+        row = owner[d[kept]]
+        yield from _rows(False, h[kept], c[kept], doc[row], print_[row], at[kept])
         if same.any():
-            d, place, until = _merged(d[same], at[same] >> 14, (at[same] >> 14) + (at[same] >> 7 & 127) + LENGTH)
-            yield from _rows(True, mix(d.view(np.uint64) ^ place.view(np.uint64)), (until - place).astype(np.int32), d, place)
+            d, begin, until = _merged(d[same], at[same] >> 14, (at[same] >> 14) + (at[same] >> 7 & 127) + LENGTH)
+            row = owner[d]
+            yield from _rows(True, mix(doc[row].view(np.uint64) ^ begin.view(np.uint64)), (until - begin).astype(np.int32), doc[row], print_[row], begin)
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            doc, print_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i, j in runs(offsets, COMBINE_BYTES):
-                yield from combined(data, offsets[i : j + 1], doc[i:j], tag[i:j])
+                yield from combined(data, offsets[i : j + 1], doc[i:j], print_[i:j])
 
     return run
 
 
-def _rows(repeat: bool, h, c, doc, at) -> Iterator[pa.RecordBatch]:
+def _documents(doc: np.ndarray, print_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each row's document in order of (doc, print), equal for equal rows, and one row of each place."""
+    order = np.lexsort((print_, doc))
+    fresh = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (print_[order][1:] != print_[order][:-1])][: len(order)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return place, order[fresh]
+
+
+def _rows(repeat: bool, h, c, doc, print_, at) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(h), SEND_ROWS):
         part = slice(i, i + SEND_ROWS)
-        arrays = [pa.array(np.full(len(h[part]), repeat)), pa.array(h[part].view(np.int64)), pa.array(c[part]), pa.array(doc[part]), pa.array(at[part])]
-        yield pa.RecordBatch.from_arrays(arrays, ["repeat", "h", "c", "doc", "at"])
+        arrays = [pa.array(np.full(len(h[part]), repeat)), pa.array(h[part].view(np.int64)), *(pa.array(x[part]) for x in (c, doc, print_, at))]
+        yield pa.RecordBatch.from_arrays(arrays, ["repeat", "h", "c", "doc", "print", "at"])
 
 
 def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of spans within each document, as maximal spans; begin holds the tag in its high bits, as does end."""
+    """Union of spans within each document, as maximal spans."""
     order = np.lexsort((begin, doc))
     doc, begin, end = doc[order], begin[order], end[order]
     start = np.r_[True, doc[1:] != doc[:-1]]
@@ -238,61 +253,60 @@ def _sort_block(text, bucket, begin, doc, at):
 
 
 def _bucket_sort(batches):
-    """Batches (h, doc, at, bytes), sorted by h, to spans (doc, at, size); a block ends where a bucket ends."""
+    """Batches (h, doc, print, at, bytes), sorted by h, to spans (doc, print, begin, end); a block ends where a bucket ends."""
 
-    def sort(h, doc, at, parts):
+    def sort(h, doc, print_, at, parts):
         text = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
         begin = np.r_[0, np.cumsum((at >> 7 & 127) + LENGTH)]
-        run, first, last = _sort_block(text, h, begin, doc, at)
-        place = (at[run] >> 14 & _PLACE) + first
-        arrays = (doc[run], at[run] >> 48, place, place + (last - first) + LENGTH)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], ["doc", "tag", "begin", "end"])
+        run, first, last = _sort_block(text, h, begin, _documents(doc, print_)[0], at)
+        place = (at[run] >> 14) + first
+        arrays = (doc[run], print_[run], place, place + (last - first) + LENGTH)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], ["doc", "print", "begin", "end"])
 
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), batch.column(3).to_pylist()])
-        size += sum(map(len, held[-1][3]))
+        held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), batch.column(4).to_pylist()])
+        size += sum(map(len, held[-1][4]))
         if size >= BLOCK_BYTES:
-            h, doc, at = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
-            parts = [y for x in held for y in x[3]]
-            cut = int(np.searchsorted(h, h[-1], "left"))
+            columns = [np.concatenate(x) for x in list(zip(*held, strict=True))[:4]] + [[y for x in held for y in x[4]]]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
             if cut:
-                yield sort(h[:cut], doc[:cut], at[:cut], parts[:cut])
-            held, size = [[h[cut:], doc[cut:], at[cut:], parts[cut:]]], sum(map(len, parts[cut:]))
+                yield sort(*(x[:cut] for x in columns))
+            held, size = [[x[cut:] for x in columns]], sum(map(len, columns[4][cut:]))
     if held:
-        h, doc, at = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
-        yield sort(h, doc, at, [y for x in held for y in x[3]])
+        yield sort(*(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]), [y for x in held for y in x[4]])
 
 
 def _cut_runs(at_text: int):
-    """Batches (row, doc, runs of (h, at)) to the bytes of each run."""
+    """Batches (row, doc, print, runs of (h, at)) to the bytes of each run."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(0).field(at_text))
-            doc, lists = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            doc, print_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            lists = batch.column(3)
             flat = lists.flatten()
             h, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             row = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            begin = offsets[row] + (at >> 14 & _PLACE)
+            begin = offsets[row] + (at >> 14)
             end = begin + (at >> 7 & 127) + LENGTH
             view = memoryview(np.ascontiguousarray(data))
             for i in range(0, len(h), SEND_ROWS):
                 s = slice(i, i + SEND_ROWS)
                 part = pa.array([view[a:b] for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(doc[row[s]]), pa.array(at[s]), part], ["h", "doc", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(doc[row[s]]), pa.array(print_[row[s]]), pa.array(at[s]), part], ["h", "doc", "print", "at", "part"])
 
     return run
 
 
 def _hot_anchors(texts: DataFrame) -> np.ndarray:
-    """Anchors that are probably above the bound. At most a million: the threshold is a share of all rows."""
+    """Anchors that are probably above HOT_ROWS, at most MOST_HOT of them."""
     sample = texts.sample(HOT_SAMPLE, seed=1).mapInArrow(_anchors(np.zeros(0, np.uint64)), ANCHOR_SCHEMA).where("not repeat")
     counts = sample.groupBy("h").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(HOT_ROWS * HOT_SAMPLE, total / 1e6)
+    least = max(HOT_ROWS * HOT_SAMPLE, total / MOST_HOT)
     return np.sort(np.array([r[0] for r in counts.where(F.col("count") > least).select("h").toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -302,33 +316,32 @@ def _spanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     keyed = docs.select(
         F.struct("*").alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"),
-        (F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(0x7FFF)).alias("tag"),
+        F.coalesce(F.xxhash64(text), F.lit(0)).alias("print"),
     )
-    texts = keyed.select("doc", "tag", F.col(f"row.{text}").alias("text"))
+    texts = keyed.select("doc", "print", F.col("row").getField(text).alias("text"))
     found = texts.mapInArrow(_anchors(_hot_anchors(texts)), ANCHOR_SCHEMA)
-    bucket, same = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("doc", "at")
+    bucket, same = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("doc", "print", "at")
     marked = (
-        found.withColumn("first", F.first(F.struct("doc", "at")).over(same))
+        found.withColumn("first", F.first(F.struct("doc", "print", "at")).over(same))
         .withColumn("several", F.min("c").over(bucket) != F.max("c").over(bucket))
-        .withColumn("again", F.struct("doc", "at") != F.col("first"))
+        .withColumn("again", F.struct("doc", "print", "at") != F.col("first"))
         .where("repeat or several or again")
     )
-    tag = F.when(F.col("repeat"), F.shiftright("at", 34)).otherwise(F.shiftright("at", 48))
-    begin = F.when(F.col("repeat"), F.col("at")).otherwise(F.shiftright("at", 14)).bitwiseAND(F.lit(_PLACE))
+    begin = F.when(F.col("repeat"), F.col("at")).otherwise(F.shiftright("at", 14))
     size = F.when(F.col("repeat"), F.col("c").cast("long")).otherwise(F.shiftright("at", 7).bitwiseAND(F.lit(127)) + LENGTH)
     listed = cut_lineage(
-        marked.groupBy("doc", tag.alias("tag")).agg(
+        marked.groupBy("doc", "print").agg(
             F.collect_list(F.when(~F.col("again") & ~F.col("repeat"), F.struct("h", "at"))).alias("runs"),
             F.collect_list(F.when(F.col("again") | F.col("repeat"), F.struct(begin.alias("begin"), (begin + size).alias("end")))).alias("again"),
         )
     )
-    joined = keyed.join(listed, ["doc", "tag"], "left")
-    parts = joined.where(F.size("runs") > 0).select("row", "doc", "runs").mapInArrow(_cut_runs(docs.columns.index(text)), "h long, doc long, at long, part binary")
-    spans = parts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_bucket_sort, "doc long, tag long, begin long, end long")
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("more"))
+    joined = keyed.join(listed, ["doc", "print"], "left")
+    parts = joined.where(F.size("runs") > 0).select("row", "doc", "print", "runs").mapInArrow(_cut_runs(docs.columns.index(text)), "h long, doc long, print long, at long, part binary")
+    spans = parts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_bucket_sort, "doc long, print long, begin long, end long")
+    spans = spans.groupBy("doc", "print").agg(F.collect_list(F.struct("begin", "end")).alias("more"))
     empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     whole = F.concat(F.coalesce("again", empty), F.coalesce("more", empty))
-    return joined.join(spans, ["doc", "tag"], "left").select("row", whole.alias("spans"))
+    return joined.join(spans, ["doc", "print"], "left").select("row", whole.alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

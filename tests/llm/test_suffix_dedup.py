@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from stockline.llm import suffix_dedup as S
 
@@ -60,12 +61,12 @@ def test_small_blocks(monkeypatch):
 
     rows = corpus(7, 40)
     text = pa.array([t for _, t in rows])
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([0] * len(rows)), text], ["doc", "tag", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([0] * len(rows)), text], ["doc", "print", "text"])
     found = [b for b in S._anchors(np.zeros(0, np.uint64))([batch]) if not b.column(0)[0].as_py()]
-    runs = sorted(r for b in found for r in zip(*(b.column(i).to_pylist() for i in (1, 3, 4)), strict=True))
+    runs = sorted(r for b in found for r in zip(*(b.column(i).to_pylist() for i in (1, 3, 5)), strict=True))
     cut = lambda d, a: (rows[d][1] or "").encode()[(a >> 14) : (a >> 14) + (a >> 7 & 127) + S.LENGTH]
-    arrays = [pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs]), pa.array([r[2] for r in runs]), pa.array([cut(r[1], r[2]) for r in runs])]
-    whole = pa.RecordBatch.from_arrays(arrays, ["h", "doc", "at", "part"])
+    arrays = [pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs]), pa.array([0] * len(runs)), pa.array([r[2] for r in runs]), pa.array([cut(r[1], r[2]) for r in runs])]
+    whole = pa.RecordBatch.from_arrays(arrays, ["h", "doc", "print", "at", "part"])
     results = []
     for size in (1, 4 << 20):
         monkeypatch.setattr(S, "BLOCK_BYTES", size)
@@ -97,3 +98,28 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert kept.columns == docs.columns and kept.count() == 5
     assert {r.text for r in kept.where("doc_id = 2").collect()} == {None}
     assert S.repeated_spans(docs.where("false")).count() == 0
+
+
+def place(doc, text):
+    """Where a row stands: null doc_ids last, rows of one doc_id by the hash of their texts."""
+    hashed = xxhash.xxh64_intdigest((text or "").encode(), seed=42) if text is not None else 0
+    return doc is None, doc or 0, hashed - (1 << 64) if hashed >> 63 else hashed
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """2,000 rows without a doc_id and 500 that share 50 of them, row by row as by brute force."""
+    rng = random.Random(11)
+    letters = lambda k: "".join(rng.choice("abcdefghijkl ") for _ in range(k))
+    shared = letters(160)
+    rows = [(None, (shared if i % 2 else "") + letters(130)) for i in range(2000)]
+    rows += [(i % 50, letters(120) + (shared[: 100 + i % 60] if i % 3 else "")) for i in range(500)]
+    rows = list(dict.fromkeys(rows))
+    want = sorted(brute([(place(*r), r[1]) for r in rows]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r)[1:] for r in S.digest(docs).collect()))
+    assert got == sorted(w[1:] for w in want)
+    kept = {(r.row.doc_id, r.row.text): r.spans for r in S.repeated_spans(docs).collect()}
+    by_row = {(doc, text): n for (doc, text), n in zip(sorted(rows, key=lambda r: place(*r)), [w[2] for w in want], strict=True)}
+    assert {k: sum(s.end - s.begin for s in v) for k, v in kept.items()} == by_row
+    # a row loses bytes exactly where it holds the shared passage and isn't the first that does
+    assert sum(1 for n in by_row.values() if n) == sum(1 for d, t in rows if shared[:100] in t) - 1
