@@ -5,7 +5,7 @@ r"""Operator 4: near duplicates by fast similarity sketching, banding and exact
    ranks after those of all earlier rounds; every bin keeps its least value. After ``SIZE`` rounds,
    round SIZE + j puts all shingles in bin j, so every coordinate is filled. It takes
    O(n + SIZE log SIZE) expected steps and keeps the concentration of independent coordinates.
-3. Documents with one set are one class, represented by its least doc_id. Representatives meet
+3. Documents with one set are one class, a node with a number of its own, represented by the text of one row. Classes meet
    where all rows of a band agree. With 32 bands of 5 rows a pair at similarity 0.85 fails to meet
    with probability 1e-8, at 0.8 with 4e-6.
 4. Links are confirmed on the full sets. Each member of a bucket is compared with the bucket's centre, the member
@@ -13,15 +13,16 @@ r"""Operator 4: near duplicates by fast similarity sketching, banding and exact
    partners by the prefix filter (``_candidates``), which loses no similar pair: both members of a bucket have its centre,
    so a common order of their shingles. Pairs inside a component are never made, so a group of n copies
    gives about n pairs, and no link between components is lost.
-5. Components: least label over links with pointer jumping; each step is cut by a checkpoint.
+5. Components: least label over links with pointer jumping; each step is cut by a checkpoint. A component's id is its least doc_id.
 
 Hot groups: exact copies and buckets are pre-aggregated before their shuffles, and rows meet their
 bucket in joins that adaptive execution splits.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own
-component; rows that repeat a doc_id are each placed by their own text (groups with the same least
-doc_id share a component); a null doc_id sorts last and comes back as null; an empty table gives an
-empty result. Only ``doc_id`` and ``text`` are read, so other columns can't clash.
+component; rows are told apart by doc_id and text (64 bits of hash), never by doc_id alone, so rows that repeat a doc_id, or
+have none, are each placed by their own text (components with the same least doc_id have one component_id); a null doc_id sorts last and comes back as null, and a component of such rows has component_id null and its rows are ``kept``; an empty
+table gives an empty result. Only ``doc_id`` and ``text`` are read, so other columns can't clash. ``distinct`` keeps one row for each component
+even where ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
 def _sketches(size: int):
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             n = np.zeros(batch.num_rows, np.int64)
             prints = np.zeros((2, batch.num_rows), np.uint64)
             coordinates = []
@@ -102,7 +103,7 @@ def _sketches(size: int):
             keys = band_keys(np.array(coordinates, np.uint64).reshape(-1, SIZE)).view(np.int64).ravel()
             lengths = np.r_[0, np.cumsum((n > 0) * BANDS)].astype(np.int32)
             f = [pa.array(x.view(np.int64)) for x in prints]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *f, pa.ListArray.from_arrays(pa.array(lengths), pa.array(keys))], ["doc", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *f, pa.ListArray.from_arrays(pa.array(lengths), pa.array(keys))], ["doc", "print", "n", "f1", "f2", "bands"])
 
     return run
 
@@ -206,14 +207,15 @@ def _candidates(starred: DataFrame, labels: DataFrame, percent: int) -> DataFram
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * common >= percent * union."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """doc, print, n, group_id (a node of the component, null for rows without words) and component for each row of docs."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    sketched = cut_lineage(texts.mapInArrow(_sketches(shingle), "doc long, n long, f1 long, f2 long, bands array<long>"))
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("print"), F.col(text).alias("text"))
+    sketched = cut_lineage(texts.mapInArrow(_sketches(shingle), "doc long, print long, n long, f1 long, f2 long, bands array<long>"))
     key = ["n", "f1", "f2"]
-    classes = sketched.where("n > 0").groupBy(*key).agg(F.min("doc").alias("member"), F.first("bands").alias("bands"))
-    member = classes.select("member", F.explode("bands").alias("band"))
+    classes = sketched.where("n > 0").groupBy(*key).agg(F.min("doc").alias("least_doc"), F.first(F.struct("doc", "print")).alias("row"), F.first("bands").alias("bands"))
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    member = classes.select(F.col("node").alias("member"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("size"), F.min("member").alias("low"), F.max("member").alias("high")).where("low <> high").select("band", "size")
     buckets = cut_lineage(member.join(shared, "band").distinct())
     # a bucket's centre is its member that meets most others over all bands
@@ -221,8 +223,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     weighted = buckets.join(weight, "member")
     centre = weighted.groupBy("band").agg(F.max(F.struct("weight", -F.col("member"))).alias("top")).select("band", (-F.col("top")[F.lit("col2")]).alias("centre"))
     pairs = buckets.join(centre, "band").where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b")).distinct()
-    involved = buckets.select(F.col("member").alias("doc")).distinct()
-    sets = cut_lineage(texts.join(involved, "doc", "left_semi").mapInArrow(_full_sets(shingle), "doc long, shingles binary").where("shingles is not null"))
+    involved = classes.join(buckets.select(F.col("member").alias("node")).distinct(), "node").select("node", "row.doc", "row.print")
+    # rows equal in doc and print are one text
+    found = texts.join(involved, ["doc", "print"]).groupBy("doc", "print", "node").agg(F.first("text").alias("text"))
+    sets = cut_lineage(found.select("node", "text").mapInArrow(_full_sets(shingle), "doc long, shingles binary").where("shingles is not null"))
     starred = cut_lineage(_with_sets(pairs, sets).mapInArrow(_compared(percent), "a long, b long, n long, similar boolean, prefix array<long>"))
     links = starred.where("similar").select("a", "b")
     labels = components(links)
@@ -230,10 +234,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not more.isEmpty():
         found = cut_lineage(_with_sets(more, sets).mapInArrow(_confirmed(percent), "a long, b long"))
         labels = components(links.union(found))
-    representative = sketched.where("n > 0").join(classes.select(*key, "member"), key).select("doc", *key, "member")
-    grouped = representative.join(labels.select(F.col("doc").alias("member"), "label"), "member", "left").select("doc", *key, F.coalesce("label", "member").alias("component"))
-    alone = sketched.where("n = 0").select("doc", *key, F.col("doc").alias("component"))
-    whole = grouped.unionByName(alone)
+    nodes = classes.select(*key, "node", "least_doc").join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").withColumn("group_id", F.coalesce("label", "node"))
+    least = nodes.where("label is not null").groupBy("label").agg(F.min("least_doc").alias("least"))
+    nodes = nodes.join(least, "label", "left").select(*key, "group_id", F.coalesce("least", "least_doc").alias("component"))
+    linked = sketched.where("n > 0").join(nodes, key).select("doc", "print", "n", "group_id", "component")
+    alone = sketched.where("n = 0").select("doc", "print", "n", F.lit(None).cast("long").alias("group_id"), F.col("doc").alias("component"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * common >= percent * union."""
+    whole = _grouped(docs, doc_id, text, shingle, percent)
     null_last = lambda c: F.when(F.col(c) == _LAST, F.lit(None)).otherwise(F.col(c)).alias(c)
     named = whole.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
     return named.select(null_last("doc_id"), "n_shingles", null_last("component_id"), "kept")
+
+
+def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row for each component: that of the least doc_id, of the least hash of the text if several rows have it.
+
+    Rows that repeat a doc_id and a text are one row, with words or without.
+    """
+    whole = _grouped(docs, doc_id, text, shingle, percent)
+    chosen = whole.where("n > 0").groupBy("group_id").agg(F.min(F.struct("doc", "print")).alias("x")).select("x.doc", "x.print")
+    chosen = chosen.union(whole.where("n = 0").select("doc", "print").distinct()).withColumnsRenamed({"doc": "_doc", "print": "_print"})
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_print"))
+    return keyed.join(chosen, ["_doc", "_print"], "left_semi").groupBy("_doc", "_print").agg(F.first("row").alias("row")).select("row.*")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockline.llm import minhash as M
 
@@ -99,3 +100,39 @@ def test_empty_and_repeated_rows(spark):
     got = sorted((tuple(r) for r in M.near_duplicates(docs).collect()), key=str)
     assert got == [(4, 1, 4, True), (4, 1, 4, True), (None, 1, 4, False)]
     assert M.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """Rows are compared by their own texts: numbered by hand they give the same components."""
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 90))] for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        words = list(rng.choice(base))
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "edited"
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    ids = [None if i % 2 else i % 30 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    numbered = brute(list(enumerate(texts)), 3, 85)
+    groups = {}
+    for i, _, root, _ in numbered:
+        groups.setdefault(root, []).append(i)
+    least = {root: min((ids[i] for i in members if ids[i] is not None), default=None) for root, members in groups.items()}
+    want = sorted(((ids[i], n, least[root], ids[i] == least[root]) for i, n, root, _ in numbered), key=str)
+    assert sorted((tuple(r) for r in M.near_duplicates(docs, shingle=3, percent=85).collect()), key=str) == want
+    repeated = docs.union(docs).withColumn("_doc", F.lit(1))
+    kept = M.distinct(repeated, shingle=3, percent=85).collect()
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_doc"}
+    of = {t: root for (_, _, root, _), t in zip(numbered, texts, strict=True)}
+    assert sorted(of[r.text] for r in kept) == sorted(groups)
+    for r in kept:
+        assert r.doc_id == least[of[r.text]]
+
+
+def test_every_link_of_the_documents(spark, sf_dir):
+    """All pairs by an inverted index of shingles, against the components found: recall and precision are 1."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in M.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85).collect())
+    assert got == brute(rows, 3, 85)
