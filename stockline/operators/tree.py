@@ -5,19 +5,12 @@ Entries: session_id, ord, uuid, parent_uuid, is_sidechain. A thread of n entries
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = ["session_id", "uuid"]
-
+from stockline.sources.shared import cut_lineage
 
-def _cut(df: DataFrame) -> DataFrame:
-    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+KEY = ["session_id", "uuid"]
 
 
 def tree_edges(entries: DataFrame) -> DataFrame:
@@ -32,14 +25,14 @@ def _doubled(links: DataFrame) -> DataFrame:
 
     A chain is no longer than its session, so cycles stop after log2 of the largest session's links.
     """
-    links = _cut(links)
+    links = cut_lineage(links)
     largest = links.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
     for _ in range(largest.bit_length() + 1):
         further = links.select("session_id", F.col("a").alias("b"), F.col("b").alias("c"))
         joined = links.join(further, ["session_id", "b"], "left")
         if joined.where("c IS NOT NULL").isEmpty():
             break
-        links = _cut(joined.select("session_id", "a", F.coalesce("c", "b").alias("b")))
+        links = cut_lineage(joined.select("session_id", "a", F.coalesce("c", "b").alias("b")))
     return links
 
 
@@ -52,16 +45,16 @@ def _leaf_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def _up(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """session_id, leaf, uuid: all nodes from each leaf to its root; in each round the links are twice as long."""
-    jump = _cut(edges.select("session_id", F.col("uuid").alias("a"), F.col("parent_uuid").alias("b")).where("b IS NOT NULL"))
-    reached = _cut(leaves.select("session_id", "leaf", F.col("leaf").alias("uuid")).distinct())
+    jump = cut_lineage(edges.select("session_id", F.col("uuid").alias("a"), F.col("parent_uuid").alias("b")).where("b IS NOT NULL"))
+    reached = cut_lineage(leaves.select("session_id", "leaf", F.col("leaf").alias("uuid")).distinct())
     for _ in range(40):
         new = reached.join(jump.select("session_id", F.col("a").alias("uuid"), "b"), ["session_id", "uuid"]).select("session_id", "leaf", F.col("b").alias("uuid"))
-        grown = _cut(reached.union(new).distinct())
+        grown = cut_lineage(reached.union(new).distinct())
         if grown.count() == reached.count():
             break
         reached = grown
         further = jump.select("session_id", F.col("a").alias("b"), F.col("b").alias("c"))
-        jump = _cut(jump.join(further, ["session_id", "b"]).select("session_id", "a", F.col("c").alias("b")))
+        jump = cut_lineage(jump.join(further, ["session_id", "b"]).select("session_id", "a", F.col("c").alias("b")))
     return reached
 
 
@@ -99,7 +92,7 @@ def restrict_to_active(entries: DataFrame, active: DataFrame) -> DataFrame:
 def replay_plan(entries: DataFrame) -> DataFrame:
     """Entries in replay order with root_ord: the branch of each root if a session has several, otherwise the active branch;
     a session without a tree is replayed whole."""
-    edges = _cut(tree_edges(entries))
+    edges = cut_lineage(tree_edges(entries))
     many = roots(edges).groupBy("session_id").agg(F.count("*").alias("n")).where("n > 1").select("session_id")
     by_root = subtree_paths(edges.join(many, "session_id", "left_semi")).groupBy(*KEY).agg(F.min("root_ord").alias("root_ord"))
     one = active_path(edges.join(many, "session_id", "left_anti")).withColumn("root_ord", F.lit(1))

@@ -56,7 +56,7 @@ def economics(spark, sf):
 ECONOMICS_SQL = with_positions(f"""
 , z AS (SELECT *, 1 + 0.5*dhat AS x_entry, 1 + 2*dhat AS x_exit, 1+(1+0.1/mf+sqrt((0.1/mf)*(0.1/mf)+2*(0.1/mf)))*dhat AS x_amber, 1+(1+0.1/mf-sqrt((0.1/mf)*(0.1/mf)+2*(0.1/mf)))*dhat AS x_amber_left,
   1+(1+0.25/mf+sqrt((0.25/mf)*(0.25/mf)+2*(0.25/mf)))*dhat AS x_red, (2*(mf+0.1)+sqrt(4*(mf+0.1)*(mf+0.1)-4*mf*mf))/(2*mf) AS ub, CASE WHEN l > dead THEN r*dead/(l-dead) END AS h_break, dead+r*dead AS wall_l,
-  CASE WHEN l > 0 THEN (-(l+g/2)+sqrt((l+g/2)*(l+g/2)+2*g*r*l))/g END AS break_even, CASE WHEN l > 0 THEN sqrt(2*r*l/g) END AS n_star, CASE WHEN x > 1 THEN (dhat*dhat/(2*r))/(x-1)+(x-1)/(2*r) END AS curve_cost FROM pos_v)
+  CASE WHEN l > 0 THEN (-(l+g/2)+sqrt((l+g/2)*(l+g/2)+2*g*r*l))/g END AS break_even, CASE WHEN l > 0 THEN sqrt(2*r*l/g) END AS n_star, CASE WHEN x > 1 THEN ((x_sweet-1)*(x_sweet-1)/(2*r))/(x-1)+(x-1)/(2*r) END AS curve_cost FROM pos_v)
 SELECT session_id, ord, {round_sql("dhat", "mf", "br", "pp", "x", "x_entry", "x_exit", "h_break", "x_amber", "x_amber_left", "wall_l", "break_even", "n_star", "curve_cost")}, round(burn, 8) AS burn, round(ub*ub, 6) AS interval,
   CASE WHEN x < x_entry THEN 'below_entry' WHEN x < x_sweet THEN 'entry_to_sweet' WHEN x < x_exit THEN 'sweet_to_exit' ELSE 'above_exit' END AS band, wall_l < 960000 AS wall_reachable,
   CASE WHEN br IS NULL THEN 'calibrating' WHEN x >= x_red THEN 'wall' WHEN x < x_sweet AND br >= 0.1 THEN 'warmup' WHEN x < x_sweet THEN 'green' WHEN br >= 0.25 THEN 'red' WHEN br >= 0.1 THEN 'amber' ELSE 'green' END AS zone,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -13,6 +12,7 @@ from stockline.operators import ledger, tools, tree
 from stockline.operators.billing import stream_daily
 from stockline.sources import tables as T
 from stockline.sources import transcripts
+from stockline.sources.shared import shared_folder
 
 
 def _entries(spark, sf):
@@ -76,7 +76,7 @@ def tool_writes(spark, sf):
 
 def streamed_daily(spark, sf):
     """Daily totals by a stream over the events, run to the end of its input; equal to the batch totals."""
-    shared = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"), f"stream-{uuid.uuid4().hex}")
+    shared = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     events = T.read(spark, sf, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{sf}/event*.parquet")
     model = F.when(F.col("user_id") % 2 == 0, "deepseek-v4-pro").otherwise("deepseek-v4-flash")
