@@ -1,26 +1,16 @@
-"""What several operators share: shared-folder checkpoints and column helpers."""
+"""What several operators share: batches, tables and column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the word-based operators: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from stockline.sources.shared import cut_lineage, shared_folder
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it from there.
+__all__ = ["WORD", "cut_lineage", "n_words", "shared_folder", "small_batches", "table"]
 
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+#: A word of the word-based operators: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
