@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from stockline.llm import html_text as H
 
 
@@ -96,3 +98,38 @@ def test_copies_of_a_url_meet_the_next_url(spark, monkeypatch):
     got = sorted((r.page_id, r.text) for r in H.main_text(pages).collect())
     want = [(i, f"crawl {i}") for i in range(7)] + [(50, "b")] + [(100 + i, f"text {i}") for i in range(6)] + [(200, "odd")] * 2
     assert got == want
+
+
+def test_names_of_parts_and_broken_markup():
+    """Classes count as whole words; paragraphs end where the next begins; stray quotes stay inside their tag."""
+    assert text('<div class="layout has-sidebar"><p>Main text</p></div>') == "Main text"
+    assert text('<article><section class="search-algorithms"><p>Binary search</p></section></article>') == "Binary search"
+    assert text('<main><div class="entry-header"><h1>Title</h1></div><p>x</p></main>') == "Title\nx"
+    assert text('<p class="ad">Buy<p>Main') == "Main"
+    assert text("""<p title="it"s">Hello""") == "Hello"
+    assert text('<ul><li class="ad">one<li>two</ul><table><tr><td class="ad">x<td>y<tr><td>z</table>') == "two\ny\nz"
+    assert text('<div class="site-footer"><p>f</p></div><p>main</p>') == "main"
+    assert text("<article>a <span class=ad>buy</span> b</article>") == "a\nb"
+    assert text('<p>a <a title="x > y" href=z>b</a> c') == "a b c"
+
+
+def test_kinds_of_lines():
+    page = "<nav><a>Home</a></nav><p>open</p><article><p>story</p><aside>see also</aside></article><footer>end</footer>"
+    assert H.blocks(page) == [("Home", "out"), ("open", "open"), ("story", "main"), ("see also", "out"), ("end", "out")]
+
+
+def test_differencing_meets_menus_and_adverts(spark, sf_dir):
+    """All lines take part in the alignment; articles lose nothing by it."""
+    rows = [(i, f"http://h.example/{i}", f"<nav><a>Home</a></nav><article><p>story</p></article><p>Subscribe now</p><div class=ad>ad {i}</div><footer>end</footer>") for i in range(6)]
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert {(r.text, r.n_lines, r.n_differenced) for r in got} == {("story", 5, 3)}
+    whole = H.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    assert sum(r.n_differenced for r in whole) > 0 and all(r.n_lines > r.n_differenced for r in whole)
+
+
+def test_long_page_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i} of a long page</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://h.example/a", long, 1), (2, "http://h.example/b", long.replace("article", "div") + "<p>own</p>", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path long").withColumn("lines", F.lit(1)).withColumn("host", F.lit("x"))
+    got = {r.page_id: r for r in H.main_text(pages).collect()}
+    assert got[1].text.count("\n") == 19_999 and got[2].text == "own" and got[2].n_differenced == 20_000
