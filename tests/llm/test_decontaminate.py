@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -74,3 +75,78 @@ def test_items_of_placeholders_and_short_items_are_met_by_value(spark, block_wor
     got = {r.doc_id: [x.item_id for x in r.leaks if x.exact] for r in D.leaks(docs, bench, block_words=block_words).collect()}
     assert got == {k: v[1] for k, v in texts.items()}
     assert {r.doc_id for r in D.without_leaks(docs, bench, block_words=block_words).collect()} == {11, 13, 16, 18}
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 12])
+def test_number_words_names_of_several_words_and_texts_without_spaces(spark, block_words):
+    items = [
+        (1, "If Alice buys twelve apples for 3 dollars and gives five of them to Bob, how many apples does she have left over today?"),
+        (2, "小明有五个苹果，吃了两个，又买了十个，还剩几个苹果？"),
+        (3, "...!"),
+    ]
+    texts = {
+        10: ("q: If Mary Ann buys eleven apples for 7 dollars and gives two hundred of them to Van Der Berg, how many apples does she have left over today? yes", [(1, False)]),
+        11: ("q: If Alice buys twelve apples for 3 dollars and gives five of them to Bob, how many apples does she have left over today?", [(1, True)]),
+        12: ("题目如下：小明有五个苹果，吃了两个，又买了十个，还剩几个苹果？请回答。", [(2, True)]),
+        13: ("题目：小明有二十个苹果，吃了三个，又买了十五个，还剩几个苹果？", [(2, False)]),
+        14: ("小红去了学校，她很喜欢画画，也喜欢唱歌和跳舞。", []),
+        15: ("If we buy apples for the school then gives them to somebody, how many apples are there?", []),
+        16: (None, []),
+    }
+    docs = spark.createDataFrame([(k, v[0], 1, 2) for k, v in texts.items()], "doc_id long, text string, contaminated int, print int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for r in D.leaks(docs, bench, block_words=block_words).collect():
+        assert [(x.item_id, x.exact) for x in r.leaks] == texts[r.doc_id][1], r
+    kept = D.without_leaks(docs, bench, block_words=block_words)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {14, 15, 16}
+    assert [r.item_id for r in D.unmatchable(bench).collect()] == [3]
+
+
+def test_reparameterised_items_by_brute_force(spark):
+    """Templates by regular expressions and Python sets: an item is leaked where enough of its windows are in the text with one value for each."""
+    rng = random.Random(6)
+    vocabulary = [f"word{c}" for c in "abcdefghijklmnop"]
+    items = []
+    for i in range(12):
+        words = [rng.choice(vocabulary) if rng.random() < 0.75 else str(10 * i + k) for k in range(rng.randint(8, 24))]
+        items.append((i, " ".join(words)))
+    number = re.compile(r"\d+$")
+
+    def grams(words):
+        out = {}
+        for k in range(len(words) - 7):
+            window = words[k : k + 8]
+            if sum(not number.match(w) for w in window) >= 4:
+                out.setdefault(tuple("#" if number.match(w) else w for w in window), []).append((k, [w for w in window if number.match(w)]))
+        return out
+
+    docs, want = [], {}
+    for d in range(60):
+        pad = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
+        parts = list(pad)
+        if d % 2:
+            i, text = rng.choice(items)
+            values = {}
+            for w in text.split():
+                parts.append(values.setdefault(w, str(rng.randint(1000, 9999))) if number.match(w) else w)
+            parts += pad[::-1]
+        docs.append((d, " ".join(parts)))
+        have = grams(parts)
+        for i, text in items:
+            own = grams(text.split())
+            total = sum(map(len, own.values()))
+            lines = {}
+            for g, places in own.items():
+                for k, values in places:
+                    for at, other in have.get(g, ()):
+                        lines.setdefault(at - k, []).append((k, list(zip(values, other, strict=True))))
+            for found in [*lines.values(), [x for group in lines.values() for x in group]]:
+                stands, fits = {}, True
+                for _, pairs in found:
+                    for x, y in pairs:
+                        fits &= stands.setdefault(x, y) == y
+                if fits and total and len({k for k, _ in found}) >= 0.4 * total:
+                    want.setdefault(d, set()).add(i)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in D.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect() if r.leaks}
+    assert got == want and len(want) >= 25
