@@ -9,11 +9,12 @@ r"""Operator 1: mixing sources to target weights by Sainte-Lague apportionment o
    third of all rows is as many shards as it needs, and a group has at most ``GROUP`` shards.
    Of all quotients only those near the line are made: seats differ from the exact quota by less than
    1 + (number of parts) * (part's share) / 2, so a part has about three candidates.
-3. *Selection*: within a shard, documents in an order seeded by md5 are one run of words, cut in blocks. A quota of q of n
+3. *Selection*: documents are dealt to shards, and ordered within a shard, by an md5 of the seed, the doc_id and the text's md5, so rows that repeat a
+   doc_id, or have none, are dealt like any others. A shard's documents are one run of words, cut in blocks. A quota of q of n
    blocks takes all of them q div n times and q mod n blocks more: a circular run of blocks from a seeded block.
    ``taken`` is the sum over the blocks that a document lies in, so no document exceeds ``most`` times its size.
 
-Everything is DataFrame work; texts are read once to count words and never shuffled.
+Everything is DataFrame work; texts are read once to count words and never shuffled. Sources themselves (one short row each) are ordered in one task.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; null is a source of its own, the last; documents that repeat a doc_id
 are rows of their own; without any word every target is 0; an empty table gives an empty result.
@@ -78,9 +79,9 @@ def _number(hashed, start: int):
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 8, shard_words: int = 65536, seed: str = "1") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken."""
     sized = cut_lineage(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("print"))
         .withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~")))
-        .withColumn("dice", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        .withColumn("dice", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "print")))
     )
     sources = targets(sized.groupBy("name").agg(F.sum("size").alias("words")), weights, most)
     sources = sources.withColumn("blocks", F.round(F.col("total") / block_words).cast("long"))
@@ -133,7 +134,8 @@ def mix_sql(block_words: int = 8, shard_words: int = 65536, seed: str = "1") ->
     """The mix of ``documents`` for DuckDB, with the default weights and limit."""
     number = lambda text, start: f"CAST('0x' || substr({text}, {start}, 7) AS BIGINT)"
     return rf"""
-WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size, coalesce('=' || source, '~') AS name, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS dice FROM documents),
+WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size, coalesce('=' || source, '~') AS name, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS dice FROM documents),
 s0 AS (SELECT name, CAST(sum(size) AS BIGINT) AS words FROM z GROUP BY name),
 s1 AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY name)-1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(3*words AS DOUBLE) AS cap, CAST(sum(words) OVER () AS DOUBLE) AS total FROM s0),
 s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap/weight, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap/weight, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s1),

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockline.llm import mixing as X
 
@@ -73,3 +74,12 @@ def test_empty_null_and_repeated(spark):
     assert sorted(r.size for r in got) == [0, 2, 3, 3]
     assert X.mix(docs.where("false")).count() == 0
     assert {(r.target, r.taken) for r in X.mix(docs.where("doc_id = 2")).collect()} == {(0.0, 0)}
+
+
+def test_rows_without_ids_are_dealt_over_shards(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"text {i} " + "w " * (i % 40), "s") for i in range(2000)], "doc_id long, text string, source string")
+    got = X.mix(docs, shard_words=500)
+    assert got.count() == 2000 and got.agg(F.sum("taken")).first()[0] == pytest.approx(got.first().target, rel=0.01)
+    assert sorted(map(str, X.mix(docs.repartition(5), shard_words=500).collect())) == sorted(map(str, got.collect()))
+    # were all of them in one shard, whole stretches of one order would be taken twice and the rest once
+    assert got.groupBy("size").agg((F.sum("taken") / F.sum("size")).alias("share")).agg(F.min("share")).first()[0] > 0.7
