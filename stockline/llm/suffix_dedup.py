@@ -57,10 +57,10 @@ COVER_PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 #: Length of the cover's strings: with the first and last 31 bytes they cover 100 bytes from any offset below 31.
 COVER_LENGTH = LENGTH - COVER_PERIOD
 #: Bytes of suffix buckets that are sorted at once.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 #: An anchor with more rows than this is taken window by window. The list of such anchors is sent to tasks; where it would pass
 #: MOST_HOT (64 MB), the rarest of them stay buckets of their own.
-HOT_ROWS, HOT_SAMPLE, MOST_HOT = 20_000, 1 / 64, 1 << 23
+HOT_ROWS, HOT_SAMPLE, MOST_HOT = 2_500, 1 / 64, 1 << 23
 
 _INDEX_BITS = 26
 _LAST = (1 << 63) - 1
