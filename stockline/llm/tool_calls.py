@@ -109,7 +109,7 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and schemas read from turns: an assistant's turn is a call, the next user turn its result.
+    """Calls, results and schemas read from turns: an assistant's turn is a call, the next user turn, with its whole text, its result.
 
     The tool is named by the number of words; a call needs the call at half its turn, and every seventh
     turn needs a later one.
@@ -129,7 +129,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         F.when(turn % 14 == 7, F.array(call_id(turn + 2))).when(turn > half, F.array(call_id(half))).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
     results = conversations.where("role = 'user' AND turn > 0").select(
-        F.col("conv_id").cast("long"), call_id(turn - 1).alias("call_id"), turn.cast("long").alias("turn"), F.md5(F.coalesce("text", F.lit(""))).alias("content"),
+        F.col("conv_id").cast("long"), call_id(turn - 1).alias("call_id"), turn.cast("long").alias("turn"), F.col("text").alias("content"),
     )
     rows = ", ".join(f"('{t}', '{a}', '{k}', {r})" for t in ("summarise", "search") for a, k, r in (("words", "integer", "true"), ("digest", "string", "true"), ("extra", "object", "false")))
     schemas = conversations.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS schemas(name, argument, type, required)")
