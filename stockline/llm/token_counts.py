@@ -227,15 +227,16 @@ def apply_edits(counted: DataFrame, edits: str = "edits", text: str = "text", vo
 PERSONAL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d ()-]{7,}\d|\b[A-Za-z0-9_-]{24,}\b")
 
 
-def redactions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column ``edits`` that replaces personal data and keys by placeholders."""
+def redactions(docs: DataFrame, text: str = "text", edits: str = "edits") -> DataFrame:
+    """docs with a column ``edits`` that replaces personal data and keys by placeholders; a column of that name in docs gives way to it."""
+    docs = docs.drop(edits) if edits != text else docs
     names, at = docs.columns, docs.columns.index(text)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
         for batch in batches:
             found = [[{"begin": m.start(), "end": m.end(), "text": "<email>" if "@" in m[0] else "<removed>"} for m in PERSONAL.finditer(t or "")] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "edits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, edits])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("edits", T._parse_datatype_string(EDITS))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(edits, T._parse_datatype_string(EDITS))]))

@@ -61,3 +61,12 @@ def test_query_parts(spark, counter):
         assert r.n == len(counter.encoding.encode_ordinary(r.text or ""))
     assert [r.n_edits for r in got] == [1, 0, 0, 2, 0]
     assert C.count_tokens(docs.where("false")).count() == 0
+
+
+def test_column_named_edits_gives_way(spark, counter):
+    docs = spark.createDataFrame([(1, "mail me@example.org now", "x"), (2, "plain", None)], "doc_id long, text string, edits string")
+    got = C.apply_edits(C.count_tokens(C.redactions(docs))).select("row.text", "n_edits").collect()
+    assert [tuple(r) for r in got] == [("mail <email> now", 1), ("plain", 0)]
+    other = C.redactions(docs, edits="cuts")
+    assert other.columns == ["doc_id", "text", "edits", "cuts"]
+    assert [r.n_edits for r in C.apply_edits(C.count_tokens(other), edits="cuts").collect()] == [1, 0]
