@@ -26,7 +26,6 @@ def so_far(window):
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-
 def total_stock() -> Column:
     return F.col("cr") + F.col("cc") + F.col("inp")
 
@@ -93,15 +92,15 @@ def effective_l(calls: DataFrame) -> DataFrame:
     return calls.withColumn("l", F.when(F.col("miss"), F.col("cr") + F.col("cc")).otherwise(F.col("cr")))
 
 
-def segment_calls(calls: DataFrame, eps: int = STOCK_EPSILON, drop: float = MISS_DROP, has_tree: bool = False) -> DataFrame:
+def segment_calls(calls: DataFrame, eps: int = STOCK_EPSILON, drop: float = MISS_DROP, has_tree: bool | Column = False) -> DataFrame:
     """Adds ``boundary`` and ``segment``: a new context starts where the stock falls by more than eps, or at a later root.
 
-    In sessions with a tree a fall that looks like an evicted cache is no boundary.
+    In sessions with a tree (``has_tree``, for all rows or by row) a fall that looks like an evicted cache is no boundary.
     """
     before = lambda c: F.coalesce(F.lag(c).over(by_session()), F.lit(0))
     fell = (before(total_stock()) > 0) & (total_stock() < before(total_stock()) - eps)
-    if has_tree:
-        fell = fell & ~((before("l") > 0) & (F.col("cr") < drop * before("l")))
+    if has_tree is not False:
+        fell = fell & ~(F.lit(has_tree) & (before("l") > 0) & (F.col("cr") < drop * before("l")))
     if "root_start" in calls.columns:
         fell = fell | F.coalesce("root_start", F.lit(False))
     rows = calls.withColumn("boundary", fell)

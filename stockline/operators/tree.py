@@ -47,12 +47,12 @@ def _up(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """session_id, leaf, uuid: all nodes from each leaf to its root; in each round the links are twice as long."""
     jump = cut_lineage(edges.select("session_id", F.col("uuid").alias("a"), F.col("parent_uuid").alias("b")).where("b IS NOT NULL"))
     reached = cut_lineage(leaves.select("session_id", "leaf", F.col("leaf").alias("uuid")).distinct())
-    for _ in range(40):
-        new = reached.join(jump.select("session_id", F.col("a").alias("uuid"), "b"), ["session_id", "uuid"]).select("session_id", "leaf", F.col("b").alias("uuid"))
-        grown = cut_lineage(reached.union(new).distinct())
-        if grown.count() == reached.count():
+    largest = jump.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(largest.bit_length() + 1):  # a cycle ends here too
+        if jump.isEmpty():
             break
-        reached = grown
+        new = reached.join(jump.select("session_id", F.col("a").alias("uuid"), "b"), ["session_id", "uuid"]).select("session_id", "leaf", F.col("b").alias("uuid"))
+        reached = cut_lineage(reached.union(new).distinct())
         further = jump.select("session_id", F.col("a").alias("b"), F.col("b").alias("c"))
         jump = cut_lineage(jump.join(further, ["session_id", "b"]).select("session_id", "a", F.col("c").alias("b")))
     return reached

@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stockline.operators import ledger, tools, tree
+from stockline.operators import ledger, replay, tools, tree
 from stockline.operators.billing import stream_daily
 from stockline.sources import tables as T
 from stockline.sources import transcripts
 from stockline.sources.shared import shared_folder
 
+from .base import r6
+
 
 def _entries(spark, sf):
     """Turns as a tree: a turn's parent is the one before, every seventh is written again beside it."""
@@ -74,6 +76,13 @@ def tool_writes(spark, sf):
     return state.withColumn("_k", F.row_number().over(last)).where("_k = 1").select("session_id", "path", "op", F.round("path_tokens", 6).alias("path_tokens"))
 
 
+def replay_calls(spark, sf):
+    """Each call of the transcripts by a whole replay: tree, folding, segments, tool events, B, settlement, growth, position."""
+    got = replay.replay(transcripts.parse_entries(_lines(spark, sf)), F.lit(2.45), F.lit(0.59))
+    cols = ("b", "deferred", "residual", "g", "x", "br")
+    return r6(got.select("session_id", "folded_seq", "line", "segment", "turn_seq", "miss", "l", "dead", *cols), *cols)
+
+
 def streamed_daily(spark, sf):
     """Daily totals by a stream over the events, run to the end of its input; equal to the batch totals."""
     shared = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
@@ -95,5 +104,6 @@ QUERIES = {
       p AS (SELECT *, max(CASE WHEN role = 'assistant' THEN ord END) OVER w AS pa, max(CASE WHEN role <> 'assistant' AND ord % 4 <> 2 THEN ord END) OVER w AS pu FROM c WINDOW w AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT DISTINCT session_id, ord, ord*100+1000 AS cr, n % 300 AS cc, n % 10 AS inp, n AS outp, coalesce(pu > coalesce(pa, -1), false) AS human_turn FROM p WHERE role = 'assistant'"""),
     "tool_writes": (tool_writes, None),
+    "replay_calls": (replay_calls, None),
     "stream_daily": (streamed_daily, """SELECT CAST(ts AS DATE) AS day, CASE WHEN user_id % 2 = 0 THEN 'pro' ELSE 'flash' END AS tier, CAST(sum(CAST(floor(value*100) AS BIGINT)) AS BIGINT) AS hit, CAST(sum(event_id % 50 + 1) AS BIGINT) AS miss, CAST(sum(event_id % 7) AS BIGINT) AS out FROM events GROUP BY 1, 2"""),
 }
