@@ -37,17 +37,30 @@ def order_statistics(values: Column) -> dict[str, Column]:
     return {"p25": at(1), "median": at(2), "p75": at(3)}
 
 
+def ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows (by, v) with i, the rank of v from 0, and n, within each group, whatever the group's size.
+
+    Values are sorted by ranges: a rank is a place within its range and the number of values in the ranges before, so only the sizes of
+    ranges meet in one place.
+    """
+    from stockline.sources.shared import cut_lineage
+
+    placed = cut_lineage(rows.repartitionByRange(*by, "v").withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy(*by, "part").agg(F.count("*").alias("size"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("size").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "part", before.alias("before"), F.sum("size").over(group).alias("n"))
+    local = F.row_number().over(Window.partitionBy(*by, "part").orderBy("v")) - 1
+    # one row for each range and group
+    return placed.withColumn("i", local).join(sizes, [*by, "part"]).withColumn("i", F.col("i") + F.col("before")).drop("part", "before")
+
+
 def order_stats(df: DataFrame, columns: dict[str, float], *by: str) -> DataFrame:
-    """p25, median, p75 and mean of columns below their cuts, by rank within a window: no group is collected."""
-    out = None
-    for name, cut in columns.items():
-        rows = df.where(F.col(name) < cut).select(*by, F.col(name).cast("double").alias("v"))
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        ranked = rows.withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w))
-        pick = lambda k: F.max(F.when(F.col("i") == F.floor(F.col("n") * k / 4), F.col("v")))
-        one = ranked.groupBy(*by).agg(F.max("n").alias("n"), pick(1).alias("p25"), pick(2).alias("median"), pick(3).alias("p75"), F.avg("v").alias("mean")).withColumn("measure", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """p25, median, p75 and mean of columns below their cuts, by rank: no group is collected or sorted in one task."""
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("v"), (F.col(name) < cut).alias("below")) for name, cut in columns.items()])).alias("x")
+    rows = df.select(*by, one).where("x.below").select(*by, "x.measure", "x.v")
+    pick = lambda k: F.max(F.when(F.col("i") == F.floor(F.col("n") * k / 4), F.col("v")))
+    return ranked(rows, *by, "measure").groupBy(*by, "measure").agg(F.max("n").alias("n"), pick(1).alias("p25"), pick(2).alias("median"), pick(3).alias("p75"), F.avg("v").alias("mean"))
 
 
 def break_even_shares(fits: DataFrame) -> DataFrame:
@@ -123,7 +136,17 @@ def delta_histogram(calls: DataFrame) -> DataFrame:
 
 
 def delta_quantiles(calls: DataFrame) -> DataFrame:
-    return _relative_deltas(calls).agg(F.count("*").alias("n"), *[F.percentile("v", p / 100).alias(f"p{p}") for p in (50, 95, 99)], F.avg((F.col("v") > 8).cast("double")).alias("beyond_8"))
+    """Interpolated quantiles of the growth in usual steps, by rank, and the share beyond 8."""
+    rows = ranked(_relative_deltas(calls))
+
+    def at(p: int) -> Column:
+        place = (F.col("n") - 1) * p / 100
+        low = F.max(F.when(F.col("i") == F.floor(place), F.col("v")))
+        high = F.max(F.when(F.col("i") == F.ceil(place), F.col("v")))
+        part = F.max(place - F.floor(place))
+        return (low + (high - low) * part).alias(f"p{p}")
+
+    return rows.agg(F.count("*").alias("n"), *map(at, (50, 95, 99)), F.avg((F.col("v") > 8).cast("double")).alias("beyond_8"))
 
 
 def ljung_box(calls: DataFrame, lags: int = 10, column: str = "g") -> DataFrame:
@@ -144,7 +167,7 @@ def unit_root(calls: DataFrame, column: str = "l", least: int = 15) -> DataFrame
     rows = calls.select(*SEGMENT, F.lag(y).over(by_segment()).alias("x"), (y - F.lag(y).over(by_segment())).alias("d")).where("x IS NOT NULL")
     sums = rows.groupBy(*SEGMENT).agg(F.count("*").alias("n"), F.regr_slope("d", "x").alias("b"), F.regr_sxx("d", "x").alias("sxx"), F.regr_syy("d", "x").alias("syy")).where((F.col("n") >= least) & (F.col("sxx") > 0))
     error = F.sqrt((F.col("syy") - F.col("b") * F.col("b") * F.col("sxx")) / (F.col("n") - 2) / F.col("sxx"))
-    return sums.select(*SEGMENT, "n", F.when(error > 0, F.col("b") / error).alias("t"), (F.col("b") / error < -2.86).alias("rejects"))
+    return sums.select(*SEGMENT, "n", F.when(error > 0, F.col("b") / error).alias("t"), F.when(error > 0, F.col("b") / error < -2.86).alias("rejects"))
 
 
 def permutation_r2(calls: DataFrame, seed: int = 1) -> DataFrame:
@@ -155,7 +178,7 @@ def permutation_r2(calls: DataFrame, seed: int = 1) -> DataFrame:
     return rows.groupBy(*SEGMENT).agg(F.count("*").alias("n"), F.regr_r2("y", "t").alias("r2")).where("n >= 15")
 
 
-def bootstrap_recovery(days: DataFrame, n: int = 1000, seed: int = 1) -> DataFrame:
+def bootstrap_recovery(days: DataFrame, n: int = 10_000, seed: int = 1) -> DataFrame:
     """95 % intervals of the median and of the ratio of sums over n resamples of the days.
 
     Each of a resample's draws picks a day by a hash; resamples are rows, so they run in parallel.

@@ -148,24 +148,27 @@ def apply_ignore_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return paths.select("path").distinct().join(matched, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
 
-def index_terms(docs: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
-    """key, term, tf and the document's number of terms."""
+def document_terms(docs: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
+    """key, terms (with repetitions) and n_terms of each document."""
     text = F.lower(F.concat_ws(" ", *columns))
     words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    terms = docs.select(key, F.explode(F.concat(words, X.cjk_bigrams(text))).alias("term"))
-    sized = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return sized.withColumn("n_terms", F.sum("tf").over(Window.partitionBy(key)))
+    rows = docs.select(key, F.concat(words, X.cjk_bigrams(text)).alias("terms"))
+    return rows.withColumn("n_terms", F.size("terms"))
 
 
 def search(docs: DataFrame, query, k: int = 3, columns: tuple[str, ...] = ("summary", "next_task"), key: str = "handoff_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Documents with all terms of the query, by BM25, the best k. query: a string, or a frame (query_id, query)."""
+    """Documents with all terms of the query, by BM25, the best k. query: a string, or a frame (query_id, query).
+
+    Terms are counted within their document and kept only if a query has them, so that what is shuffled grows with the hits.
+    """
     spark = docs.sparkSession
     asked = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query")) if isinstance(query, str) else query
     wanted = asked.select("query_id", F.explode(F.array_distinct(X.query_terms("query"))).alias("term"))
     need = wanted.groupBy("query_id").agg(F.count("*").alias("n_wanted"))
-    terms = index_terms(docs, columns, key)
-    shape = docs.agg(F.count("*").alias("n_docs")).join(terms.agg((F.sum("tf") / F.countDistinct(key)).alias("mean_terms")))
-    df = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    listed = document_terms(docs, columns, key)
+    shape = listed.agg(F.count("*").alias("n_docs"), F.try_divide(F.sum("n_terms"), F.count_if(F.col("n_terms") > 0)).alias("mean_terms"))
+    terms = listed.select(key, "n_terms", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     hits = terms.join(wanted, "term").join(df, "term").join(F.broadcast(shape))  # shape is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))

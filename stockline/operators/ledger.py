@@ -86,9 +86,13 @@ def touch_spend(touches: DataFrame) -> DataFrame:
 def path_snapshot(touches: DataFrame) -> DataFrame:
     """Paths that hold tokens: tokens, spend, churn, efficiency, reads, edits, pure re-reads and tier."""
     keys = _by(touches, "path")
-    state = path_ledger(touches).groupBy(*keys).agg(F.max_by("path_tokens", "ord").alias("tokens")).where("tokens > 0")
-    again = pure_rereads(touches).groupBy(*keys).agg(F.count_if("reread").alias("pure_rereads"))
-    rows = state.join(touch_spend(touches), keys).join(touch_counts(touches), keys).join(again, keys)
+    edit = F.col("op").isin(*EDITS)
+    # all windows are by path or a part of it, so one shuffle serves them and the grouping
+    rows = pure_rereads(path_ledger(touches)).groupBy(*keys).agg(
+        F.max_by("path_tokens", "ord").alias("tokens"), F.sum(F.abs("tokens")).alias("spent"), F.count_if(~edit).alias("n_reads"), F.count_if(edit).alias("n_edits"), F.max("ord").alias("last_ord"), F.count_if("reread").alias("pure_rereads"),
+    ).where(F.col("tokens") > 0)
+    if "event_spent" in touches.columns:
+        rows = rows.drop("spent").join(touch_spend(touches), keys)
     spent = F.greatest(F.col("tokens").cast("double"), F.floor(F.col("spent") + 0.5).cast("double"))
     rows = rows.withColumn("spent", spent).withColumn("churn", F.col("spent") / F.col("tokens")).withColumn("efficiency", F.floor(100 * F.col("tokens") / F.col("spent") + 0.5).cast("long"))
     return rows.withColumn("tier", churn_tier(F.col("churn"), F.col("spent") - F.col("tokens"), F.col("pure_rereads")))

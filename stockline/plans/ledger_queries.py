@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockline.operators import ledger
+from stockline.sources import tables as T
 
 from .base import analysed, r6, round_sql, touches, with_calls, with_touches
 
@@ -109,13 +110,18 @@ QUERIES = {
       , k AS (SELECT *, row_number() OVER (PARTITION BY session_id, path ORDER BY ord DESC) AS n FROM touch_v) SELECT session_id, path, string_agg(concat(CAST(ord AS VARCHAR), CASE WHEN op IN ('editDelta','write') THEN 'w' ELSE 'r' END), ',' ORDER BY ord) AS touches FROM k WHERE n <= 4 GROUP BY 1, 2""")),
     "path_snapshot": (lambda s, d: r6(_snapshot(s, d).select(*SNAP), "spent", "churn"), with_touches(f", {SNAPSHOT_SQL} SELECT session_id, path, tokens, {round_sql('spent', 'churn')}, efficiency, n_reads, n_edits, last_ord, pure_rereads, tier FROM snap_v")),
     "settle_deferred": (lambda s, d: r6(ledger.settle_deferred(_deltas(s, d)).select("session_id", "ord", "deferred", "residual"), "deferred", "residual"), with_touches(f", {DELTAS_SQL} SELECT session_id, ord, {round_sql('deferred', 'residual')} FROM settle_v")),
-    "settle_by_path": (lambda s, d: r6(_by_path(s, d), "deferred"), None),
+    "settle_by_path": (lambda s, d: r6(_by_path(s, d), "deferred"), with_touches(f""", {DELTAS_SQL},
+      p0 AS (SELECT *, coalesce(lag(deferred) OVER (PARTITION BY session_id ORDER BY ord), 0) AS prior FROM settle_v),
+      p1 AS (SELECT *, CASE WHEN prior > 0 THEN 1 - least(prior, greatest(0, dl-db))/prior ELSE 1 END AS stay, least(greatest(0, db-dl), pos) AS banked FROM p0),
+      p2 AS (SELECT *, coalesce(max(CASE WHEN stay <= 1e-12 THEN 1 ELSE 0 END) OVER w, 0) AS drained, exp(coalesce(sum(CASE WHEN stay > 1e-12 THEN ln(stay) END) OVER w, 0)) AS rest FROM p1 WINDOW w AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+      SELECT session_id, path, round(sum(CASE WHEN drained = 1 THEN 0 ELSE banked*rest*db/pos END), 6) AS deferred FROM p2 WHERE db > 0 GROUP BY 1, 2""")),
     "residual_by_tool": (lambda s, d: r6(_tools(s, d), "tokens"), with_calls(f"{TOOLS_SQL} SELECT session_id, key, kind, round(tokens, 6) AS tokens, count FROM tool_v")),
     "assign_next_call": (_assigned("next"), _assigned_sql("next")),
     "assign_previous_call": (_assigned("previous"), _assigned_sql("previous")),
     "event_ordinals": (lambda s, d: ledger.event_ordinals(_assigned("next")(s, d)).select("session_id", "ord", "folded_seq", "event_ordinal"), _assigned_sql("next").replace("SELECT session_id, ord, message_id, folded_seq FROM b WHERE event", "SELECT session_id, ord, folded_seq, row_number() OVER (PARTITION BY session_id, folded_seq ORDER BY ord) - 1 AS event_ordinal FROM b WHERE event")),
-    "top_buckets": (lambda s, d: ledger.top_buckets(ledger.buckets(_snapshot(s, d), _tools(s, d).where("false")), 5), with_touches(f""", {SNAPSHOT_SQL}, k AS (SELECT session_id, path AS key, 'path' AS kind, CAST(tokens AS DOUBLE) AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, path) AS rank FROM snap_v)
-      SELECT * FROM k WHERE rank <= 5""")),
+    "top_buckets": (lambda s, d: ledger.top_buckets(ledger.buckets(_snapshot(s, d), r6(_tools(s, d), "tokens")), 5), with_calls(f"""{TOOLS_SQL}, {T.TOUCH_SQL}, {SNAPSHOT_SQL},
+      u AS (SELECT session_id, path AS key, 'path' AS kind, CAST(tokens AS DOUBLE) AS tokens FROM snap_v UNION ALL SELECT session_id, key, kind, round(tokens, 6) FROM tool_v),
+      k AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY tokens DESC, key) AS rank FROM u) SELECT * FROM k WHERE rank <= 5""")),
     "b_default": (lambda s, d: ledger.b_default(_snapshot(s, d), F.col("path").contains("/r/"), 20000), with_touches(f", {SNAPSHOT_SQL} SELECT session_id, CAST(sum(CASE WHEN contains(path, '/r/') THEN 0 ELSE tokens END) + 20000 AS BIGINT) AS b_default, CAST(sum(tokens) AS BIGINT) AS b_total FROM snap_v GROUP BY 1")),
     "directory_rollup": (lambda s, d: ledger.directory_rollup(_snapshot(s, d)), with_touches(f""", {SNAPSHOT_SQL},
       x AS (SELECT session_id, tokens, CASE tier WHEN 'mint' THEN 1 WHEN 'amber' THEN 2 ELSE 3 END AS rk, string_split(path, '/') AS p FROM snap_v),

@@ -58,20 +58,20 @@ HANDOFF_SQL = """h AS (SELECT o_orderkey AS handoff_id, o_custkey % 500 AS proje
 
 
 def _loads(spark, sf):
-    li = T.read(spark, sf, "lineitem").where("l_linenumber <= 3")
+    li = T.read(spark, sf, "lineitem")
     return li.select(F.col("l_orderkey").alias("handoff_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("load_id"), (F.col("l_partkey") % 5).alias("session_id"), F.col("l_shipdate").cast("timestamp").alias("loaded_at")).groupBy("handoff_id", "load_id").agg(F.min("session_id").alias("session_id"), F.min("loaded_at").alias("loaded_at"))
 
 
 def _kept(spark, sf):
-    """Half of the paths, some by their last part only."""
+    """All paths, some by their last part only."""
     paths = touches(spark, sf).select("session_id", "path").distinct()
     n = F.length("path") + F.col("session_id")
     name = F.when(n % 3 == 0, F.regexp_extract("path", "[^/]+$", 0)).when(n % 3 == 1, F.regexp_extract("path", "[^/]+/[^/]+$", 0)).otherwise(F.col("path"))
-    return paths.where(F.col("session_id") % 2 == 0).select("session_id", name.alias("path")).distinct()
+    return paths.select("session_id", name.alias("path")).distinct()
 
 
 KEPT_SQL = """ps AS (SELECT DISTINCT session_id, path FROM touch_v),
-kept AS (SELECT DISTINCT session_id, CASE (length(path)+session_id) % 3 WHEN 0 THEN regexp_extract(path, '[^/]+$') WHEN 1 THEN regexp_extract(path, '[^/]+/[^/]+$') ELSE path END AS path FROM ps WHERE session_id % 2 = 0),
+kept AS (SELECT DISTINCT session_id, CASE (length(path)+session_id) % 3 WHEN 0 THEN regexp_extract(path, '[^/]+$') WHEN 1 THEN regexp_extract(path, '[^/]+/[^/]+$') ELSE path END AS path FROM ps),
 cand AS (SELECT session_id, path AS candidate, tokens, last_ord FROM snap_v),
 mt AS (SELECT k.session_id, k.path, candidate, tokens, last_ord, CASE WHEN candidate = k.path THEN 1 WHEN candidate IS NOT NULL THEN 2 END AS rk FROM kept k LEFT JOIN cand c ON k.session_id = c.session_id AND (candidate = k.path OR ends_with(candidate, '/'||k.path))),
 mb AS (SELECT *, min(rk) OVER (PARTITION BY session_id, path) AS best FROM mt), mc AS (SELECT *, count(candidate) OVER (PARTITION BY session_id, path) AS n FROM mb WHERE rk = best OR rk IS NULL),
@@ -126,6 +126,28 @@ def search_queries(spark, sf):
     return r6(handoff.search(docs, asked, k=3, columns=("summary",)), "score")
 
 
+SEARCH_SQL = r"""
+WITH t AS (SELECT doc_id AS handoff_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents),
+q AS (SELECT item_id AS query_id, lower(unnest(list_distinct(regexp_extract_all(lower(array_to_string(regexp_extract_all(text, '\p{L}+')[1:2], ' ')), '[\p{L}\p{N}_]+')))) AS term FROM benchmark),
+need AS (SELECT query_id, count(*) AS n_wanted FROM q GROUP BY 1),
+len AS (SELECT handoff_id, count(*) AS n_terms FROM t GROUP BY 1),
+shape AS (SELECT (SELECT count(*) FROM documents) AS n_docs, avg(n_terms) AS mean_terms FROM len),
+tf AS (SELECT handoff_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+h AS (SELECT query_id, tf.handoff_id, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (1 - CAST(0.75 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n_terms / mean_terms)) AS s
+  FROM tf JOIN q ON tf.term = q.term JOIN df ON tf.term = df.term JOIN len ON tf.handoff_id = len.handoff_id CROSS JOIN shape),
+g AS (SELECT h.query_id, handoff_id, sum(s) AS score, count(*) AS n FROM h GROUP BY 1, 2),
+r AS (SELECT g.query_id, handoff_id, row_number() OVER (PARTITION BY g.query_id ORDER BY round(score, 9) DESC, handoff_id) AS rank, round(score, 6) AS score FROM g JOIN need ON g.query_id = need.query_id AND g.n = need.n_wanted)
+SELECT query_id, handoff_id, rank, score FROM r WHERE rank <= 3"""
+
+_LAGS = range(1, 11)
+LJUNG_SQL = with_calls(f"""
+, z AS (SELECT session_id, segment, ord, g - avg(g) OVER (PARTITION BY session_id, segment) AS z FROM calls_v),
+y AS (SELECT *, {", ".join(f"lag(z, {k}) OVER (PARTITION BY session_id, segment ORDER BY ord) AS z{k}" for k in _LAGS)} FROM z),
+s AS (SELECT session_id, segment, count(*) AS n, sum(z*z) AS c0, {", ".join(f"sum(z*z{k}) AS c{k}" for k in _LAGS)} FROM y GROUP BY 1, 2 HAVING count(*) > 12 AND sum(z*z) > 0)
+SELECT session_id, segment, n, round(n*(n+2)*({" + ".join(f"(c{k}/c0)*(c{k}/c0)/(n-{k})" for k in _LAGS)}), 6) AS q FROM s""")
+
+
 def usage_extract(spark, sf):
     return calls.keep_usage(calls.since(usage(spark, sf), "2024-01-05")).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("outp").alias("outp"))
 
@@ -186,10 +208,10 @@ QUERIES = {
     "discover_handoffs": (lambda s, d: _discover(s, d), f"""WITH {HANDOFF_SQL}, k2 AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, handoff_id DESC) AS rk FROM h WHERE delivered_at IS NULL AND session_id <> 3)
       SELECT project_id, handoff_id, rk AS rank, mx > 3 AS more, substr(next_task, 1, 200) AS preview FROM (SELECT *, max(rk) OVER (PARTITION BY project_id) AS mx FROM k2) WHERE rk <= 3"""),
     "latest_handoff": (lambda s, d: handoff.latest_handoff(_handoffs(s, d)), f"WITH {HANDOFF_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, handoff_id DESC) AS n FROM h) SELECT session_id, handoff_id, created_at FROM k WHERE n = 1"),
-    "classify_claims": (lambda s, d: handoff.classify_claims(_handoffs(s, d), _loads(s, d)).select("handoff_id", "load_id", "claim", "primary_session"), f"""WITH {HANDOFF_SQL}, ld AS (SELECT l_orderkey AS handoff_id, l_orderkey*10+l_linenumber AS load_id, min(l_partkey % 5) AS session_id, min(l_shipdate) AS loaded_at FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+    "classify_claims": (lambda s, d: handoff.classify_claims(_handoffs(s, d), _loads(s, d)).select("handoff_id", "load_id", "claim", "primary_session"), f"""WITH {HANDOFF_SQL}, ld AS (SELECT l_orderkey AS handoff_id, l_orderkey*10+l_linenumber AS load_id, min(l_partkey % 5) AS session_id, min(l_shipdate) AS loaded_at FROM lineitem GROUP BY 1, 2),
       f AS (SELECT h.handoff_id, delivered_at, load_id, ld.session_id, first_value(ld.session_id) OVER (PARTITION BY h.handoff_id ORDER BY loaded_at, load_id) AS p FROM h LEFT JOIN ld ON h.handoff_id = ld.handoff_id)
       SELECT handoff_id, load_id, CASE WHEN session_id IS NULL AND delivered_at IS NOT NULL THEN 'legacy_unattributed' WHEN session_id IS NULL THEN 'undelivered' WHEN session_id = p THEN 'primary' ELSE 'duplicate' END AS claim, CASE WHEN session_id <> p THEN p END AS primary_session FROM f"""),
-    "carry_linkage": (lambda s, d: handoff.carry_linkage(_handoffs(s, d).select((F.col("handoff_id") % 5).alias("session_id"), F.lit(1).alias("segment"), "load_token"), _handoffs(s, d), _loads(s, d)).groupBy("producer_segment", "consumer").agg(F.count("*").alias("n")), f"""WITH {HANDOFF_SQL}, ld AS (SELECT l_orderkey AS handoff_id, l_linenumber, min(l_partkey % 5) AS session_id FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)
+    "carry_linkage": (lambda s, d: handoff.carry_linkage(_handoffs(s, d).select((F.col("handoff_id") % 5).alias("session_id"), F.lit(1).alias("segment"), "load_token"), _handoffs(s, d), _loads(s, d)).groupBy("producer_segment", "consumer").agg(F.count("*").alias("n")), f"""WITH {HANDOFF_SQL}, ld AS (SELECT l_orderkey AS handoff_id, l_linenumber, min(l_partkey % 5) AS session_id FROM lineitem GROUP BY 1, 2)
       SELECT h.segment AS producer_segment, ld.session_id AS consumer, count(*) AS n FROM h JOIN ld ON h.handoff_id = ld.handoff_id AND ld.session_id = h.handoff_id % 5 GROUP BY 1, 2"""),
     "match_kept_paths": (lambda s, d: handoff.match_kept_paths(_kept(s, d), _candidates(s, d)), with_touches(f", {SNAPSHOT_SQL}, {KEPT_SQL} SELECT * FROM match_v")),
     "resolve_kept_tokens": (lambda s, d: handoff.resolve_kept_tokens(_kept(s, d), _candidates(s, d)), with_touches(f", {SNAPSHOT_SQL}, {KEPT_SQL} SELECT session_id, path, candidate, tokens, last_ord, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id, path ORDER BY last_ord DESC NULLS LAST, candidate) AS k FROM match_v) WHERE k = 1")),
@@ -201,7 +223,7 @@ QUERIES = {
     "redaction": (redaction, _redact_sql()),
     "token_estimate": (tokens, f"SELECT doc_id, round((length(text)-n)/CAST(3.24 AS DOUBLE)+n/CAST(0.94 AS DOUBLE), 6) AS tokens FROM (SELECT *, length(text)-length(regexp_replace(text, '{X.sql_pattern(X.CJK)}', '', 'g')) AS n FROM documents)"),
     "path_functions": (paths, PATHS_SQL),
-    "search": (search_queries, None),
+    "search": (search_queries, SEARCH_SQL),
     "usage_extract": (usage_extract, with_usage("SELECT session_id, count(*) AS n, CAST(sum(outp) AS BIGINT) AS outp FROM usage_v WHERE ts >= TIMESTAMP '2024-01-05' AND cr+cc+inp+outp > 0 GROUP BY 1")),
     "washed_usage": (washed, with_usage("SELECT CAST(ts AS DATE) AS day, substr(sha1(concat('salt|', CAST(session_id AS VARCHAR))), 1, 10) AS session, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS seq, model, CASE WHEN contains(model, 'pro') THEN 'pro' WHEN contains(model, 'flash') THEN 'flash' END AS tier, cr, cc, inp, outp FROM usage_v")),
     "growth_fit": (lambda s, d: r6(corpus.growth_fit(usage(s, d)), "slope"), with_usage(f", {FIT_SQL} SELECT session_id, model, n, floor, n_fit, round(slope, 6) AS slope, l_max FROM fit_v")),
@@ -220,8 +242,12 @@ QUERIES = {
       b AS (SELECT (v >= 0)::INT + (v >= 0.5)::INT + (v >= 1)::INT + (v >= 2)::INT + (v >= 4)::INT + (v >= 8)::INT + (v >= 15)::INT + (v >= 20)::INT AS bin FROM v) SELECT bin, count(*) AS n, round(count(*)/CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM b GROUP BY bin""")),
     "delta_quantiles": (lambda s, d: r6(corpus.delta_quantiles(analysed(s, d)), "p50", "p95", "p99", "beyond_8"), with_calls(""", u AS (SELECT session_id, segment, median(delta_l) AS k FROM calls_v WHERE delta_l > 0 GROUP BY 1, 2), v AS (SELECT delta_l/k AS v FROM calls_v c JOIN u ON c.session_id = u.session_id AND c.segment = u.segment WHERE delta_l > 0)
       SELECT count(*) AS n, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(avg(CASE WHEN v > 8 THEN 1.0 ELSE 0.0 END), 6) AS beyond_8 FROM v""")),
-    "ljung_box": (lambda s, d: corpus.ljung_box(analysed(s, d)), None),
-    "unit_root": (lambda s, d: corpus.unit_root(analysed(s, d)), None),
+    "ljung_box": (lambda s, d: r6(corpus.ljung_box(analysed(s, d)), "q"), LJUNG_SQL),
+    "unit_root": (lambda s, d: r6(corpus.unit_root(analysed(s, d)), "t"), with_calls("""
+      , d AS (SELECT session_id, segment, CAST(prev_l AS DOUBLE) AS x, CAST(l - prev_l AS DOUBLE) AS d FROM calls_v WHERE prev_l IS NOT NULL),
+      u AS (SELECT session_id, segment, count(*) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy FROM d GROUP BY 1, 2 HAVING count(*) >= 15 AND regr_sxx(d, x) > 0),
+      v AS (SELECT *, sqrt(greatest((syy - b*b*sxx)/(n-2)/sxx, 0)) AS e FROM u)
+      SELECT session_id, segment, n, round(CASE WHEN e > 0 THEN b/e END, 6) AS t, CASE WHEN e > 0 THEN b/e < -2.86 END AS rejects FROM v""")),
     "permutation_r2": (lambda s, d: corpus.permutation_r2(analysed(s, d)), None),
     "bootstrap_recovery": (lambda s, d: corpus.bootstrap_recovery(_recon(s, d)), None),
     "cold_start_gaps": (lambda s, d: corpus.cold_start_gaps(_summaries(s, d)).select("session_id", F.col("gap_s").cast("long").alias("gap_s")), with_usage(f", {SUMMARY_SQL} SELECT session_id, CAST(gap_s AS BIGINT) AS gap_s FROM gaps")),

@@ -99,7 +99,12 @@ def streamed_daily(spark, sf):
 
 QUERIES = {
     "active_path": (active_path, TREE_SQL + " SELECT DISTINCT session_id, uuid FROM up"),
-    "replay_plan": (replay_plan, None),
+    "replay_plan": (replay_plan, TREE_SQL + """, rt AS (SELECT session_id, uuid, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS root_ord FROM e WHERE parent IS NULL),
+      many AS (SELECT session_id FROM rt GROUP BY 1 HAVING count(*) > 1),
+      br(session_id, root_ord, uuid) AS (SELECT rt.session_id, root_ord, uuid FROM rt JOIN many ON rt.session_id = many.session_id UNION ALL SELECT br.session_id, root_ord, k.child FROM br JOIN k ON br.session_id = k.session_id AND br.uuid = k.parent),
+      every AS (SELECT * FROM br UNION ALL SELECT DISTINCT session_id, 1, uuid FROM up WHERE session_id NOT IN (SELECT session_id FROM many)),
+      kept AS (SELECT session_id, uuid, min(root_ord) AS root_ord FROM every GROUP BY 1, 2)
+      SELECT kept.session_id, root_ord, count(*) AS n, max(ord) AS last_ord FROM kept JOIN e ON kept.session_id = e.session_id AND kept.uuid = e.uuid GROUP BY 1, 2"""),
     "transcript_usage": (transcript_usage, """WITH c AS (SELECT DISTINCT conv_id AS session_id, turn AS ord, role, coalesce(length(text), 0) AS n FROM conversations),
       p AS (SELECT *, max(CASE WHEN role = 'assistant' THEN ord END) OVER w AS pa, max(CASE WHEN role <> 'assistant' AND ord % 4 <> 2 THEN ord END) OVER w AS pu FROM c WINDOW w AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT DISTINCT session_id, ord, ord*100+1000 AS cr, n % 300 AS cc, n % 10 AS inp, n AS outp, coalesce(pu > coalesce(pa, -1), false) AS human_turn FROM p WHERE role = 'assistant'"""),
