@@ -63,17 +63,20 @@ def _grep(a, c):
 
 
 def _bash(a, c):
-    op = X.shell_file_op(_input("command"))
-    path = X.canonical_path(op["path"], F.when(op["cwd"].isNotNull(), X.canonical_path(op["cwd"], "cwd")).otherwise(F.col("cwd")))
     plain = F.transform(F.split("result_text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), X.estimate_tokens(x, a, c).alias("tokens")))
     found = F.filter(F.split("result_text", "\n"), lambda x: x.rlike(r"^\d+:"))
     numbered = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(\d+):", 1).cast("long").alias("line"), X.estimate_tokens(F.regexp_extract(x, r"^\d+:(.*)$", 1), a, c).alias("tokens")))
-    kind = op["kind"]
-    return (
-        F.when(kind == "cat", _rows(path, F.lit("fullSet"), plain, X.OVERHEAD["Bash"])).when(kind == "head", _rows(path, F.lit("lineUpdate"), plain, X.OVERHEAD["Bash"]))
-        .when((kind == "grep-n") & (F.size(numbered) > 0), _rows(path, F.lit("lineUpdate"), numbered, X.OVERHEAD["Bash"]))
-        .when(kind == "cat-write", _rows(path, F.lit("write"), X.written_lines(X.heredoc_body(_input("command")), a, c), X.OVERHEAD["Write"]))
-    )
+
+    def written(op: Column) -> Column:
+        kind, path = op["kind"], X.canonical_path(op["path"], F.when(op["cwd"].isNotNull(), X.canonical_path(op["cwd"], "cwd")).otherwise(F.col("cwd")))
+        lines = F.when(kind == "cat-write", X.written_lines(X.heredoc_body(_input("command")), a, c)).when(kind == "grep-n", numbered).otherwise(plain)
+        how = F.when(kind == "cat", "fullSet").when(kind == "cat-write", "write").when((kind == "head") | (F.size(numbered) > 0), "lineUpdate")
+        return F.struct(kind.alias("kind"), path.alias("path"), how.alias("how"), lines.alias("lines"))
+
+    def rows(x: Column) -> Column:
+        return F.when(x["kind"] == "cat-write", _rows(x["path"], x["how"], x["lines"], X.OVERHEAD["Write"])).otherwise(_rows(x["path"], x["how"], x["lines"], X.OVERHEAD["Bash"]))
+
+    return X.let(X.let(X.shell_file_op(_input("command")), written), rows)
 
 
 def _skill(a, c):
@@ -128,7 +131,7 @@ def residual_tools(events: DataFrame) -> DataFrame:
     """key, kind and weight of the uses that a call's residual is dealt to: shell commands, MCP tools and agents."""
     name = F.col("name")
     kind = F.when(name == "Bash", "bash").when(name.startswith("mcp__"), "mcp").when(name.isin("Task", "Agent"), "agent")
-    label = X.shell_label(_input("command"))
-    key = F.when(kind == "bash", F.concat_ws(" ", label["name"], F.nullif(label["detail"], F.lit("")))).when(kind == "mcp", X.mcp_label("name")).otherwise(F.coalesce(_input("description"), name))
+    label = X.let(X.shell_label(_input("command")), lambda x: F.concat_ws(" ", x["name"], F.nullif(x["detail"], F.lit(""))))
+    key = F.when(kind == "bash", label).when(kind == "mcp", X.mcp_label("name")).otherwise(F.coalesce(_input("description"), name))
     weight = F.when(kind == "agent", F.length("result_text")).otherwise(F.length("input") + F.length("result_text"))
     return events.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("session_id", "id", "use_ord", "result_ord", key.alias("key"), "kind", weight.alias("weight"))
