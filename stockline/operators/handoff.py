@@ -144,8 +144,9 @@ def valid_prices(prices: DataFrame) -> DataFrame:
 
 def apply_ignore_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """``ignored`` by the last rule (priority, pattern as regular expression, negated) that matches; rules are a small table."""
-    matched = paths.join(rules, F.expr("path RLIKE pattern")).groupBy("path").agg(F.max_by(~F.col("negated"), "priority").alias("ignored"))
-    return paths.select("path").distinct().join(matched, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+    distinct = paths.select("path").distinct()  # each path meets the rules once
+    matched = distinct.join(rules, F.expr("path RLIKE pattern"), "left")
+    return matched.groupBy("path").agg(F.coalesce(F.max_by(~F.col("negated"), F.when(F.col("pattern").isNotNull(), F.col("priority"))), F.lit(False)).alias("ignored"))
 
 
 def document_terms(docs: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
