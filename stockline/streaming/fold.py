@@ -1,4 +1,4 @@
-"""Structured Streaming over usage rows: fold, segments, meter and alerts per session, in one state per session.
+"""Structured Streaming over usage rows: fold, segments, meter, alerts, backstop and profiles per session, in one state per session.
 
 A stream brings rows of extract_usage (session_id, ord, ts, message_id, model, cr, cc, inp, outp, human_turn). Rows of a session arrive in the
 order of ord, in micro-batches of any size. The values of a call are those of the batch operators at that call.
@@ -16,13 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stockline.functions.economics import BR_AMBER
 from stockline.functions.models import COST_RATIOS, DEFAULT_COST_RATIO
 from stockline.operators.calls import EMA_ALPHA, EMA_FLOOR, EMA_SEED, MISS_DROP, STOCK_EPSILON
 
 OUTPUT = (
     "session_id long, kind string, ord long, call_id string, folded_seq long, turn_seq long, segment long, l long, miss boolean, g double, burn double, cycles long, progress double, "
-    "deep_water boolean, gate_fires boolean, n_calls long, l_peak long, tokens long"
+    "deep_water boolean, gate_fires boolean, n_calls long, l_peak long, tokens long, dw_bills double, laps long, backstop_fires boolean, "
+    "model string, l_floor long, b_total long, g_final double, o_avg double, c_ratio double, turns long, duration_ms long, total_tokens_read long, mf double, pp_exit double, br_exit double, "
+    "br_peak double, pp_peak double, g_min double, p0 double, b_axis double, x_axis double, turn_at_br_amber long"
 )
+PROFILE = (
+    "session_id", "segment", "model", "l_floor", "b_total", "l_peak", "g_final", "o_avg", "c_ratio", "turns", "n_calls", "duration_ms", "total_tokens_read", "mf", "pp_exit", "br_exit",
+    "br_peak", "pp_peak", "g_min", "p0", "b_axis", "x_axis", "turn_at_br_amber",
+)
 STATE = "state string"
 IDLE_MS = 7 * 24 * 3600 * 1000
 
@@ -34,11 +41,34 @@ def _ratio(model: str) -> float:
 
 
 def fresh() -> dict:
-    return {"seq": 0, "turn": 0, "segment": 0, "l": 0, "stock": 0, "known": {}, "dead": 0, "ceiling": 0, "g": EMA_SEED, "first": True, "burn": None, "micro": 0, "run": 0, "run_cycles": 0, "fired": False, "n": 0, "peak": 0, "human": False}
+    return {"seq": 0, "turn": 0, "segment": 0, "l": 0, "stock": 0, "known": {}, "dead": 0, "ceiling": 0, "g": EMA_SEED, "first": True, "burn": None, "micro": 0, "run": 0, "run_cycles": 0, "fired": False, "n": 0, "peak": 0, "human": False} | {
+        "bills": 0.0, "laps": 0, "turn0": None, "amber": None, "ts0": None, "ts1": None, "read": 0, "out": 0, "model": None, "r": None, "mf": None, "pp": None, "br": None, "pp_peak": None, "br_peak": None, "g_min": None,
+    }
+
+
+def _most(a: float | None, b: float | None) -> float | None:
+    return b if a is None else a if b is None else max(a, b)
 
 
 def _closed(session: int, s: dict) -> dict:
-    return {"session_id": session, "kind": "closed", "segment": s["segment"], "n_calls": s["n"], "l_peak": s["peak"], "g": max(s["g"], EMA_FLOOR)}
+    """The profile of the segment that ends, with the columns and values of the batch profile."""
+    g, floor, o_avg = max(s["g"], EMA_FLOOR), s["dead"] or None, s["out"] / s["n"] if s["n"] else None
+    head = {"session_id": session, "kind": "closed", "segment": s["segment"], "n_calls": s["n"], "l_peak": s["peak"], "g": g}
+    if not s["n"]:
+        return head
+    return head | {
+        "model": s["model"], "l_floor": floor, "b_total": floor, "g_final": g, "o_avg": o_avg, "c_ratio": s["r"], "turns": s["turn"] - s["turn0"] + 1, "duration_ms": None if s["ts0"] is None else s["ts1"] - s["ts0"],
+        "total_tokens_read": s["read"], "mf": s["mf"], "pp_exit": s["pp"], "br_exit": s["br"], "br_peak": s["br_peak"], "pp_peak": s["pp_peak"], "g_min": s["g_min"],
+        "p0": floor and floor / (s["r"] * g), "b_axis": 2 * o_avg / g, "x_axis": floor and s["peak"] / floor, "turn_at_br_amber": None if s["amber"] is None else s["amber"] - s["turn0"],
+    }
+
+
+def _interval(mf: float | None, target: float = BR_AMBER) -> float:
+    """Bills between two backstops: the square of the right root of mf (u - 1)^2 / (2 u) = target."""
+    if not mf:
+        return math.inf
+    half = mf + target
+    return ((half + math.sqrt(half * half - mf * mf)) / mf) ** 2
 
 
 def step(session: int, s: dict, row) -> list[dict]:
@@ -78,18 +108,37 @@ def step(session: int, s: dict, row) -> list[dict]:
         s["micro"] += math.floor((s["burn"] + burn) / 2 * 1_000_000)
     s["burn"] = burn
     cycles = s["micro"] // 1_000_000
-    deep = False
-    if b and length > b:
-        d = math.sqrt(2 * r * g / b)
-        arm = math.sqrt(2 * r * b * g)
-        u = (length / b - 1) / d
-        deep = length / b >= 1 + d and arm / (arm + b + r * g) * (u - 1) ** 2 / (2 * u) >= 0.10
+    deep, mf, pp, br = False, None, None, None
+    if b:
+        d, arm = math.sqrt(2 * r * g / b), math.sqrt(2 * r * b * g)
+        mf = arm / (arm + b + r * g)
+        if length > b:
+            u = (length / b - 1) / d
+            pp = (u - 1) ** 2 / (2 * u)
+            br = mf * pp
+            deep = length / b >= 1 + d and br >= BR_AMBER
     s["run"], s["run_cycles"] = (s["run"] + 1, s["run_cycles"] + cycles - before) if deep else (0, 0)
     fires = deep and not s["fired"] and s["run"] >= 3 and s["run_cycles"] > 0
     s["fired"] = s["fired"] or fires
+    backstop = False
+    if s["fired"] and not fires and deep:
+        s["bills"] += cycles - before
+        if s["bills"] >= _interval(mf):
+            backstop, s["bills"], s["laps"] = True, 0.0, s["laps"] + 1
+    if s["turn0"] is None:
+        s["turn0"] = s["turn"]
+    if s["amber"] is None and br is not None and br >= BR_AMBER:
+        s["amber"] = s["turn"]
+    ts = getattr(row, "ts", None)
+    if isinstance(ts, pd.Timestamp):
+        ms = ts.value // 1_000_000
+        s["ts0"], s["ts1"] = (ms, ms) if s["ts0"] is None else (min(s["ts0"], ms), max(s["ts1"], ms))
+    s.update({"read": s["read"] + stock, "out": s["out"] + int(row.outp), "model": row.model, "r": r, "mf": mf, "pp": pp, "br": br, "pp_peak": _most(s["pp_peak"], pp), "br_peak": _most(s["br_peak"], br)})
+    s["g_min"] = g if s["g_min"] is None else min(s["g_min"], g)
     out.append({
         "session_id": session, "kind": "call", "ord": row.ord, "call_id": key, "folded_seq": s["seq"], "turn_seq": s["turn"], "segment": s["segment"], "l": length, "miss": bool(miss), "g": g, "burn": burn,
         "cycles": cycles, "progress": s["micro"] % 1_000_000 / 1_000_000, "deep_water": deep, "gate_fires": fires, "tokens": total,
+        "dw_bills": s["bills"], "laps": s["laps"], "backstop_fires": backstop,
     })
     return out
 
@@ -124,6 +173,11 @@ def stream_fold(usage: DataFrame, timeout: bool = True) -> DataFrame:
     return usage.groupBy("session_id").applyInPandasWithState(partial(_run, timeout=timeout), OUTPUT, STATE, "append", kind)
 
 
+def closed_profiles(stream: DataFrame) -> DataFrame:
+    """Profiles of the segments that ended, from the rows of stream_fold: what segment_profiles gives for them in batch."""
+    return stream.where("kind = 'closed' AND n_calls > 0").select(*PROFILE)
+
+
 def stream_entries(lines: DataFrame) -> DataFrame:
     """Entries of a stream of lines (session_id, ord, line)."""
     from stockline.sources.transcripts import parse_entries
