@@ -170,6 +170,39 @@ def unit_root(calls: DataFrame, column: str = "l", least: int = 15) -> DataFrame
     return sums.select(*SEGMENT, "n", F.when(error > 0, F.col("b") / error).alias("t"), F.when(error > 0, F.col("b") / error < -2.86).alias("rejects"))
 
 
+def lagged_unit_root(calls: DataFrame, column: str = "l", least: int = 15) -> DataFrame:
+    """Augmented Dickey-Fuller t statistic of each segment: the change regressed on the level and on the change before.
+
+    Two regressors have normal equations in closed form, so one grouping of covariances gives all segments. Null where they are collinear.
+    """
+    y = F.col(column).cast("double")
+    rows = calls.select(*SEGMENT, "ord", F.lag(y).over(by_segment()).alias("x"), (y - F.lag(y).over(by_segment())).alias("d"))
+    rows = rows.withColumn("z", F.lag("d").over(by_segment())).where("z IS NOT NULL")
+    pair = lambda a, b: (F.covar_pop(a, b) * F.count("*")).alias(a + b)
+    s = rows.groupBy(*SEGMENT).agg(F.count("*").alias("n"), *[pair(a, b) for a, b in ("xx", "zz", "xz", "xd", "zd", "dd")]).where(F.col("n") >= least)
+    det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
+    s = s.withColumn("det", det).where(F.col("det") > 1e-9 * F.col("xx") * F.col("zz"))
+    s = s.withColumn("b", (F.col("xd") * F.col("zz") - F.col("zd") * F.col("xz")) / F.col("det")).withColumn("c", (F.col("zd") * F.col("xx") - F.col("xd") * F.col("xz")) / F.col("det"))
+    rest = F.col("dd") - F.col("b") * F.col("xd") - F.col("c") * F.col("zd")
+    s = s.withColumn("e", F.when(rest > 1e-9 * F.col("dd"), F.sqrt(rest / (F.col("n") - 3) * F.col("zz") / F.col("det"))))
+    return s.select(*SEGMENT, "n", (F.col("b") / F.col("e")).alias("t"), (F.col("b") / F.col("e") < -2.86).alias("rejects"))
+
+
+#: 95 % point of chi-squared with ten degrees of freedom (fixed value).
+CHI2_10 = 18.307
+
+
+def stationarity(calls: DataFrame) -> DataFrame:
+    """Segments and the share of them that reject a unit root in L and in g, and that have autocorrelated g by Ljung and Box."""
+    share = lambda c: F.avg(c.cast("double"))
+    tests = {"l": (lagged_unit_root(calls, "l"), F.col("rejects")), "g": (lagged_unit_root(calls, "g"), F.col("rejects")), "q": (ljung_box(calls), F.col("q") > CHI2_10)}
+    found = None
+    for name, (rows, hit) in tests.items():
+        one = rows.agg(F.count(hit).alias("n"), share(hit).alias("share")).select(F.lit(name).alias("test"), "n", "share")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def permutation_r2(calls: DataFrame, seed: int = 1) -> DataFrame:
     """R2 of each segment when its growths come in another order, drawn by a hash of seed and call."""
     dice = F.xxhash64(F.lit(seed), *[F.col(c) for c in ("session_id", "segment", "ord")])

@@ -74,12 +74,17 @@ def touch_lists(touches: DataFrame, keep: int = 64) -> DataFrame:
 def touch_spend(touches: DataFrame) -> DataFrame:
     """Tokens spent on each path by all its touches; the spend of a search is dealt to its files by what they got.
 
-    Rows may have event_id and event_spent: the cost of an operation over several paths.
+    Rows may have event_id and event_spent: the cost of an operation over several paths; and event_overhead, which its files share evenly.
     """
     if "event_spent" not in touches.columns:
         return touches.groupBy(*_by(touches, "path")).agg(F.sum(F.abs("tokens")).alias("spent"))
     event = Window.partitionBy(*_by(touches), "event_id")
     share = F.col("event_spent") * F.try_divide("tokens", F.sum("tokens").over(event))
+    if "event_overhead" in touches.columns:
+        # the files of one operation are its own result lines, so the set stays small
+        file = Window.partitionBy(*_by(touches), "event_id", "path")
+        even = F.col("event_overhead") / F.size(F.collect_set("path").over(event)) / F.count("*").over(file)
+        share = share + F.coalesce(even, F.lit(0.0))
     return touches.withColumn("_s", F.when(F.col("event_spent").isNull(), F.abs("tokens")).otherwise(share)).groupBy(*_by(touches, "path")).agg(F.sum("_s").alias("spent"))
 
 

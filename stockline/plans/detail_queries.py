@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from stockline.functions import economics as E
 from stockline.functions import models as M
 from stockline.functions import text as X
-from stockline.operators import billing, calls, handoff, ledger, profiles, tools, tree
+from stockline.operators import billing, calls, corpus, handoff, ledger, profiles, tools, tree
 from stockline.sources import tables as T
 
 from .base import analysed, metered, positioned, r6, round_sql, touches, usage, with_calls, with_meter, with_positions, with_touches, with_usage
-from .table_queries import HANDOFF_SQL, _handoffs, _loads
+from .table_queries import HANDOFF_SQL, LJUNG_SQL, _handoffs, _loads
 from .tree_queries import TREE_SQL, _entries
 
 KEY = ["session_id", "ord"]
@@ -235,12 +235,14 @@ SELECT ev.session_id, 't'||ev.turn AS id, md5(t) AS skill FROM ev LEFT JOIN en O
 
 
 def search_spend(spark, sf):
-    """Touches in operations of four; every third operation has one cost that its files share."""
+    """Touches in operations of four; every third operation has one cost that its files share, every sixth an overhead too."""
     event = F.floor(F.col("ord") / 4)
-    return r6(ledger.touch_spend(touches(spark, sf).withColumn("event_id", event).withColumn("event_spent", F.when(event % 3 == 0, 500.0))), "spent")
+    return r6(ledger.touch_spend(touches(spark, sf).withColumn("event_id", event).withColumn("event_spent", F.when(event % 3 == 0, 500.0)).withColumn("event_overhead", F.when(event % 6 == 0, 40.0))), "spent")
 
 
-SPEND_SQL = with_touches(""", s AS (SELECT *, CASE WHEN (ord // 4) % 3 = 0 THEN CAST(500 AS DOUBLE)*(tokens/CAST(sum(tokens) OVER (PARTITION BY session_id, ord // 4) AS DOUBLE)) ELSE abs(tokens) END AS s FROM touch_v)
+SPEND_SQL = with_touches(""", n AS (SELECT session_id, ord // 4 AS event, count(DISTINCT path) AS n_files, sum(tokens) AS whole FROM touch_v GROUP BY 1, 2), f AS (SELECT session_id, ord // 4 AS event, path, count(*) AS n_rows FROM touch_v GROUP BY 1, 2, 3),
+s AS (SELECT t.session_id, t.path, CASE WHEN n.event % 3 = 0 THEN CAST(500 AS DOUBLE)*(tokens/CAST(whole AS DOUBLE)) + CASE WHEN n.event % 6 = 0 THEN CAST(40 AS DOUBLE)/n_files/n_rows ELSE 0 END ELSE abs(tokens) END AS s
+  FROM touch_v t JOIN n ON t.session_id = n.session_id AND t.ord // 4 = n.event JOIN f ON t.session_id = f.session_id AND t.ord // 4 = f.event AND t.path = f.path)
 SELECT session_id, path, round(sum(s), 6) AS spent FROM s GROUP BY 1, 2""")
 
 
@@ -296,6 +298,27 @@ def term_bigrams(spark, sf):
 BIGRAMS_SQL = f"""SELECT doc_id, len(g) AS n, md5(array_to_string(g, ' ')) AS bigrams FROM (SELECT doc_id, flatten([[r[i:i+1] for i in range(1, length(r))] for r in regexp_extract_all(coalesce(text, ''), '{X.sql_pattern(X.CJK_RUN)}')]) AS g FROM documents)"""
 
 
+def kept_projection(spark, sf):
+    """Kept entries in both shapes, and broken ones, with fields that the answer doesn't have."""
+    p = touches(spark, sf).select("path").distinct()
+    n = F.length("path")
+    entry = F.concat(F.lit('{"path":"'), "path", F.lit('","note":"x","lines":[['), n.cast("string"), F.lit(",99]]}"))
+    raw = F.when(n % 3 == 0, F.concat(F.lit("["), entry, F.lit("]"))).when(n % 3 == 1, F.concat(F.lit('{"paths":['), entry, F.lit('],"skills":["s"]}'))).otherwise("[{")
+    return p.select("path", X.kept_projection(raw).alias("kept"))
+
+
+KEPT_SQL = with_touches("""SELECT DISTINCT path, CASE WHEN length(path) % 3 = 2 THEN '[]' ELSE '[{"path":"'||path||'","lines":[['||length(path)||',99]]}]' END AS kept FROM touch_v""")
+
+
+def _adf_sql(column: str, name: str) -> str:
+    return f"""{name}0 AS (SELECT session_id, segment, ord, CAST(lag({column}) OVER w AS DOUBLE) AS x, CAST({column} AS DOUBLE) - CAST(lag({column}) OVER w AS DOUBLE) AS d FROM calls_v WINDOW w AS (PARTITION BY session_id, segment ORDER BY ord)),
+{name}1 AS (SELECT *, lag(d) OVER (PARTITION BY session_id, segment ORDER BY ord) AS z FROM {name}0),
+{name}2 AS (SELECT session_id, segment, count(*) AS n, covar_pop(x, x)*count(*) AS xx, covar_pop(z, z)*count(*) AS zz, covar_pop(x, z)*count(*) AS xz, covar_pop(x, d)*count(*) AS xd, covar_pop(z, d)*count(*) AS zd, covar_pop(d, d)*count(*) AS dd FROM {name}1 WHERE z IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 15),
+{name}3 AS (SELECT *, xx*zz-xz*xz AS det FROM {name}2), {name}4 AS (SELECT *, (xd*zz-zd*xz)/det AS b, (zd*xx-xd*xz)/det AS c FROM {name}3 WHERE det > 1e-9*xx*zz),
+{name}5 AS (SELECT *, CASE WHEN dd-b*xd-c*zd > 1e-9*dd THEN sqrt((dd-b*xd-c*zd)/(n-3)*zz/det) END AS e FROM {name}4),
+{name} AS (SELECT session_id, segment, n, b/e AS t, b/e < CAST(-2.86 AS DOUBLE) AS rejects FROM {name}5)"""
+
+
 def _mask_sql() -> str:
     out = "text"
     for pattern, mask in X.COMMAND_MASKS:
@@ -333,4 +356,9 @@ QUERIES = {
     "tool_texts": (tool_texts, TEXTS_SQL),
     "edit_deltas": (edit_deltas, EDITS_SQL),
     "term_bigrams": (term_bigrams, BIGRAMS_SQL),
+    "kept_projection": (kept_projection, KEPT_SQL),
+    "lagged_unit_root": (lambda s, d: corpus.lagged_unit_root(analysed(s, d)).withColumn("t", F.round("t", 4)), with_calls(f", {_adf_sql('l', 'ul')} SELECT session_id, segment, n, round(t, 4) AS t, rejects FROM ul")),
+    "stationarity": (lambda s, d: r6(corpus.stationarity(analysed(s, d)), "share"), LJUNG_SQL[: LJUNG_SQL.rindex("SELECT")] + f""", {_adf_sql('l', 'ul')}, {_adf_sql('g', 'ug')},
+      tests AS (SELECT 'l' AS test, rejects FROM ul UNION ALL SELECT 'g', rejects FROM ug UNION ALL SELECT 'q', qs.q > CAST({corpus.CHI2_10} AS DOUBLE) FROM ({LJUNG_SQL[LJUNG_SQL.rindex("SELECT"):]}) qs)
+      SELECT k.test, count(rejects) AS n, round(avg(CAST(rejects AS DOUBLE)), 6) AS share FROM (SELECT unnest(['l', 'g', 'q']) AS test) k LEFT JOIN tests ON k.test = tests.test GROUP BY k.test"""),
 }
