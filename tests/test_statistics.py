@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockline.operators import corpus
+from stockline.operators import billing, corpus
 from stockline.plans import tree_queries
 
 
@@ -116,3 +116,25 @@ def test_tool_writes_match_a_sequential_ledger(spark, sf_dir):
     got = {(r.session_id, r.path): r.path_tokens for r in tree_queries.tool_writes(spark, sf_dir).collect()}
     assert got and got.keys() == ledger.keys()
     assert all(got[k] == pytest.approx(ledger[k], abs=1e-3) for k in got)
+
+
+def test_turn_gate_against_its_rule(spark):
+    """A turn notifies if it ends a run of ``DWELL`` turns at amber and, since the last notice, some turn was below amber by the hysteresis."""
+    draw, rows, want = random.Random(4), [], {}
+    for session in range(20):
+        turn, seen = 0, []
+        for o in range(60):
+            turn += draw.choice([0, 1, 1, 1])
+            br = draw.choice([None, 0.01, 0.05, 0.099, 0.1, 0.15, 0.15, 0.2, 0.3, 0.3])
+            rows.append((session, 0, o, turn, br))
+            want[session, o] = False
+            if turn > (seen[-1][0] if seen else 0):
+                seen.append((turn, br, False))
+                run = [b is not None and b >= 0.10 for _, b, _ in seen[-billing.DWELL :]]
+                last = max((i for i, x in enumerate(seen) if x[2]), default=None)
+                low = last is None or any(b is not None and b < 0.10 - billing.HYSTERESIS for _, b, _ in seen[last + 1 :])
+                want[session, o] = len(run) == billing.DWELL and all(run) and low
+                seen[-1] = (turn, br, want[session, o])
+    df = spark.createDataFrame(rows, "session_id long, segment long, ord long, turn_seq long, br double")
+    assert {(r.session_id, r.ord): r.notify for r in billing.turn_gate(df).collect()} == want
+    assert sum(want.values()) > 20
