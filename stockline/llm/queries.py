@@ -74,9 +74,15 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_licences, op3_language_id, op4_minhash, op5_tool_calls, op6_html_text, op7_token_counts, op8_suffix_dedup, op9_topk, op10_decontaminate)
+    for f in (op1_mixing, op2_licences, op3_language_id, op4_minhash, op5_tool_calls, op6_html_text, op7_token_counts, op8_suffix_dedup, op9_topk, op10_decontaminate, op13_spelling)
 }
 
 
