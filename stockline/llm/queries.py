@@ -74,6 +74,19 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turn_repair
+
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.digest(conversations, turn_repair.damaged(conversations))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import spelling
 
@@ -82,14 +95,14 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_licences, op3_language_id, op4_minhash, op5_tool_calls, op6_html_text, op7_token_counts, op8_suffix_dedup, op9_topk, op10_decontaminate, op13_spelling)
+    for f in (op1_mixing, op2_licences, op3_language_id, op4_minhash, op5_tool_calls, op6_html_text, op7_token_counts, op8_suffix_dedup, op9_topk, op10_decontaminate, op11_turn_repair, op12_line_dedup, op13_spelling)
 }
 
 
 def _oracles() -> dict[str, str]:
-    from . import mixing, topk
+    from . import line_dedup, mixing, topk
 
-    return {"op1_mixing": mixing.mix_sql(), "op9_topk": topk.TOP_K_SQL}
+    return {"op1_mixing": mixing.mix_sql(), "op9_topk": topk.TOP_K_SQL, "op12_line_dedup": line_dedup.DIGEST_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
