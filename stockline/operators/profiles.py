@@ -16,7 +16,7 @@ SEGMENT = ["session_id", "segment"]
 
 def segment_profiles(calls: DataFrame) -> DataFrame:
     """One row for each segment of positioned calls (session_id, segment, ord, ts, model, l, dead, g, r, mf, br, pp, x, ...)."""
-    last = F.struct("model", "l", "g", "r", "mf", "br", "pp", "x", "dead")
+    last = F.struct("model", "l", "g", "r", "mf", "br", "pp", "x", "dead", F.col("b" if "b" in calls.columns else "dead").alias("b"))
     rows = calls.groupBy(*SEGMENT).agg(
         F.max_by(last, "ord").alias("z"), F.countDistinct("turn_seq").alias("turns"), F.count("*").alias("n_calls"), (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("duration_ms"),
         F.sum(F.col("cr") + F.col("cc") + F.col("inp")).alias("total_tokens_read"), F.sum("outp").alias("total_output"), F.max("l").alias("l_peak"), F.max("br").alias("br_peak"), F.max("pp").alias("pp_peak"), F.min("g").alias("g_min"),
@@ -25,7 +25,7 @@ def segment_profiles(calls: DataFrame) -> DataFrame:
     z = lambda c: F.col(f"z.{c}")
     o_avg = F.col("total_output") / F.col("n_calls")
     return rows.select(
-        *SEGMENT, z("model").alias("model"), z("dead").alias("l_floor"), z("dead").alias("b_total"), "l_peak", z("g").alias("g_final"), o_avg.alias("o_avg"), z("r").alias("c_ratio"), "turns", "n_calls",
+        *SEGMENT, z("model").alias("model"), z("dead").alias("l_floor"), z("b").alias("b_total"), "l_peak", z("g").alias("g_final"), o_avg.alias("o_avg"), z("r").alias("c_ratio"), "turns", "n_calls",
         "duration_ms", "total_tokens_read", z("mf").alias("mf"), z("pp").alias("pp_exit"), z("br").alias("br_exit"), "br_peak", "pp_peak", "g_min",
         (z("dead") / (z("r") * z("g"))).alias("p0"), (2 * o_avg / z("g")).alias("b_axis"), (F.col("l_peak") / z("dead")).alias("x_axis"), (F.col("_ta") - F.col("_t0")).alias("turn_at_br_amber"),
     )

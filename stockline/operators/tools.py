@@ -116,15 +116,20 @@ def drop_unanswered(uses: DataFrame, answered: DataFrame, turns: DataFrame, max_
     return waiting.join(turns.select("session_id", F.col("turn_seq").alias("_now")), "session_id").where(F.col("_now") - F.col("turn_seq") <= max_distance).drop("_now")
 
 
-def line_writes(events: DataFrame, ascii_ctp: Column, cjk_ctp: Column, adapters: tuple[ToolAdapter, ...] = ADAPTERS) -> DataFrame:
-    """Path, op, line and tokens of each line that a tool event writes into the context."""
+def writes_of(ascii_ctp: Column, cjk_ctp: Column, adapters: tuple[ToolAdapter, ...] = ADAPTERS) -> Column:
+    """The writes of a tool event (name, input, result_text, cwd, skill_text) as an array; null if no adapter takes it."""
     writes = None
     for adapter in adapters:
         found = adapter.writes(ascii_ctp, cjk_ctp).cast(_WRITE)
         writes = F.when(adapter.match(), found) if writes is None else writes.when(adapter.match(), found)
+    return writes
+
+
+def line_writes(events: DataFrame, ascii_ctp: Column, cjk_ctp: Column, adapters: tuple[ToolAdapter, ...] = ADAPTERS) -> DataFrame:
+    """Path, op, line and tokens of each line that a tool event writes into the context."""
     rows = events if "skill_text" in events.columns else events.withColumn("skill_text", F.lit(None).cast("string"))
     keys = [c for c in ("session_id", "segment", "result_ord", "block_pos", "id", "name") if c in events.columns]
-    return rows.select(*keys, F.inline(writes)).withColumnRenamed("result_ord", "ord").withColumnRenamed("line", "line_no")
+    return rows.select(*keys, F.inline(writes_of(ascii_ctp, cjk_ctp, adapters))).withColumnRenamed("result_ord", "ord").withColumnRenamed("line", "line_no")
 
 
 def residual_tools(events: DataFrame) -> DataFrame:

@@ -37,9 +37,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("line <> ''").withColumn("ord", F.col("ord").cast("long"))
 
 
-def parse_entries(lines: DataFrame) -> DataFrame:
-    """Entries of lines (path or session_id, ord, line). Lines that hold no entry are dropped before parsing, malformed ones after."""
-    rows = lines.where(X.precheck("line")).withColumn("e", F.from_json("line", ENTRY, {"mode": "PERMISSIVE"})).where(F.try_parse_json("line").isNotNull() & F.col("e").isNotNull())
+def parse_entries(lines: DataFrame, keep: bool = False) -> DataFrame:
+    """Entries of lines (path or session_id, ord, line). Lines that hold no entry are dropped before parsing, malformed ones after; with ``keep`` they are entries of nulls."""
+    parsed, good = F.from_json("line", ENTRY, {"mode": "PERMISSIVE"}), F.try_parse_json("line").isNotNull()
+    if keep:
+        rows = lines.withColumn("e", F.when(X.precheck("line") & good, parsed))
+    else:
+        rows = lines.where(X.precheck("line")).withColumn("e", parsed).where(good & F.col("e").isNotNull())
     if "session_id" not in rows.columns:
         rows = rows.withColumn("_s", X.session_of("path")).withColumn("session_id", F.col("_s.session_id")).withColumn("is_sub_agent", F.col("_s.is_sub_agent"))
     sub = [F.col("is_sub_agent")] if "is_sub_agent" in rows.columns else [F.lit(False).alias("is_sub_agent")]
@@ -80,11 +84,8 @@ def is_turn_boundary() -> Column:
     return F.coalesce((F.col("type") == "user") & ~F.col("is_sidechain") & ~F.col("is_meta") & content.isNotNull() & (text | (F.ltrim(content).startswith("[") & ~results)), F.lit(False))
 
 
-def extract_usage(entries: DataFrame) -> DataFrame:
-    """Usage rows of assistant entries, with ``human_turn`` if a human's entry came since the session's usage row before.
-
-    Rows with an explicit null in a known field, of a synthetic model or with four zero counters are left out.
-    """
+def usage_fields() -> dict[str, Column]:
+    """cr, cc, inp, outp of an entry, ``_used`` if it is a usage row that counts and ``_turn`` if it is a human's."""
     u = F.col("usage")
     null_field = F.lit(False)
     for name in USAGE_FIELDS:
@@ -92,16 +93,23 @@ def extract_usage(entries: DataFrame) -> DataFrame:
     number = lambda name: F.coalesce(F.get_json_object(u, f"$.{name}").cast("long"), F.lit(0))
     parts = F.get_json_object(u, "$.cache_creation")
     creation = F.when(F.ltrim(parts).startswith("{"), number("cache_creation.ephemeral_5m_input_tokens") + number("cache_creation.ephemeral_1h_input_tokens")).otherwise(number("cache_creation_input_tokens"))
+    counters = {"cr": number("cache_read_input_tokens"), "cc": creation, "inp": number("input_tokens"), "outp": number("output_tokens")}
     own = (F.col("type") == "assistant") & u.isNotNull() & F.ltrim(u).startswith("{") & ~null_field
-    rows = entries.withColumn("_own", F.coalesce(own, F.lit(False))).withColumn("_turn", is_turn_boundary())
-    rows = rows.select("session_id", "ord", "ts", "uuid", "message_id", "request_id", "model", "is_sidechain", "is_sub_agent", number("cache_read_input_tokens").alias("cr"), creation.alias("cc"), number("input_tokens").alias("inp"), number("output_tokens").alias("outp"), "_own", "_turn")
-    used = F.col("_own") & (F.col("model") != "<synthetic>") & (F.col("cr") + F.col("cc") + F.col("inp") + F.col("outp") > 0)
+    used = F.coalesce(own, F.lit(False)) & (F.col("model") != "<synthetic>") & (counters["cr"] + counters["cc"] + counters["inp"] + counters["outp"] > 0)
+    return counters | {"_used": used, "_turn": is_turn_boundary()}
+
+
+def extract_usage(entries: DataFrame) -> DataFrame:
+    """Usage rows of assistant entries, with ``human_turn`` if a human's entry came since the session's usage row before.
+
+    Rows with an explicit null in a known field, of a synthetic model or with four zero counters are left out.
+    """
+    rows = entries.select("session_id", "ord", "ts", "uuid", "message_id", "request_id", "model", "is_sidechain", "is_sub_agent", *(c.alias(n) for n, c in usage_fields().items()))
     # a sub-agent's file has an order of its own
     before = Window.partitionBy("session_id", "is_sub_agent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_used", used)
     since = F.coalesce(F.max(F.when(F.col("_used") & ~F.col("is_sidechain"), F.col("ord"))).over(before), F.lit(-1).cast("long"))
     turn = F.coalesce(F.max(F.when(F.col("_turn"), F.col("ord"))).over(before) > since, F.lit(False))
-    return rows.withColumn("human_turn", turn).where("_used").drop("_own", "_turn", "_used")
+    return rows.withColumn("human_turn", turn).where("_used").drop("_turn", "_used")
 
 
 def fold_key() -> Column:

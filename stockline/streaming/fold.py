@@ -6,14 +6,13 @@ order of ord, in micro-batches of any size. The values of a call are those of th
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterable
-from functools import partial
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockline.functions.economics import BR_AMBER
@@ -30,7 +29,12 @@ PROFILE = (
     "session_id", "segment", "model", "l_floor", "b_total", "l_peak", "g_final", "o_avg", "c_ratio", "turns", "n_calls", "duration_ms", "total_tokens_read", "mf", "pp_exit", "br_exit",
     "br_peak", "pp_peak", "g_min", "p0", "b_axis", "x_axis", "turn_at_br_amber",
 )
-STATE = "state string"
+#: The state of a session beside its known calls, which are a map of their own.
+STATE = (
+    "seq long, turn long, segment long, l long, stock long, dead long, ceiling long, g double, first boolean, burn double, micro long, run long, run_cycles long, fired boolean, n long, peak long, human boolean, "
+    "bills double, laps long, turn0 long, amber long, ts0 long, ts1 long, read long, out long, model string, r double, mf double, pp double, br double, pp_peak double, br_peak double, g_min double"
+)
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 IDLE_MS = 7 * 24 * 3600 * 1000
 
 
@@ -71,6 +75,35 @@ def _interval(mf: float | None, target: float = BR_AMBER) -> float:
     return ((half + math.sqrt(half * half - mf * mf)) / mf) ** 2
 
 
+def metered(s: dict, length: int, b: float, g: float, r: float) -> dict:
+    """The position of a call against ``b``, and what the meter, the gate and the backstop in ``s`` make of it."""
+    burn = max(0, length - b) / (r * b) if b else None
+    before = s["micro"] // 1_000_000
+    if burn is not None and s["burn"] is not None:
+        s["micro"] += math.floor((s["burn"] + burn) / 2 * 1_000_000)
+    s["burn"] = burn
+    cycles = s["micro"] // 1_000_000
+    deep, mf, pp, br = False, None, None, None
+    if b:
+        d, arm = math.sqrt(2 * r * g / b), math.sqrt(2 * r * b * g)
+        mf = arm / (arm + b + r * g)
+        if length > b:
+            u = (length / b - 1) / d
+            pp = (u - 1) ** 2 / (2 * u)
+            br = mf * pp
+            deep = length / b >= 1 + d and br >= BR_AMBER
+    s["run"], s["run_cycles"] = (s["run"] + 1, s["run_cycles"] + cycles - before) if deep else (0, 0)
+    fires = deep and not s["fired"] and s["run"] >= 3 and s["run_cycles"] > 0
+    s["fired"] = s["fired"] or fires
+    backstop = False
+    if s["fired"] and not fires and deep:
+        s["bills"] += cycles - before
+        if s["bills"] >= _interval(mf):
+            backstop, s["bills"], s["laps"] = True, 0.0, s["laps"] + 1
+    s.update({"r": r, "mf": mf, "pp": pp, "br": br, "pp_peak": _most(s["pp_peak"], pp), "br_peak": _most(s["br_peak"], br), "g_min": g if s["g_min"] is None else min(s["g_min"], g)})
+    return {"g": g, "burn": burn, "cycles": cycles, "progress": s["micro"] % 1_000_000 / 1_000_000, "deep_water": deep, "gate_fires": fires, "dw_bills": s["bills"], "laps": s["laps"], "backstop_fires": backstop}
+
+
 def step(session: int, s: dict, row) -> list[dict]:
     """State after one usage row, and what it emits: a call, a revision of a known call, and a closed segment before a boundary."""
     out = []
@@ -86,7 +119,8 @@ def step(session: int, s: dict, row) -> list[dict]:
     length = int(row.cr + row.cc if miss else row.cr)
     if s["stock"] > 0 and stock < s["stock"] - STOCK_EPSILON:
         out.append(_closed(session, s))
-        keep = {k: s[k] for k in ("seq", "turn", "human")}
+        s["known"].clear()
+        keep = {k: s[k] for k in ("seq", "turn", "human", "known")}
         s.update(fresh() | keep | {"segment": s["segment"] + 1})
     s["known"][key] = total
     s["seq"] += 1
@@ -101,67 +135,89 @@ def step(session: int, s: dict, row) -> list[dict]:
             delta = max(0, length - s["ceiling"])
         s["g"] = EMA_ALPHA * max(delta, 0) + (1 - EMA_ALPHA) * s["g"]
     s["l"], s["stock"], s["n"], s["peak"] = length, stock, s["n"] + 1, max(s["peak"], length)
-    g, r, b = max(s["g"], EMA_FLOOR), _ratio(row.model), s["dead"]
-    burn = max(0, length - b) / (r * b) if b else None
-    before = s["micro"] // 1_000_000
-    if burn is not None and s["burn"] is not None:
-        s["micro"] += math.floor((s["burn"] + burn) / 2 * 1_000_000)
-    s["burn"] = burn
-    cycles = s["micro"] // 1_000_000
-    deep, mf, pp, br = False, None, None, None
-    if b:
-        d, arm = math.sqrt(2 * r * g / b), math.sqrt(2 * r * b * g)
-        mf = arm / (arm + b + r * g)
-        if length > b:
-            u = (length / b - 1) / d
-            pp = (u - 1) ** 2 / (2 * u)
-            br = mf * pp
-            deep = length / b >= 1 + d and br >= BR_AMBER
-    s["run"], s["run_cycles"] = (s["run"] + 1, s["run_cycles"] + cycles - before) if deep else (0, 0)
-    fires = deep and not s["fired"] and s["run"] >= 3 and s["run_cycles"] > 0
-    s["fired"] = s["fired"] or fires
-    backstop = False
-    if s["fired"] and not fires and deep:
-        s["bills"] += cycles - before
-        if s["bills"] >= _interval(mf):
-            backstop, s["bills"], s["laps"] = True, 0.0, s["laps"] + 1
+    position = metered(s, length, s["dead"], max(s["g"], EMA_FLOOR), _ratio(row.model))
     if s["turn0"] is None:
         s["turn0"] = s["turn"]
-    if s["amber"] is None and br is not None and br >= BR_AMBER:
+    if s["amber"] is None and s["br"] is not None and s["br"] >= BR_AMBER:
         s["amber"] = s["turn"]
-    ts = getattr(row, "ts", None)
-    if isinstance(ts, pd.Timestamp):
-        ms = ts.value // 1_000_000
+    ms = getattr(row, "ms", None)
+    if ms is not None:
         s["ts0"], s["ts1"] = (ms, ms) if s["ts0"] is None else (min(s["ts0"], ms), max(s["ts1"], ms))
-    s.update({"read": s["read"] + stock, "out": s["out"] + int(row.outp), "model": row.model, "r": r, "mf": mf, "pp": pp, "br": br, "pp_peak": _most(s["pp_peak"], pp), "br_peak": _most(s["br_peak"], br)})
-    s["g_min"] = g if s["g_min"] is None else min(s["g_min"], g)
+    s.update({"read": s["read"] + stock, "out": s["out"] + int(row.outp), "model": row.model})
     out.append({
-        "session_id": session, "kind": "call", "ord": row.ord, "call_id": key, "folded_seq": s["seq"], "turn_seq": s["turn"], "segment": s["segment"], "l": length, "miss": bool(miss), "g": g, "burn": burn,
-        "cycles": cycles, "progress": s["micro"] % 1_000_000 / 1_000_000, "deep_water": deep, "gate_fires": fires, "tokens": total,
-        "dw_bills": s["bills"], "laps": s["laps"], "backstop_fires": backstop,
+        "session_id": session, "kind": "call", "ord": row.ord, "call_id": key, "folded_seq": s["seq"], "turn_seq": s["turn"], "segment": s["segment"], "l": length, "miss": bool(miss), "tokens": total,
+        **position,
     })
     return out
 
 
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-_TYPES = {"long": "Int64", "boolean": "boolean", "double": "Float64", "string": "object"}
-_DTYPES = {c.split()[0]: _TYPES[c.split()[1]] for c in OUTPUT.split(", ")}
+_STATE = [c.split()[0] for c in STATE.split(", ")]
 
 
-def _run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, timeout: bool = True) -> Iterable[pd.DataFrame]:
-    s = json.loads(state.get[0]) if state.exists else fresh()
-    out: list[dict] = []
-    if state.hasTimedOut:
-        out.append(_closed(key[0], s))
-        state.remove()
-    else:
-        rows = pd.concat(list(batches)).sort_values("ord")
-        for row in rows.itertuples():
+def use_rocksdb(spark: SparkSession) -> None:
+    """Maps in state need the RocksDB store. A query that was started before keeps the store of its checkpoint."""
+    spark.conf.set(*STORE)
+
+
+def emitted(rows: Iterable[dict], columns: list[str] = _COLUMNS) -> Iterator[Row]:
+    row = Row(*columns)
+    return (row(*(x.get(c) for c in columns)) for x in rows)
+
+
+class _Known:
+    """The calls of a session and their largest totals: a map in state, of which a batch touches only its own ids."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __contains__(self, key: str) -> bool:
+        return self.state.containsKey((key,))
+
+    def __getitem__(self, key: str) -> int:
+        return self.state.getValue((key,))[0]
+
+    def __setitem__(self, key: str, total: int) -> None:
+        self.state.updateValue((key,), (total,))
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class FoldProcessor(StatefulProcessor):
+    """``step`` for each row of a session, in order; after ``idle_ms`` without rows the segment is closed and the state goes."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "call_id string", "tokens long")
+        self.value = handle.getValueState("session", STATE)
+
+    def _load(self) -> dict:
+        held = self.value.get()
+        return (fresh() | dict(zip(_STATE, held, strict=True)) if held else fresh()) | {"known": _Known(self.known)}
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        s, out = self._load(), []
+        for row in sorted(rows, key=lambda r: r.ord):
             out += step(key[0], s, row)
-        state.update((json.dumps(s, default=int),))
-        if timeout:
-            state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame(out, columns=_COLUMNS).astype(_DTYPES)
+        self.value.update(tuple(s[c] for c in _STATE))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield from emitted(out)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
+        s = self._load()
+        self.known.clear()
+        self.value.clear()
+        yield from emitted([_closed(key[0], s)])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_fold(usage: DataFrame, timeout: bool = True) -> DataFrame:
@@ -169,8 +225,10 @@ def stream_fold(usage: DataFrame, timeout: bool = True) -> DataFrame:
 
     A finite input (trigger availableNow) is run without the time-out, which would wait for it.
     """
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    return usage.groupBy("session_id").applyInPandasWithState(partial(_run, timeout=timeout), OUTPUT, STATE, "append", kind)
+    use_rocksdb(usage.sparkSession)
+    if "ts" in usage.columns:
+        usage = usage.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).drop("ts")
+    return usage.groupBy("session_id").transformWithState(FoldProcessor(IDLE_MS if timeout else None), OUTPUT, "append", "processingTime" if timeout else "none")
 
 
 def closed_profiles(stream: DataFrame) -> DataFrame:
