@@ -12,6 +12,8 @@ r"""Operator 1: mixing sources to target weights by Sainte-Lague apportionment o
 3. *Selection*: documents are dealt to shards, and ordered within a shard, by an md5 of the seed, the doc_id and the text's md5, so rows that repeat a
    doc_id, or have none, are dealt like any others. A shard's documents are one run of words, cut in blocks. A quota of q of n
    blocks takes all of them q div n times and q mod n blocks more: a circular run of blocks from a seeded block.
+   A block is one word unless asked otherwise: a run of neighbouring blocks is the same run of words, and neither a short last block nor a seat beyond
+   a small shard's limit is lost, so small sources come as near their targets as large ones.
    ``taken`` is the sum over the blocks that a document lies in, so no document exceeds ``most`` times its size.
 
 Everything is DataFrame work; texts are read once to count words and never shuffled. Sources themselves (one short row each) are ordered in one task.
@@ -76,7 +78,7 @@ def _number(hashed, start: int):
     return F.conv(F.substring(hashed, start, 7), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 8, shard_words: int = 65536, seed: str = "1") -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 1, shard_words: int = 65536, seed: str = "1") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken."""
     sized = cut_lineage(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("print"))
@@ -130,7 +132,7 @@ def _apportion_sql(step: str, rows: str, parent: str, child: str, votes: str, se
 {step} AS (SELECT x.*, x.sure + coalesce(f.more, 0) AS got FROM {step}c x LEFT JOIN {step}f f ON {" AND ".join(f"x.{c.strip()} = f.{c.strip()}" for c in keys.split(","))})"""
 
 
-def mix_sql(block_words: int = 8, shard_words: int = 65536, seed: str = "1") -> str:
+def mix_sql(block_words: int = 1, shard_words: int = 65536, seed: str = "1") -> str:
     """The mix of ``documents`` for DuckDB, with the default weights and limit."""
     number = lambda text, start: f"CAST('0x' || substr({text}, {start}, 7) AS BIGINT)"
     return rf"""

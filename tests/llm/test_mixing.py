@@ -83,3 +83,18 @@ def test_rows_without_ids_are_dealt_over_shards(spark):
     assert sorted(map(str, X.mix(docs.repartition(5), shard_words=500).collect())) == sorted(map(str, got.collect()))
     # were all of them in one shard, whole stretches of one order would be taken twice and the rest once
     assert got.groupBy("size").agg((F.sum("taken") / F.sum("size")).alias("share")).agg(F.min("share")).first()[0] > 0.7
+
+
+def test_few_rows_come_near_their_targets(spark):
+    """Sources of a few words, on their own and beside larger ones, take what their targets say."""
+    for rows in ([(1, "a b c", "x"), (2, "d", "x"), (3, "e", "y"), (4, "f g h i j k", "z")], [(i, "w " * (i % 3), "abc"[i % 3]) for i in range(40)], [(1, "one", "x")]):
+        got = X.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        for name in {r.source for r in got}:
+            own = [r for r in got if r.source == name]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1, (rows, got)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "w " * 200_000, "x", 1, 2), (2, "a b", "y", 3, 4), (None, None, None, 5, 6)]
+    got = X.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, size int, name int")).collect()
+    assert {r.doc_id: r.size for r in got} == {1: 200_000, 2: 2, None: 0} and all(0 <= r.taken <= 3 * r.size for r in got)
