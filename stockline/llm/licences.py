@@ -30,7 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Notices by licence, shortest first (fixed values).
+#: The parts of BSD notices (fixed values). The head alone, without clauses, is of a BSD licence that isn't known.
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+BSD_CLAUSES = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Licences that a tag may name (fixed values).
+TAGS = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "0BSD", "Zlib", "Unlicense", "CC0-1.0")
+#: Notices by licence (fixed values).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -44,9 +53,15 @@ TEMPLATES = (
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", BSD_HEAD + BSD_CLAUSES),
+    ("BSD-3-Clause", BSD_HEAD + BSD_CLAUSES + BSD_NAMES),
+    ("BSD", BSD_HEAD.strip()),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -58,11 +73,12 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in TAGS),
 )
 #: Words that tell one licence from another (fixed values).
-TELLING = frozenset("mit apache bsd gnu lesser affero gpl lgpl agpl mozilla isc unencumbered creative commons cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives zero not no without later or clause domain".split())
+TELLING = frozenset("mit apache bsd gnu lesser affero gpl lgpl agpl mozilla isc unencumbered creative commons cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives zero not no without later or only clause domain zlib 0bsd unlicense endorse anyone".split())
 #: A cue may be wrapped, with comment signs between its words.
-CUE = r"(?i)licen[sc]e|permission\W+is\W+hereby|permission\W+to\W+use|redistribut|public\W+domain|spdx|creative\W+commons"
+CUE = r"(?i)licen[sc]e|permission\W+is\W+hereby|permission\W+to\W+use|permission\W+is\W+granted|redistribut|public\W+domain|spdx|creative\W+commons"
 #: Share of a template's words that may be missing or added.
 SLACK = 0.1
 _CUE = re.compile(CUE)
@@ -156,7 +172,7 @@ def _confirm(own: list[str], rest: list[str], at: int, slack: float) -> tuple[in
     for start in dict.fromkeys(starts):
         first = max(start - room, 0)
         missing, added, begin, end = differences(own, rest[first : max(start + len(own) + room, first)])
-        if end and len(missing) <= slack * len(own) and len(added) <= slack * len(own) and not any(map(_tells, [*missing, *added])):
+        if first + begin <= at < first + end and len(missing) <= slack * len(own) and len(added) <= slack * len(own) and not any(map(_tells, [*missing, *added])):
             return first + begin, first + end, len(missing) + len(added)
     return None
 
@@ -192,15 +208,19 @@ def identify(block: str, slack: float = SLACK) -> list[tuple[str, float, int]]:
             if i == high or places[i][3] != places[i - 1][3] + 1:
                 pieces.append(block[places[k][1] : places[i - 1][2]])
                 k = i
+        best = None  # of the notices that are confirmed here, the longest is the most specific
         for share, i in _reductions(" ".join(pieces), fit) if fit else ():
             name, own, _ = templates[-i]
+            if best and len(own) <= best[0]:
+                continue
             copy = _confirm(own, rest, at, slack)
             if copy and not denied(*copy[:2]):
-                begin, end, n = copy
-                found.append((name, share, n))
-                del rest[begin:end], places[begin:end], is_cue[begin:end]
-                at = max(begin - reach, 0)
-                break
+                best = (len(own), name, share, copy)
+        if best:
+            begin, end, n = best[3]
+            found.append((best[1], best[2], n))
+            del rest[begin:end], places[begin:end], is_cue[begin:end]
+            at = max(begin - reach, 0)
         else:
             at += 1
     return found

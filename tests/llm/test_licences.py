@@ -55,3 +55,26 @@ def test_notices_in_long_lines():
     for name, text in L.TEMPLATES:
         assert names(f"{words} {text} {words}") == [name], text
     assert sorted(names(" ".join(t for _, t in L.TEMPLATES))) == sorted(n for n, _ in L.TEMPLATES)
+
+
+def test_neighbouring_licences_are_told_apart():
+    import textwrap
+
+    text = {n: t for n, t in L.TEMPLATES if t.startswith("Redistribution")}
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        assert names(f"Copyright (c) 2020, Some One\n\n{textwrap.fill(text[name], 72)}\n\nTHIS SOFTWARE IS PROVIDED AS IS") == [name]
+    assert names(L.BSD_HEAD) == ["BSD"]
+    assert names("/* SPDX-License-Identifier: MIT */") == ["MIT"] and names("# SPDX-License-Identifier: Apache-2.0") == ["Apache-2.0"]
+    for tag in L.TAGS:
+        assert names(f"// SPDX-License-Identifier: {tag}\nint x;") == [tag]
+    assert names("SPDX-License-Identifier: Whatever-9.0") == []
+    assert names("Distributed under the MIT License.") == ["MIT"]
+    isc = next(t for n, t in L.TEMPLATES if n == "ISC")
+    free = next(t for n, t in L.TEMPLATES if n == "0BSD")
+    assert names(isc) == ["ISC"] and names(free) == ["0BSD"]
+
+
+def test_ties_and_tables_of_other_columns(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License. Licensed under the MIT License.", 1, "x")] * 2, "doc_id long, text string, n_candidates int, licence string")
+    assert [[x.licence for x in r.notices] for r in L.licence_scan(docs).collect()] == [["MIT", "MIT"]] * 2
+    assert L.licence_scan(docs.limit(0)).collect() == []
