@@ -168,7 +168,7 @@ class Probe:
         for item_id, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
             found = tokens(raw, np.array([0]), np.array([len(raw)])) if len(raw) else None
-            if found is None:
+            if found is None or len(found[0]) < 2:
                 continue
             token, literal, piece, a, b = joined(found)
             size = min(window, len(token))
@@ -294,14 +294,15 @@ def probes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "tex
 
 
 def unmatchable(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """item_id of the items that hold no word, so that nothing can match them; null texts too."""
+    """item_id of the items that nothing can match: null texts, and texts of no word or one, which would condemn every text with that word."""
 
     def run(batches):
         for batch in batches:
             empty = []
             for text in batch.column(1).to_pylist():
                 raw = np.frombuffer((text or "").encode(), np.uint8)
-                empty.append(not len(raw) or tokens(raw, np.array([0]), np.array([len(raw)])) is None)
+                found = tokens(raw, np.array([0]), np.array([len(raw)])) if len(raw) else None
+                empty.append(found is None or len(found[0]) < 2)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(empty, pa.bool_()))], ["item_id"])
 
     return benchmark.select(F.col(item_id).cast("long"), F.col(item_text)).mapInArrow(run, "item_id long")
@@ -358,10 +359,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **h
     n, probe = next(probes(benchmark, **how))
     if n > 1:
         # rows with equal texts hold the same items
-        print_ = F.coalesce(F.xxhash64(text), F.lit(0))
-        rows = docs.select(F.lit(0).cast("long").alias("doc_id"), print_.alias("print"), F.col(text).alias("text"))
-        found = _in_blocks(rows, benchmark, how).select(F.col("print").alias("_found"))
-        return docs.join(found, print_ == F.col("_found"), "left_anti")
+        print_ = F.coalesce(F.xxhash64(text), F.lit(0)).alias("print")
+        rows = docs.select(F.lit(0).cast("long").alias("doc_id"), print_, F.col(text).alias("text"))
+        found = _in_blocks(rows, benchmark, how).select("print")
+        return docs.select(F.struct(*docs.columns).alias("doc"), print_).join(found, "print", "left_anti").select("doc.*")
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(probe)
 

@@ -150,3 +150,13 @@ def test_reparameterised_items_by_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.doc_id: {x.item_id for x in r.leaks} for r in D.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect() if r.leaks}
     assert got == want and len(want) >= 25
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 1])
+def test_one_word_items_are_reported_and_any_columns_may_be_there(spark, block_words):
+    bench = spark.createDataFrame([(1, "yes"), (2, "No!"), (3, "seven"), (4, "three red apples fell"), (5, None), (6, "图")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes, it is so", "a", 1), (2, "seven and no more", "b", 2), (3, "then three red apples fell down", "c", 3), (4, None, "d", 4)], "doc_id long, text string, _found string, print int")
+    assert sorted(r.item_id for r in D.unmatchable(bench).collect()) == [1, 2, 3, 5, 6]
+    kept = D.without_leaks(docs, bench, block_words=block_words)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "yes, it is so", "a", 1), (2, "seven and no more", "b", 2), (4, None, "d", 4)]
+    assert {r.doc_id for r in D.leaks(docs, bench, block_words=block_words).where("contaminated").collect()} == {3}
