@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.functions import economics as E
 from stockline.functions.models import tier_model
 
+from . import latch
 from .calls import by_segment, so_far
 
 MICRO = 1_000_000
@@ -56,57 +56,44 @@ def alert_gate(calls: DataFrame, dwell: int = DWELL) -> DataFrame:
 def backstop(calls: DataFrame, consume: bool = True) -> DataFrame:
     """Adds ``dw_bills``, ``laps`` and ``backstop_fires``: bills in deep water after the gate, back to zero when they reach the interval of that call.
 
-    A reset with a threshold that differs by row has no prefix form, so each segment is one Arrow group; segments
-    are bounded by the context window. With ``consume=False`` a fire is reported and nothing is reset.
+    Bills are a running sum, so the call that fires after another is the first whose sum less its interval reaches the sum there (``latch.fires``).
+    With ``consume=False`` a fire is reported and nothing is reset.
     """
-    rows = calls.withColumn("_interval", E.backstop_interval(F.col("mf")))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        bills, laps, out = 0.0, 0, []
-        for deep, was_open, fires, new, interval in zip(part.deep_water, part.gate_open, part.gate_fires, part.new_cycles, part["_interval"], strict=True):
-            fired = False
-            if was_open and not fires and deep:
-                bills += new
-                if interval and 0 < interval < float("inf") and bills >= interval:
-                    fired = True
-                    if consume:
-                        bills, laps = 0.0, laps + 1
-            out.append((bills, laps, fired))
-        part["dw_bills"], part["laps"], part["backstop_fires"] = (list(x) for x in zip(*out, strict=True))
-        return part[["session_id", "segment", "ord", "dw_bills", "laps", "backstop_fires"]]
-
-    fired = rows.select("session_id", "segment", "ord", "deep_water", "gate_open", "gate_fires", "new_cycles", "_interval").groupBy("session_id", "segment").applyInPandas(
-        run, "session_id long, segment long, ord long, dw_bills double, laps int, backstop_fires boolean"
-    )
-    return calls.join(fired, ["session_id", "segment", "ord"])
+    interval = E.backstop_interval(F.col("mf"))
+    counts = F.col("gate_open") & ~F.col("gate_fires") & F.col("deep_water")
+    rows = calls.withColumn("_sum", F.sum(F.when(counts, F.col("new_cycles")).otherwise(0)).over(so_far(by_segment())).cast("double"))
+    rows = rows.withColumn("_reach", F.when(counts & (interval > 0) & (interval < float("inf")), F.col("_sum") - interval))
+    if not consume:
+        return rows.withColumns({"dw_bills": F.col("_sum"), "laps": F.lit(0), "backstop_fires": F.coalesce(F.col("_reach") >= 0, F.lit(False))}).drop("_sum", "_reach")
+    keys = ("session_id", "segment")
+    small = rows.where("_reach IS NOT NULL").select(*keys, "ord", F.col("_sum").alias("need"), F.col("_reach").alias("reach"))
+    found = latch.fires(small, keys, small.select(*keys).distinct().withColumn("need", F.lit(0.0))).withColumn("_fires", F.lit(True))
+    rows = rows.join(found, [*keys, "ord"], "left").withColumn("backstop_fires", F.coalesce("_fires", F.lit(False)))
+    base = F.last(F.when(F.col("backstop_fires"), F.col("_sum")), ignorenulls=True).over(so_far(by_segment()))
+    rows = rows.withColumn("dw_bills", F.col("_sum") - F.coalesce(base, F.lit(0.0))).withColumn("laps", F.sum(F.col("backstop_fires").cast("int")).over(so_far(by_segment())).cast("int"))
+    return rows.select(*calls.columns, "dw_bills", "laps", "backstop_fires")
 
 
 def turn_gate(turns: DataFrame, dwell: int = DWELL, hyst: float = HYSTERESIS, amber: float = E.BR_AMBER) -> DataFrame:
-    """Adds ``notify`` to turns (session_id, segment, turn_seq, br): fires after ``dwell`` turns at amber, re-armed below amber - hyst."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        last = n = 0
-        fired, armed, out = False, True, []
-        part = part.sort_values(["ord", "turn_seq"])
-        for turn, br in zip(part.turn_seq, part.br, strict=True):
-            notify = False
-            if turn > last:
-                last = turn
-                if br is None or br != br:
-                    n = 0
-                else:
-                    armed |= br < amber - hyst
-                    if br >= amber:
-                        n += 1
-                        if n >= dwell and armed and not fired:
-                            notify, fired, armed = True, True, False
-                    else:
-                        n, fired = 0, fired and br >= amber - hyst
-            out.append(notify)
-        return part.assign(notify=out)[["session_id", "segment", "ord", "turn_seq", "notify"]]
-
-    return turns.select("session_id", "segment", "ord", "turn_seq", "br").groupBy("session_id", "segment").applyInPandas(run, "session_id long, segment long, ord long, turn_seq long, notify boolean")
+    """Adds ``notify`` to turns (session_id, segment, turn_seq, br): fires after ``dwell`` turns at amber, re-armed below amber - hyst.
+
+    Turns that don't go on are left out. A turn below amber - hyst arms the gate, so turns between two such ones have one notice at most: the
+    first at the end of ``dwell`` turns at amber in a row.
+    """
+    order = Window.partitionBy("session_id", "segment").orderBy("ord", "turn_seq")
+    last = F.coalesce(F.max("turn_seq").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    br = F.when(~F.isnan("br"), F.col("br"))
+    rows = turns.select("session_id", "segment", "ord", "turn_seq", br.alias("br"), (F.col("turn_seq") > last).alias("_on"))
+    on = rows.where("_on").withColumn("_high", F.coalesce(F.col("br") >= amber, F.lit(False)))
+    epoch = F.sum(F.coalesce(F.col("br") < amber - hyst, F.lit(False)).cast("int")).over(so_far(order))
+    run = F.sum((~F.col("_high")).cast("int")).over(so_far(order))
+    on = on.withColumn("_epoch", epoch).withColumn("_run", run)
+    inside = Window.partitionBy("session_id", "segment", "_run").orderBy("ord", "turn_seq")
+    on = on.withColumn("_n", F.sum(F.col("_high").cast("int")).over(so_far(inside)))
+    due = F.col("_high") & (F.col("_n") >= dwell)
+    told = F.sum(due.cast("int")).over(so_far(Window.partitionBy("session_id", "segment", "_epoch").orderBy("ord", "turn_seq")))
+    on = on.select("session_id", "segment", "ord", "turn_seq", (due & (told == 1)).alias("notify"))
+    return on.unionByName(rows.where("NOT _on").select("session_id", "segment", "ord", "turn_seq", F.lit(False).alias("notify")))
 
 
 def check_continuity(samples: DataFrame) -> DataFrame:

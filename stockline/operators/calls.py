@@ -126,14 +126,23 @@ def warm_delta_l(calls: DataFrame) -> DataFrame:
     return calls.withColumn("delta_l", F.when((F.col("prev_l") < F.col("ceiling")) & (delta > 0), F.greatest(F.lit(0), F.col("l") - F.col("ceiling"))).otherwise(delta))
 
 
-def growth_ema(calls: DataFrame, residual: str = "residual", alpha: float = EMA_ALPHA, seed: float = EMA_SEED, floor: float = EMA_FLOOR, reach: int = 288) -> DataFrame:
-    """Adds ``g_ema`` and ``g``, smoothed over a bounded frame: (1 - alpha) ** reach is below 1e-16.
+def growth_ema(calls: DataFrame, residual: str = "residual", alpha: float = EMA_ALPHA, seed: float = EMA_SEED, floor: float = EMA_FLOOR, chunk: int = 256) -> DataFrame:
+    """Adds ``g_ema`` and ``g``: exponential smoothing as a prefix sum. A row without a residual (a segment's first call) holds the seed.
 
-    A segment's first call has no residual and holds the seed.
+    Inside a chunk of rows g = q^j * (sum of alpha * r * q^-i for i <= j) with q = 1 - alpha; from chunk to chunk it is carried on with
+    q^j, where what lies two chunks back weighs less than 1e-28.
     """
-    values = F.collect_list(F.coalesce(F.col(residual).cast("double"), F.lit(-1.0))).over(by_segment().rowsBetween(-reach, 0))
-    ema = F.aggregate(values, F.lit(seed), lambda g, r: F.when(r < 0, F.lit(seed)).otherwise(alpha * r + (1 - alpha) * g))
-    return calls.withColumn("g_ema", ema).withColumn("g", F.greatest("g_ema", F.lit(floor)))
+    q, r = 1 - alpha, F.col(residual).cast("double")
+    rows = calls.withColumn("_reset", F.sum(r.isNull().cast("long")).over(so_far(by_segment())))
+    run = Window.partitionBy("session_id", "segment", "_reset").orderBy("ord")
+    rows = rows.withColumn("_k", F.row_number().over(run) - 1).withColumn("_j", F.col("_k") % chunk).withColumn("_chunk", F.floor(F.col("_k") / chunk))
+    term = F.when(r.isNull(), F.lit(float(seed))).when(F.col("_k") == 0, alpha * r + q * seed).otherwise(alpha * r) * F.pow(F.lit(q), -F.col("_j"))
+    own = F.sum(term).over(so_far(Window.partitionBy("session_id", "segment", "_reset", "_chunk").orderBy("ord"))) * F.pow(F.lit(q), F.col("_j"))
+    earlier = run.rowsBetween(Window.unboundedPreceding, -1)
+    at_end = lambda c: F.coalesce(F.last(F.when(F.col("_j") == chunk - 1, F.col(c)), ignorenulls=True).over(earlier), F.lit(0.0))
+    rows = rows.withColumn("_own", own).withColumn("_whole", F.col("_own") + F.lit(q**chunk) * at_end("_own"))
+    rows = rows.withColumn("g_ema", F.col("_own") + F.pow(F.lit(q), F.col("_j") + 1) * at_end("_whole"))
+    return rows.drop("_reset", "_k", "_j", "_chunk", "_own", "_whole").withColumn("g", F.greatest("g_ema", F.lit(floor)))
 
 
 def analyse(usage: DataFrame) -> DataFrame:

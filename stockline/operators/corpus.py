@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.functions import economics as E
 from stockline.functions.models import c_ratio_for
+from stockline.sources.shared import cut_lineage
+
+from . import latch
 
 SEGMENT = ["session_id", "segment"]
 
@@ -91,25 +92,19 @@ def knee(calls: DataFrame) -> DataFrame:
 
 def fold_jumps(calls: DataFrame, n: float = 8, confirm: int = 3) -> DataFrame:
     """Calls where L leaves the line of growth by more than n usual steps and stays above for ``confirm`` calls; the line is
-    then latched anew. One Arrow group for each segment: the latch has no prefix form."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        lengths = part.l.to_numpy(float)
-        steps = np.diff(lengths)
-        up = steps[steps > 0]
-        k = float(np.median(up)) if len(up) else 0.0
-        jumps, base = [], 0
-        i = 1
-        while k > 0 and i + confirm <= len(lengths):
-            ahead = lengths[i : i + confirm] - (lengths[base] + k * (np.arange(i, i + confirm) - base))
-            if (ahead > n * k).all():
-                jumps.append((i, ahead[0]))
-                base = i
-            i += 1
-        return pd.DataFrame({"session_id": part.session_id.iloc[0], "segment": part.segment.iloc[0], "ord": [part.ord.iloc[i] for i, _ in jumps], "size": [s for _, s in jumps], "k_stable": k})
-
-    return calls.select("session_id", "segment", "ord", "l").groupBy(*SEGMENT).applyInPandas(run, "session_id long, segment long, ord long, size double, k_stable double")
+    then latched anew. Less its usual growth L is a level; a call jumps from a base if its level and the next ones are all n usual steps higher,
+    so the next base is above all levels before it (``latch.fires``)."""
+    rows = calls.select(*SEGMENT, "ord", F.col("l").cast("double").alias("l")).withColumn("i", F.row_number().over(by_segment()))
+    rows = rows.withColumn("_step", F.col("l") - F.lag("l").over(by_segment()))
+    usual = rows.where("_step > 0").groupBy(*SEGMENT).agg(F.median("_step").alias("k_stable"))
+    ahead = by_segment().rowsBetween(0, confirm - 1)
+    rows = cut_lineage(rows.join(usual, SEGMENT).withColumn("level", F.col("l") - F.col("k_stable") * F.col("i")))
+    rows = rows.withColumn("reach", F.when(F.count("*").over(ahead) == confirm, F.min("level").over(ahead))).withColumn("need", F.col("level") + n * F.col("k_stable"))
+    first = rows.where("i = 1").select(*SEGMENT, F.col("level").alias("first"), "need")
+    found = latch.fires(rows.select(*SEGMENT, "ord", "need", "reach"), tuple(SEGMENT), first, strict=True)
+    jumps = rows.join(found, [*SEGMENT, "ord"]).join(first.drop("need"), SEGMENT)
+    base = F.coalesce(F.lag("level").over(by_segment()), F.col("first"))
+    return jumps.select(*SEGMENT, "ord", (F.col("level") - base).alias("size"), "k_stable")
 
 
 def plateaus(calls: DataFrame, jumps: DataFrame, min_len: int = 20) -> DataFrame:

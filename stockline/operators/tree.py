@@ -77,11 +77,42 @@ def subtree_paths(edges: DataFrame) -> DataFrame:
     return up.join(leaves.select("session_id", "leaf", F.col("uuid").alias("root"), "root_ord"), ["session_id", "leaf"]).select("session_id", "root", "root_ord", "uuid")
 
 
+def _jumps(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of the 1st, 2nd, 4th, ... ancestors (session_id, a, b), and the depth of each node (null on a cycle and below one)."""
+    at = cut_lineage(edges.select("session_id", F.col("uuid").alias("a"), F.col("parent_uuid").alias("b"), F.col("parent_uuid").isNotNull().cast("long").alias("steps")))
+    largest = at.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    tables: list[DataFrame] = []
+    for _ in range(largest.bit_length() + 1):
+        jump = at.where("b IS NOT NULL").select("session_id", "a", "b")
+        if jump.isEmpty():
+            break
+        tables.append(jump)
+        further = at.select("session_id", F.col("a").alias("b"), F.col("b").alias("c"), F.col("steps").alias("more"))
+        at = cut_lineage(at.join(further, ["session_id", "b"], "left").select("session_id", "a", F.col("c").alias("b"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    return tables, at.select("session_id", "a", F.when(F.col("b").isNull(), F.col("steps")).alias("depth"))
+
+
 def is_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds ``is_ancestor`` to pairs (session_id, ancestor, uuid)."""
-    up = _up(edges, pairs.select("session_id", F.col("uuid").alias("leaf")).distinct())
-    hit = up.select("session_id", F.col("leaf").alias("uuid"), F.col("uuid").alias("ancestor"), F.lit(True).alias("is_ancestor")).where("ancestor <> uuid")
-    return pairs.join(hit, ["session_id", "uuid", "ancestor"], "left").withColumn("is_ancestor", F.coalesce("is_ancestor", F.lit(False)))
+    """Adds ``is_ancestor`` to pairs (session_id, ancestor, uuid): the node is lifted by the difference of depths, a power of two at a time.
+
+    Only the asked pairs are lifted; nodes on or below a cycle, which have no depth, are followed by their links instead.
+    """
+    tables, depth = _jumps(edges)
+    asked = pairs.select("session_id", "ancestor", "uuid").distinct()
+    level = lambda c: depth.select("session_id", F.col("a").alias(c), F.col("depth").alias(f"_{c}"))
+    known = cut_lineage(asked.join(level("uuid"), ["session_id", "uuid"]).join(level("ancestor"), ["session_id", "ancestor"]))
+    lifted = known.where("_uuid > _ancestor").select("session_id", "ancestor", "uuid", F.col("uuid").alias("at"), (F.col("_uuid") - F.col("_ancestor")).alias("by"))
+    for k, table in enumerate(tables):
+        jump = table.select("session_id", F.col("a").alias("at"), "b", F.lit(1).alias("bit"))
+        rows = lifted.withColumn("bit", F.shiftright("by", k).bitwiseAND(F.lit(1)).cast("int"))
+        lifted = rows.join(jump, ["session_id", "at", "bit"], "left").select("session_id", "ancestor", "uuid", F.coalesce("b", "at").alias("at"), "by")
+    hit = lifted.where("at = ancestor").select("session_id", "ancestor", "uuid")
+    loose = known.where("_uuid IS NULL").select("session_id", "ancestor", "uuid")
+    if not loose.isEmpty():
+        cyclic = edges.join(loose.select("session_id").distinct(), "session_id", "left_semi")
+        up = _up(cyclic, loose.select("session_id", F.col("uuid").alias("leaf")).distinct()).where("leaf <> uuid")
+        hit = hit.unionByName(up.select("session_id", F.col("uuid").alias("ancestor"), F.col("leaf").alias("uuid")).join(loose, ["session_id", "ancestor", "uuid"], "left_semi").select("session_id", "ancestor", "uuid"))
+    return pairs.join(hit.withColumn("is_ancestor", F.lit(True)), ["session_id", "uuid", "ancestor"], "left").withColumn("is_ancestor", F.coalesce("is_ancestor", F.lit(False)))
 
 
 def restrict_to_active(entries: DataFrame, active: DataFrame) -> DataFrame:

@@ -84,6 +84,39 @@ m5 AS (SELECT *, min(CASE WHEN deep_water AND n >= 3 AND k > 0 THEN ord END) OVE
 meter_v AS (SELECT *, fire IS NOT NULL AS gate_open, coalesce(fire = ord, false) AS gate_fires FROM m5)"""
 
 
+#: The backstop, one call after the other: the accumulator has the fields of an element.
+BACKSTOP_SQL = f"""
+, w0 AS (SELECT *, CASE WHEN mf > 0 THEN ((mf+0.1+sqrt((mf+0.1)*(mf+0.1)-mf*mf))/mf)*((mf+0.1+sqrt((mf+0.1)*(mf+0.1)-mf*mf))/mf) END AS bills_wanted,
+  gate_open AND NOT gate_fires AND deep_water AS counts FROM meter_v),
+w1 AS (SELECT *, list({{'c': counts, 'n': CAST(new_cycles AS DOUBLE), 'i': CAST(bills_wanted AS DOUBLE), 'bills': CAST(0 AS DOUBLE), 'laps': CAST(0 AS BIGINT), 'fired': false}}) OVER ({S} {SO_FAR}) AS xs FROM w0),
+w2 AS (SELECT *, list_reduce(xs, lambda zs, zx: CASE WHEN zx.c AND coalesce(zs.bills + zx.n >= zx.i, false) THEN {{'c': zx.c, 'n': zx.n, 'i': zx.i, 'bills': CAST(0 AS DOUBLE), 'laps': zs.laps + 1, 'fired': true}}
+  WHEN zx.c THEN {{'c': zx.c, 'n': zx.n, 'i': zx.i, 'bills': zs.bills + zx.n, 'laps': zs.laps, 'fired': false}} ELSE {{'c': zx.c, 'n': zx.n, 'i': zx.i, 'bills': zs.bills, 'laps': zs.laps, 'fired': false}} END,
+  {{'c': false, 'n': CAST(0 AS DOUBLE), 'i': CAST(NULL AS DOUBLE), 'bills': CAST(0 AS DOUBLE), 'laps': CAST(0 AS BIGINT), 'fired': false}}) AS z FROM w1),
+stop_v AS (SELECT *, z.bills AS dw_bills, z.laps AS laps, z.fired AS backstop_fires FROM w2)"""
+
+#: The turn gate, one turn after the other.
+GATE_SQL = f"""
+, t0 AS (SELECT *, list({{'turn': CAST(turn_seq AS BIGINT), 'br': br, 'last': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'fired': false, 'armed': true, 'tell': false}}) OVER ({S} {SO_FAR}) AS xs FROM meter_v),
+t1 AS (SELECT *, list_reduce(xs, lambda zs, zx: CASE WHEN zx.turn <= zs.last THEN {{'turn': zx.turn, 'br': zx.br, 'last': zs.last, 'n': zs.n, 'fired': zs.fired, 'armed': zs.armed, 'tell': false}}
+  WHEN zx.br IS NULL THEN {{'turn': zx.turn, 'br': zx.br, 'last': zx.turn, 'n': CAST(0 AS BIGINT), 'fired': zs.fired, 'armed': zs.armed, 'tell': false}}
+  WHEN zx.br >= CAST(0.1 AS DOUBLE) AND zs.n + 1 >= 3 AND zs.armed AND NOT zs.fired THEN {{'turn': zx.turn, 'br': zx.br, 'last': zx.turn, 'n': zs.n + 1, 'fired': true, 'armed': false, 'tell': true}}
+  WHEN zx.br >= CAST(0.1 AS DOUBLE) THEN {{'turn': zx.turn, 'br': zx.br, 'last': zx.turn, 'n': zs.n + 1, 'fired': zs.fired, 'armed': zs.armed, 'tell': false}}
+  ELSE {{'turn': zx.turn, 'br': zx.br, 'last': zx.turn, 'n': CAST(0 AS BIGINT), 'fired': zs.fired AND zx.br >= CAST(0.08 AS DOUBLE), 'armed': zs.armed OR zx.br < CAST(0.08 AS DOUBLE), 'tell': false}} END,
+  {{'turn': CAST(0 AS BIGINT), 'br': CAST(NULL AS DOUBLE), 'last': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'fired': false, 'armed': true, 'tell': false}}) AS z FROM t0)"""
+
+#: Jumps, one call after the other: z holds the level of the base, whether the call jumped, and by how much.
+JUMPS_SQL = f"""
+, j0 AS (SELECT session_id, segment, ord, CAST(l AS DOUBLE) AS l, row_number() OVER ({S}) AS i, l - lag(l) OVER ({S}) AS step FROM calls_v),
+j1 AS (SELECT session_id, segment, CAST(median(CAST(step AS DOUBLE)) FILTER (WHERE step > 0) AS DOUBLE) AS k_stable FROM j0 GROUP BY 1, 2),
+j2 AS (SELECT j0.*, k_stable, l - k_stable*i AS level FROM j0 JOIN j1 ON j0.session_id = j1.session_id AND j0.segment = j1.segment WHERE k_stable > 0),
+j3 AS (SELECT *, CASE WHEN count(*) OVER ({S} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 THEN min(level) OVER ({S} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS reach FROM j2),
+j4 AS (SELECT *, list({{'v': level, 'r': reach, 'k': k_stable, 'base': CAST(NULL AS DOUBLE), 'size': CAST(NULL AS DOUBLE)}}) OVER ({S} {SO_FAR}) AS xs FROM j3),
+j5 AS (SELECT *, list_reduce(xs, lambda zs, zx: CASE WHEN zs.base IS NULL THEN {{'v': zx.v, 'r': zx.r, 'k': zx.k, 'base': zx.v, 'size': CAST(NULL AS DOUBLE)}}
+  WHEN zx.r > zs.base + 8*zx.k THEN {{'v': zx.v, 'r': zx.r, 'k': zx.k, 'base': zx.v, 'size': zx.v - zs.base}} ELSE {{'v': zx.v, 'r': zx.r, 'k': zx.k, 'base': zs.base, 'size': CAST(NULL AS DOUBLE)}} END,
+  {{'v': CAST(0 AS DOUBLE), 'r': CAST(NULL AS DOUBLE), 'k': CAST(0 AS DOUBLE), 'base': CAST(NULL AS DOUBLE), 'size': CAST(NULL AS DOUBLE)}}) AS z FROM j4)
+SELECT session_id, segment, ord, z.size AS size, k_stable FROM j5 WHERE z.size IS NOT NULL"""
+
+
 def with_usage(select: str) -> str:
     return f"WITH {T.USAGE_SQL} {select}"
 

@@ -9,7 +9,7 @@ from stockline.functions import economics as E
 from stockline.functions import models as M
 from stockline.operators import billing, calls
 
-from .base import analysed, bill, metered, positioned, r6, round_sql, usage, with_bill, with_calls, with_meter, with_positions, with_usage
+from .base import BACKSTOP_SQL, GATE_SQL, analysed, bill, metered, positioned, r6, round_sql, usage, with_bill, with_calls, with_meter, with_positions, with_usage
 
 KEY = ["session_id", "ord"]
 
@@ -146,8 +146,11 @@ QUERIES = {
     "alert_gate": (lambda s, d: metered(s, d).select(*KEY, "deep_water", "gate_open", "gate_fires"), with_meter("SELECT session_id, ord, deep_water, gate_open, gate_fires FROM meter_v")),
     "session_status": (session_status, with_meter(f"""SELECT session_id, segment, folded_seq, turn_seq, l, dead, {round_sql('g', 'x', 'dhat', 'x_sweet', 'burn', 'mf', 'br', 'progress')}, deep_water, cycles, gate_open
       FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord DESC) AS back FROM meter_v) WHERE back = 1""")),
-    "backstop": (lambda s, d: billing.backstop(metered(s, d)).select(*KEY, "dw_bills", "laps", "backstop_fires"), None),
-    "turn_gate": (lambda s, d: billing.turn_gate(positioned(s, d)).where("notify"), None),
+    "backstop": (lambda s, d: billing.backstop(metered(s, d)).select(*KEY, "dw_bills", "laps", "backstop_fires"), with_meter(BACKSTOP_SQL + " SELECT session_id, ord, dw_bills, laps, backstop_fires FROM stop_v")),
+    "backstop_unconsumed": (lambda s, d: billing.backstop(metered(s, d), consume=False).select(*KEY, "dw_bills", "backstop_fires"), with_meter(BACKSTOP_SQL + """,
+      kept_v AS (SELECT *, sum(CASE WHEN counts THEN CAST(new_cycles AS DOUBLE) ELSE 0 END) OVER (PARTITION BY session_id, segment ORDER BY ord) AS bills_kept FROM w0)
+      SELECT session_id, ord, bills_kept AS dw_bills, coalesce(counts AND bills_kept >= bills_wanted, false) AS backstop_fires FROM kept_v""")),
+    "turn_gate": (lambda s, d: billing.turn_gate(positioned(s, d)), with_meter(GATE_SQL + " SELECT session_id, segment, ord, turn_seq, z.tell AS notify FROM t1")),
     "sample_continuity": (continuity, CONTINUITY_SQL),
 }
 

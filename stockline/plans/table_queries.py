@@ -8,7 +8,7 @@ from stockline.functions import text as X
 from stockline.operators import calls, corpus, handoff, ledger, profiles
 from stockline.sources import tables as T
 
-from .base import analysed, positioned, r6, round_sql, touches, usage, with_calls, with_positions, with_touches, with_usage
+from .base import JUMPS_SQL, analysed, positioned, r6, round_sql, touches, usage, with_calls, with_positions, with_touches, with_usage
 from .call_queries import _recon
 from .ledger_queries import SNAPSHOT_SQL
 
@@ -236,7 +236,7 @@ QUERIES = {
     "knee": (lambda s, d: r6(corpus.knee(analysed(s, d)), "usual"), with_calls(""", t AS (SELECT *, row_number() OVER (PARTITION BY session_id, segment ORDER BY ord) AS i, count(*) OVER (PARTITION BY session_id, segment) AS n FROM calls_v),
       u AS (SELECT session_id, segment, median(delta_l) AS usual FROM t WHERE i > n/2.0 GROUP BY 1, 2), a AS (SELECT *, max(delta_l) OVER w AS m, count(delta_l) OVER w AS c FROM t WINDOW w AS (PARTITION BY session_id, segment ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))
       SELECT a.session_id, a.segment, min(i) AS knee, round(CAST(max(usual) AS DOUBLE), 6) AS usual FROM a JOIN u ON a.session_id = u.session_id AND a.segment = u.segment WHERE c = 4 AND m < usual GROUP BY 1, 2""")),
-    "fold_jumps": (lambda s, d: corpus.fold_jumps(analysed(s, d)), None),
+    "fold_jumps": (lambda s, d: corpus.fold_jumps(analysed(s, d)), with_calls(JUMPS_SQL)),
     "plateaus": (lambda s, d: corpus.plateaus(analysed(s, d), corpus.fold_jumps(analysed(s, d)), 5), None),
     "delta_histogram": (lambda s, d: r6(corpus.delta_histogram(analysed(s, d)), "share"), with_calls(""", u AS (SELECT session_id, segment, median(delta_l) AS k FROM calls_v WHERE delta_l > 0 GROUP BY 1, 2), v AS (SELECT delta_l/k AS v FROM calls_v c JOIN u ON c.session_id = u.session_id AND c.segment = u.segment WHERE delta_l > 0),
       b AS (SELECT (v >= 0)::INT + (v >= 0.5)::INT + (v >= 1)::INT + (v >= 2)::INT + (v >= 4)::INT + (v >= 8)::INT + (v >= 15)::INT + (v >= 20)::INT AS bin FROM v) SELECT bin, count(*) AS n, round(count(*)/CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM b GROUP BY bin""")),
