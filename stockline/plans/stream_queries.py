@@ -13,7 +13,8 @@ from stockline.sources import transcripts
 from stockline.sources.shared import shared_folder
 from stockline.streaming import fold, live, sinks
 
-from .base import BACKSTOP_SQL, r6, usage, with_meter
+from .base import BACKSTOP_SQL, r6, usage, with_meter, with_positions
+from .table_queries import PROFILE_COLUMNS, PROFILE_ROUNDED, PROFILES_SQL
 from .tree_queries import _lines
 
 
@@ -66,14 +67,25 @@ def live_calls(spark, sf):
     return r6(kept.select("session_id", "folded_seq", "ord", "segment", "turn_seq", "miss", "l", "dead", *LIVE, "cycles", "deep_water", "gate_fires", "dw_bills", "laps", "backstop_fires"), *LIVE)
 
 
+def _usage_lines(spark, sf):
+    """Usage as transcript lines without a tree: a human's line before each call that follows a human turn."""
+    rows = usage(spark, sf)
+    said = rows.where("human_turn").select("session_id", "ord", F.lit(0).alias("part"), F.lit('{"type":"user","message":{"content":"hello"}}').alias("line"))
+    counters = F.struct(F.col("cr").alias("cache_read_input_tokens"), F.col("cc").alias("cache_creation_input_tokens"), F.col("inp").alias("input_tokens"), F.col("outp").alias("output_tokens"))
+    message = F.struct(F.col("message_id").alias("id"), "model", counters.alias("usage"))
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    calls = rows.select("session_id", "ord", F.lit(1).alias("part"), F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), message.alias("message"))).alias("line"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("ord", "part")) - 1
+    return said.unionByName(calls).select("session_id", place.cast("long").alias("ord"), "line")
+
+
 def live_profiles(spark, sf):
-    """Profiles of closed segments from the tables that the stream fills batch by batch."""
+    """Profiles of closed segments, from the tables that a stream of transcript lines fills batch by batch; as the batch profiles give them."""
     folder = _folder(spark)
-    stream = live.live_replay(_streamed(spark, _ordered_lines(spark, sf), folder), *_rates(), timeout=False)
+    stream = live.live_replay(_streamed(spark, _usage_lines(spark, sf), folder), *_rates(), timeout=False)
     tables = sinks.LiveTables(spark, f"{folder}/tables", stream.schema)
     _run(stream, tables.write, folder)
-    found = tables.profiles().drop("batch", "at")
-    return r6(found, *[f.name for f in found.schema if f.dataType.simpleString() == "double"])
+    return r6(tables.profiles().drop("batch", "at", "rewinds", "archive_source", "archive_priority"), *PROFILE_ROUNDED)
 
 
 def _metered_replay(spark, sf):
@@ -98,7 +110,7 @@ def replay_status(spark, sf):
 QUERIES = {
     "stream_calls": (stream_calls, with_meter(BACKSTOP_SQL + " SELECT session_id, ord, folded_seq, CAST(turn_seq AS BIGINT) AS turn_seq, CAST(segment AS BIGINT) AS segment, miss, l, round(g, 6) AS g, cycles, round(progress, 6) AS progress, deep_water, gate_fires, dw_bills, laps, backstop_fires FROM stop_v")),
     "live_calls": (live_calls, None),
-    "live_profiles": (live_profiles, None),
+    "live_profiles": (live_profiles, with_positions(f", {PROFILES_SQL} SELECT {PROFILE_COLUMNS.replace('b_total,', 'CAST(b_total AS DOUBLE) AS b_total,')} FROM profile_v WHERE segment < (SELECT max(segment) FROM calls_v c WHERE c.session_id = profile_v.session_id)")),
     "replay_profiles": (replay_profiles, None),
     "replay_status": (replay_status, None),
 }
