@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.functions import text as X
@@ -142,11 +142,41 @@ def valid_prices(prices: DataFrame) -> DataFrame:
     return prices.where((F.col("read_price") > 0) & (F.col("write_price") >= F.col("read_price")) & (F.col("write_price") < inf))
 
 
+#: Rules without a literal folder that may meet every path.
+MOST_FREE_RULES = 1000
+
+
+def rule_folder(pattern: Column) -> Column:
+    """The folder that every match of a pattern begins with; null if the pattern doesn't say one."""
+    found = F.regexp_extract(pattern, r"^\^([A-Za-z0-9_/-]*/)(?![*+?{])", 1)
+    return F.when((found != "") & ~pattern.contains("|"), found)
+
+
 def apply_ignore_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """``ignored`` by the last rule (priority, pattern as regular expression, negated) that matches; rules are a small table."""
+    """``ignored`` by the last rule (priority, pattern as regular expression, negated) that matches.
+
+    Rules that begin with a folder meet the paths below that folder by a hash join. The others meet all paths, so there may be
+    ``MOST_FREE_RULES`` of them at most.
+    """
     distinct = paths.select("path").distinct()  # each path meets the rules once
-    matched = distinct.join(rules, F.expr("path RLIKE pattern"), "left")
-    return matched.groupBy("path").agg(F.coalesce(F.max_by(~F.col("negated"), F.when(F.col("pattern").isNotNull(), F.col("priority"))), F.lit(False)).alias("ignored"))
+    keyed = rules.select("pattern", "priority", "negated", rule_folder(F.col("pattern")).alias("folder"))
+    free = keyed.where("folder IS NULL").drop("folder")
+    if free.count() > MOST_FREE_RULES:
+        raise ValueError(f"more than {MOST_FREE_RULES} rules without a folder")
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    below = distinct.where(F.size(parts) > 1).select("path", F.explode(folders).alias("folder")).join(keyed.where("folder IS NOT NULL"), "folder")
+    columns = ("path", "pattern", "priority", "negated")
+    met = below.where(F.expr("path RLIKE pattern")).select(*columns).unionByName(distinct.join(F.broadcast(free), F.expr("path RLIKE pattern")).select(*columns))
+    last = met.groupBy("path").agg(F.max_by(~F.col("negated"), "priority").alias("ignored"))
+    return distinct.join(last, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
+def frequent_words(texts: DataFrame, text: str, share: float = 0.2) -> DataFrame:
+    """Words of at least four letters in at least ``share`` of the texts: few, since a text has few words."""
+    n = texts.select(F.count("*").alias("_n"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9_-]{3,}"), F.lit(0)))).alias("word")).groupBy("word").count()
+    return words.join(F.broadcast(n)).where(F.col("count") >= share * F.col("_n")).select("word", "count")  # n is one row
 
 
 def document_terms(docs: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
