@@ -31,10 +31,20 @@ def latest_transcript(files: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, mtime, ord, line of all *.jsonl files below a folder, in file order. Files are read whole: transcripts are bounded."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
-    return rows.where("line <> ''").withColumn("ord", F.col("ord").cast("long"))
+    """path, mtime, ord, line of all *.jsonl files below a folder, in file order.
+
+    A large file is read in splits by many tasks. A line's place is its place in its split and the lines of the splits before, so only
+    numbers of lines meet, one for each split.
+    """
+    files = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    rows = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", r"\r\z", "").alias("line"),
+    )
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "split").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(splits, ["path", "split"]).where("line <> ''").select("path", "mtime", (F.col("row") + F.col("shift")).alias("ord"), "line")
 
 
 def parse_entries(lines: DataFrame, keep: bool = False) -> DataFrame:
