@@ -66,8 +66,9 @@ _INDEX_BITS = 26
 _LAST = (1 << 63) - 1
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 ANCHOR_SCHEMA = "repeat boolean, h long, c int, doc long, print long, at long"
-#: Bytes of text whose equal runs are combined before the shuffle, and rows sent to Spark at once.
-COMBINE_BYTES, SEND_ROWS = 8 << 20, 1 << 16
+#: Bytes of text whose equal runs are combined before the shuffle, rows that are held for it at most (but for those of one piece), and rows
+#: sent to Spark at once. Frequent anchors make a row for each byte, so without the second bound a task would hold millions of rows.
+COMBINE_BYTES, COMBINE_ROWS, SEND_ROWS = 8 << 20, 1 << 19, 1 << 16
 
 
 def _windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple | None:
@@ -121,21 +122,29 @@ def _anchors(hot: np.ndarray):
             yield bucket, content(first, last + LENGTH), row, at
 
     def combined(data, offsets, doc, print_):
-        found = list(one(data, offsets))
-        if not found:
-            return
-        h, c, row, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        c = (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
         place, owner = _documents(doc, print_)
-        d = place[row]
-        order = np.lexsort((at, d, c, h))
-        h, c, d, at = h[order], c[order], d[order], at[order]
-        same = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] != at[:-1]))]
-        kept = np.flatnonzero(~same)[np.argsort(order[~same])]
-        row = owner[d[kept]]
-        yield from _rows(False, h[kept], c[kept], doc[row], print_[row], at[kept])
-        if same.any():
-            d, begin, until = _merged(d[same], at[same] >> 14, (at[same] >> 14) + (at[same] >> 7 & 127) + LENGTH)
+        held, spans, size = [], [], 0
+
+        def rows(h, c, d, at):
+            row = owner[d]
+            return _rows(False, h, c, doc[row], print_[row], at)
+
+        for h, c, row, at in one(data, offsets):
+            held.append((h, (c >> np.uint64(32)).astype(np.uint32).view(np.int32), place[row], at))
+            size += len(h)
+            if size >= COMBINE_ROWS:
+                least, again = _combined(held)
+                spans.append(again)
+                held, size = [least], len(least[0])
+                if size > COMBINE_ROWS // 2:
+                    yield from rows(*least)
+                    held, size = [], 0
+        if held:
+            least, again = _combined(held)
+            spans.append(again)
+            yield from rows(*least)
+        if sum(len(x[0]) for x in spans):
+            d, begin, until = _merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
             row = owner[d]
             yield from _rows(True, mix(doc[row].view(np.uint64) ^ begin.view(np.uint64)), (until - begin).astype(np.int32), doc[row], print_[row], begin)
 
@@ -149,6 +158,18 @@ def _anchors(hot: np.ndarray):
     return run
 
 
+def _combined(held: list[tuple]) -> tuple[tuple, tuple]:
+    """Of rows (bucket, content, place of the document, at): the earliest of each bucket and content, and the others' spans, merged."""
+    h, c, d, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((at, d, c, h))
+    h, c, d, at = h[order], c[order], d[order], at[order]
+    same = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] != at[:-1]))]
+    kept = np.flatnonzero(~same)[np.argsort(order[~same])]
+    d_same, at_same = d[same], at[same]
+    spans = (d_same, at_same >> 14, (at_same >> 14) + (at_same >> 7 & 127) + LENGTH)
+    return (h[kept], c[kept], d[kept], at[kept]), _merged(*spans) if len(d_same) else spans
+
+
 def _documents(doc: np.ndarray, print_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each row's document in order of (doc, print), equal for equal rows, and one row of each place."""
     order = np.lexsort((print_, doc))

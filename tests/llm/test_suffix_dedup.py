@@ -54,6 +54,18 @@ def test_matches_brute_force(spark, monkeypatch, block, hot):
     assert got == brute(rows)
 
 
+def test_few_rows_held(spark, monkeypatch):
+    """Combining a few rows at a time, with frequent anchors and without, removes the same bytes."""
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute(rows)
+    monkeypatch.setattr(S, "COMBINE_ROWS", 40)
+    assert sorted(tuple(r) for r in S.digest(docs).collect()) == want
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
+    monkeypatch.setattr(S, "HOT_SAMPLE", 0.99)
+    assert sorted(tuple(r) for r in S.digest(docs).collect()) == want
+
+
 def test_small_blocks(monkeypatch):
     """One bucket at a time gives what all at once gives."""
     import numpy as np
