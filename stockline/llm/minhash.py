@@ -15,8 +15,8 @@ r"""Operator 4: near duplicates by fast similarity sketching, banding and exact
    gives about n pairs, and no link between components is lost.
 5. Components: least label over links with pointer jumping; each step is cut by a checkpoint. A component's id is its least doc_id.
 
-Hot groups: exact copies and buckets are pre-aggregated before their shuffles, and rows meet their
-bucket in joins that adaptive execution splits.
+Hot groups: exact copies and buckets are pre-aggregated before their shuffles, rows meet their
+bucket in joins that adaptive execution splits, and a centre of many members has its set sent once for each FAN of them (``_with_sets``).
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own
 component; rows are told apart by doc_id and text (64 bits of hash), never by doc_id alone, so rows that repeat a doc_id, or
@@ -36,6 +36,8 @@ from .arrowtext import mix, utf8, word_hashes
 from .common import cut_lineage, small_batches
 
 BANDS, ROWS = 32, 5
+#: Partners of one document that meet its set in one task, and parts of a document's partners at most.
+FAN, SLOTS = 64, 1024
 SIZE = BANDS * ROWS
 _LAST = (1 << 63) - 1
 _SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B9))
@@ -142,7 +144,7 @@ def _confirmed(percent: int):
 
 
 def _compared(percent: int):
-    """Batches (centre, member, their sets) to: n, whether they are similar, and the member's prefix.
+    """Batches (centre, member, their sets, part) to: n, whether they are similar, the member's prefix, and the part.
 
     The prefix is the first n - ceil(percent n / 100) + 1 shingles of the member, those that the centre lacks before those that it has.
     """
@@ -159,16 +161,40 @@ def _compared(percent: int):
                 prefixes.append(np.concatenate((x[~there], x[there]))[: len(x) - (percent * len(x) + 99) // 100 + 1].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "similar", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "similar", "prefix", "part"])
 
     return run
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+def _fanned(pairs: DataFrame, side: str, other: str) -> DataFrame:
+    """One row for each document of ``side``: ``slots`` of its partners and ``parts``, one for each FAN partners and SLOTS at most.
+
+    Partners are counted by slots first, so no task gets all rows of one document.
+    """
+    slot = F.pmod(F.xxhash64(other), F.lit(SLOTS)).cast("int").alias("slot")
+    counts = pairs.groupBy(side, slot).agg(F.count("*").alias("size"))
+    return counts.groupBy(side).agg(F.collect_list("slot").alias("slots"), F.least(F.ceil(F.sum("size") / FAN), F.lit(SLOTS)).cast("int").alias("parts"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, often: tuple[str, ...]) -> DataFrame:
+    """Pairs (a, b) with the sets sa and sb, and the part of each side in ``often``, as part_a and part_b.
+
+    A document with many partners has its set sent once for each part of them, so a hot one is met by many tasks.
+    """
+    other = {"a": "b", "b": "a"}
+    for side in often:
+        slots = _fanned(pairs, side, other[side]).select(side, "parts", F.explode("slots").alias("slot"))
+        slots = slots.select(side, "slot", F.expr("slot % parts").alias(f"part_{side}"))
+        pairs = pairs.withColumn("slot", F.pmod(F.xxhash64(other[side]), F.lit(SLOTS)).cast("int")).join(slots, [side, "slot"]).drop("slot")
+    pairs = cut_lineage(pairs)
+    for side in ("b", "a"):
+        own, key = sets.select(F.col("doc").alias(side), F.col("shingles").alias(f"s{side}")), [side]
+        if side in often:
+            parts = pairs.groupBy(side, f"part_{side}").agg(F.first(F.lit(1))).groupBy(side).agg(F.collect_list(f"part_{side}").alias("parts"))
+            own, key = own.join(parts, side).select(side, f"s{side}", F.explode("parts").alias(f"part_{side}")), [side, f"part_{side}"]
+        pairs = pairs.join(own, key)
+    return pairs.select("a", "b", "sa", "sb", *(f"part_{side}" for side in often))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,12 +221,15 @@ def _candidates(starred: DataFrame, labels: DataFrame, percent: int) -> DataFram
     the largest component of their centre look for partners.
     """
     placed = starred.join(labels.select(F.col("doc").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    several = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("a", "least")
-    placed = cut_lineage(placed.join(several, "a").select("a", "b", "n", "label", "least", "prefix"))
-    parts = placed.groupBy("a", "label").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("a").agg(F.max(F.struct("size", "label")).alias("top")).select("a", F.col("top.label").alias("top"))
+    by_label = placed.groupBy("a", "label").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    centres = by_label.groupBy("a").agg(F.count("*").alias("labels"), F.min("least").alias("least"), F.max(F.struct("size", "label")).alias("top"))
+    centres = centres.where("labels > 1").select("a", "least", F.col("top.label").alias("top"))
+    # what is known of a centre meets its members part by part
+    centres = placed.groupBy("a", "part").agg(F.first(F.lit(1))).groupBy("a").agg(F.collect_list("part").alias("parts")).join(centres, "a")
+    centres = centres.select("a", F.explode("parts").alias("part"), "least", "top")
+    placed = cut_lineage(placed.join(centres, ["a", "part"]).select("a", "b", "n", "label", "least", "top", "prefix"))
     reach = lambda n, i, m: (100 + percent) * (n - i) >= percent * (n + m)
-    x = placed.join(largest, "a").where("label <> top").select("a", F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "least", F.posexplode("prefix").alias("x_i", "shingle"))
+    x = placed.where("label <> top").select("a", F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "least", F.posexplode("prefix").alias("x_i", "shingle"))
     x = x.where(reach(F.col("x_n"), F.col("x_i"), F.greatest(F.col("least"), F.floor(percent * F.col("x_n") / 100))))
     y = placed.select("a", F.col("b").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.posexplode("prefix").alias("y_i", "shingle"))
     met = x.join(y, ["a", "shingle"]).where((F.col("x_label") != F.col("y_label")) & reach(F.col("x_n"), F.col("x_i"), F.col("y_n")) & reach(F.col("y_n"), F.col("y_i"), F.col("x_n")))
@@ -227,12 +256,12 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
     # rows equal in doc and print are one text
     found = texts.join(involved, ["doc", "print"]).groupBy("doc", "print", "node").agg(F.first("text").alias("text"))
     sets = cut_lineage(found.select("node", "text").mapInArrow(_full_sets(shingle), "doc long, shingles binary").where("shingles is not null"))
-    starred = cut_lineage(_with_sets(pairs, sets).mapInArrow(_compared(percent), "a long, b long, n long, similar boolean, prefix array<long>"))
+    starred = cut_lineage(_with_sets(pairs, sets, ("a",)).mapInArrow(_compared(percent), "a long, b long, n long, similar boolean, prefix array<long>, part int"))
     links = starred.where("similar").select("a", "b")
     labels = components(links)
     more = cut_lineage(_candidates(starred, labels, percent))
     if not more.isEmpty():
-        found = cut_lineage(_with_sets(more, sets).mapInArrow(_confirmed(percent), "a long, b long"))
+        found = cut_lineage(_with_sets(more, sets, ("a", "b")).mapInArrow(_confirmed(percent), "a long, b long"))
         labels = components(links.union(found))
     nodes = classes.select(*key, "node", "least_doc").join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").withColumn("group_id", F.coalesce("label", "node"))
     least = nodes.where("label is not null").groupBy("label").agg(F.min("least_doc").alias("least"))
