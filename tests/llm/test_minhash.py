@@ -75,20 +75,6 @@ def test_group_of_edited_copies_gives_few_pairs(spark):
     assert seen[0] < 5000  # of 44,850
 
 
-def test_centre_in_parts(spark, monkeypatch):
-    """A centre of many members meets them part by part: the same components, and no part with many of its members."""
-    monkeypatch.setattr(M, "FAN", 4)
-    rows = corpus(3)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in M.near_duplicates(docs, shingle=3, percent=85).collect())
-    assert got == brute(rows, 3, 85)
-    pairs = spark.range(1, 401).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
-    sets = spark.range(401).select(F.col("id").alias("doc"), F.lit(b"12345678").alias("shingles"))
-    met = M._with_sets(pairs, sets, ("a", "b"))
-    assert met.count() == 400 and met.select("a", "b").distinct().count() == 400
-    assert met.groupBy("part_a").count().agg(F.max("count")).first()[0] <= 20
-
-
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     common, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
