@@ -26,8 +26,9 @@ def fires(rows: DataFrame, keys: tuple[str, ...], start: DataFrame, strict: bool
     marked = sources.select(*both, F.col("ord").alias("a"), F.lit(int(strict)).alias("kind"), none.alias("b")).unionByName(
         points.select(*keys, F.col("reach").alias("value"), none.alias("a"), F.lit(int(not strict)).alias("kind"), F.col("ord").alias("b"))
     )
-    following = Window.partitionBy(*keys).orderBy("value", "kind").rowsBetween(0, Window.unboundedFollowing)
-    after = marked.withColumn("next", F.first("b", ignorenulls=True).over(following)).where(F.col("kind") == int(strict)).where("next IS NOT NULL")
+    # from the greatest value down, so that frames begin at the first row: a frame up to the last one is read anew for each row
+    following = Window.partitionBy(*keys).orderBy(F.desc("value"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    after = marked.withColumn("next", F.last("b", ignorenulls=True).over(following)).where(F.col("kind") == int(strict)).where("next IS NOT NULL")
     after = cut_lineage(after.select(*keys, "a", F.col("next").alias("b")))
     reached = cut_lineage(after.where("a IS NULL").select(*keys, F.col("b").alias("ord")))
     jump = after.where("a IS NOT NULL AND b > a")

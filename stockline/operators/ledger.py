@@ -130,7 +130,8 @@ def settle_by_path(deltas: DataFrame, path_deltas: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("deferred").over(w), F.lit(0.0))
     retired = F.least(before, F.greatest(F.lit(0.0), up - F.col("db")))
     banked = F.least(F.greatest(F.lit(0.0), F.col("db") - up), F.col("pos_total").cast("double"))
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at the last row is summed anew for each row, so the later rows come first and the frame begins at the first
+    after = Window.partitionBy(*_by(deltas)).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     rows = settled.withColumn("_keep", F.when(before > 0, 1 - retired / before).otherwise(1.0)).withColumn("_banked", banked)
     drained = F.max(F.col("_keep") <= 1e-12).over(after)
     left = F.exp(F.coalesce(F.sum(F.when(F.col("_keep") > 1e-12, F.log("_keep"))).over(after), F.lit(0.0)))
@@ -152,8 +153,9 @@ def assign_to_calls(events: DataFrame, calls: DataFrame, side: str = "next") ->
     both = events.select("session_id", "ord", F.struct(*events.columns).alias("event"), F.lit(None).cast("long").alias("folded_seq")).unionByName(
         calls.select("session_id", "ord", F.lit(None).cast(events.select(F.struct(*events.columns).alias("event")).schema["event"].dataType).alias("event"), F.col("folded_seq").cast("long"))
     )
-    w = Window.partitionBy("session_id").orderBy("ord", F.col("event").isNull() if side == "next" else F.col("event").isNotNull())
-    near = F.first("folded_seq", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if side == "next" else F.last("folded_seq", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # calls come before events of the same ord; for the next call the order is backwards, so that frames begin at the first row
+    w = Window.partitionBy("session_id").orderBy(F.desc("ord") if side == "next" else F.asc("ord"), F.col("event").isNotNull())
+    near = F.last("folded_seq", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("folded_seq", near).where("event is not null").select("event.*", "folded_seq")
 
 
@@ -238,7 +240,8 @@ def reasoning_spend(blocks: DataFrame) -> DataFrame:
     tool = F.col("kind") == "tool"
     key = F.coalesce("path", F.lit(""))
     before = F.last(F.when(tool, key), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(tool, key), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("session_id", "entry_ord").orderBy(F.desc("block_pos"))
+    after = F.last(F.when(tool, key), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     return blocks.withColumn("_b", before).withColumn("_a", after).where(~tool & (F.col("_a") == F.col("_b")) & (F.col("_a") != "")).groupBy("session_id", "entry_ord", F.col("_a").alias("path")).agg(F.sum("n_chars").alias("n_chars"))
 
 

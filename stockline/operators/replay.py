@@ -46,7 +46,8 @@ def segment_of_entries(replayed: DataFrame, found: DataFrame) -> DataFrame:
     rows = replayed.select("session_id", "ord", "root_ord").join(found.select("session_id", "ord", "segment"), ["session_id", "ord"], "left")
     root = Window.partitionBy("session_id", "root_ord").orderBy("ord")
     before = F.last("segment", ignorenulls=True).over(root.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("segment", ignorenulls=True).over(root.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("session_id", "root_ord").orderBy(F.desc("ord"))
+    after = F.last("segment", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("session_id", "ord", F.coalesce(before, after).alias("segment")).where("segment IS NOT NULL")
 
 
