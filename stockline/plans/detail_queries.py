@@ -10,7 +10,7 @@ from stockline.functions import text as X
 from stockline.operators import billing, calls, corpus, handoff, ledger, profiles, tools, tree
 from stockline.sources import tables as T
 
-from .base import analysed, metered, positioned, r6, round_sql, touches, usage, with_calls, with_meter, with_positions, with_touches, with_usage
+from .base import analysed, dealt, metered, positioned, r6, round_sql, touches, usage, with_calls, with_meter, with_positions, with_touches, with_usage
 from .table_queries import HANDOFF_SQL, LJUNG_SQL, _handoffs, _loads
 from .tree_queries import TREE_SQL, _entries
 
@@ -237,7 +237,8 @@ SELECT ev.session_id, 't'||ev.turn AS id, md5(t) AS skill FROM ev LEFT JOIN en O
 def search_spend(spark, sf):
     """Touches in operations of four; every third operation has one cost that its files share, every sixth an overhead too."""
     event = F.floor(F.col("ord") / 4)
-    return r6(ledger.touch_spend(touches(spark, sf).withColumn("event_id", event).withColumn("event_spent", F.when(event % 3 == 0, 500.0)).withColumn("event_overhead", F.when(event % 6 == 0, 40.0))), "spent")
+    rows = dealt(spark, sf, touches(spark, sf).withColumn("event_id", event), "session_id", "event_id")
+    return r6(ledger.touch_spend(rows.withColumn("event_spent", F.when(event % 3 == 0, 500.0)).withColumn("event_overhead", F.when(event % 6 == 0, 40.0))), "spent")
 
 
 SPEND_SQL = with_touches(""", n AS (SELECT session_id, ord // 4 AS event, count(DISTINCT path) AS n_files, sum(tokens) AS whole FROM touch_v GROUP BY 1, 2), f AS (SELECT session_id, ord // 4 AS event, path, count(*) AS n_rows FROM touch_v GROUP BY 1, 2, 3),

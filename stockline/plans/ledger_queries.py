@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockline.operators import ledger
 from stockline.sources import tables as T
 
-from .base import analysed, r6, round_sql, touches, with_calls, with_touches
+from .base import analysed, dealt, r6, round_sql, touches, with_calls, with_touches
 
 P = "PARTITION BY session_id, path ORDER BY ord"
 PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -38,7 +38,7 @@ def _snapshot(spark, sf):
 
 def _deltas(spark, sf):
     """Growth of B by touches against a growth of L that lags behind it."""
-    rows = ledger.path_ledger(touches(spark, sf))
+    rows = dealt(spark, sf, ledger.path_ledger(touches(spark, sf)).select("session_id", "ord", "path", "delta"), "session_id")
     late = F.coalesce(F.lag("delta", 3).over(Window.partitionBy("session_id").orderBy("ord")), F.lit(0))
     return rows.select("session_id", "ord", "path", F.col("delta").alias("db"), F.greatest(F.lit(0), late).alias("dl"), F.greatest(F.lit(0), F.col("delta")).alias("pos_total"))
 
@@ -103,7 +103,7 @@ SNAP = ("session_id", "path", "tokens", "spent", "churn", "efficiency", "n_reads
 
 QUERIES = {
     "path_ledger": (lambda s, d: ledger.path_ledger(touches(s, d)).select("session_id", "ord", "epoch", "lines", "edits", "path_tokens", "delta"), with_touches(f", {LEDGER_SQL} SELECT session_id, ord, epoch, lines, edits, path_tokens, delta FROM ledger_v")),
-    "running_b": (lambda s, d: ledger.running_b(ledger.path_ledger(touches(s, d)), 20000).select("session_id", "ord", "b"), with_touches(f", {LEDGER_SQL} SELECT session_id, ord, CAST(20000 + sum(delta) OVER (PARTITION BY session_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM ledger_v")),
+    "running_b": (lambda s, d: ledger.running_b(dealt(s, d, ledger.path_ledger(touches(s, d)).select("session_id", "ord", "delta"), "session_id"), 20000).select("session_id", "ord", "b"), with_touches(f", {LEDGER_SQL} SELECT session_id, ord, CAST(20000 + sum(delta) OVER (PARTITION BY session_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM ledger_v")),
     "pure_rereads": (lambda s, d: ledger.pure_rereads(touches(s, d)).select("session_id", "ord", "reread"), with_touches(f", {REREAD_SQL} SELECT session_id, ord, reread FROM reread_v")),
     "touch_counts": (lambda s, d: ledger.touch_counts(touches(s, d)), with_touches("SELECT session_id, path, count(*) FILTER (WHERE op NOT IN ('editDelta','write')) AS n_reads, count(*) FILTER (WHERE op IN ('editDelta','write')) AS n_edits, max(ord) AS last_ord FROM touch_v GROUP BY 1, 2")),
     "touch_lists": (lambda s, d: ledger.touch_lists(touches(s, d), 4).selectExpr("session_id", "path", "array_join(transform(touches, x -> concat(x.seq, x.mode)), ',') AS touches"), with_touches("""

@@ -15,8 +15,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(rows: DataFrame, each: int) -> int:
+    """Tasks of about ``each`` rows, one for each core at least: a task's memory doesn't grow with the table. Files tell their rows by their footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
+#: Rows of a task: the windows over usage have some twenty sorts in one stage, those over touches four.
+USAGE_ROWS, TOUCH_ROWS = 50_000, 250_000
+
+
 def usage_view(events: DataFrame) -> DataFrame:
     """API calls of one session for each user: 'signup' starts a fresh context, 'error' is a cache miss, 'view' a human turn."""
+    events = events.select("user_id", "event_id", "ts", "event_type", "value").repartition(tasks_for(events, USAGE_ROWS), "user_id")
     by_user = Window.partitionBy("user_id").orderBy("event_id")
     fresh = Window.partitionBy("user_id", "grp").orderBy("event_id")
     e = events.select(
@@ -53,16 +63,31 @@ def bill_view(usage: DataFrame) -> DataFrame:
     return u.select("day", "model", F.inline(lines))
 
 
+#: Order keys of one chunk of the numbering of touches.
+CHUNK_KEYS = 12_800
+TOUCH_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_returnflag", "l_quantity")
+
+
 def touch_view(lineitem: DataFrame) -> DataFrame:
-    """File touches for the path ledger, churn and directory roll-up."""
-    session = F.col("l_orderkey") % 200
-    order = Window.partitionBy(session).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    """File touches for the path ledger, churn and directory roll-up.
+
+    There are 200 sessions at any size, so rows are numbered in chunks of order keys, and only the chunks' counts meet by session.
+    """
+    keys, parts = ["_session", "_chunk"], tasks_for(lineitem, TOUCH_ROWS)
+    # no remainder is -200: it stands for null, so that rows without a key meet their counts too
+    rows = lineitem.withColumn("_session", F.coalesce(F.col("l_orderkey") % 200, F.lit(-200))).withColumn("_chunk", F.coalesce(F.floor(F.col("l_orderkey") / CHUNK_KEYS), F.lit(0)))
+    earlier = Window.partitionBy("_session").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = rows.select(*keys, *TOUCH_COLUMNS).repartition(parts, *keys)
+    rows = rows.withColumn("_row", F.row_number().over(inside)).join(counts, keys)
     op = F.when(F.col("l_linestatus") == "O", "lineUpdate").otherwise(F.when(F.col("l_linenumber") % 3 == 0, "fullSet").when(F.col("l_linenumber") % 3 == 1, "write").otherwise("editDelta"))
-    return lineitem.select(
-        session.alias("session_id"), F.row_number().over(order).cast("long").alias("ord"),
+    touches = rows.select(
+        (F.col("l_orderkey") % 200).alias("session_id"), (F.col("_before") + F.col("_row")).cast("long").alias("ord"),
         F.concat(F.lit("/repo/"), F.lower("l_returnflag"), F.lit("/"), (F.col("l_suppkey") % 7).cast("string"), F.lit("/f"), (F.col("l_partkey") % 40).cast("string"), F.lit(".js")).alias("path"),
         op.alias("op"), F.col("l_quantity").cast("long").alias("line_no"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("tokens"),
     )
+    return touches.repartition(parts, "session_id", "path")
 
 
 #: The same views for DuckDB, as the start of a WITH clause.

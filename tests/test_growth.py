@@ -39,3 +39,29 @@ def test_no_frame_runs_to_the_last_row(spark, monkeypatch):
     fired = latch.fires(rows, ("session_id",), spark.createDataFrame([(1, 0.0)], "session_id int, need double"))
     assert sorted(r.ord for r in fired.collect()) == [5, 10, 15, 20, 25, 30, 35]
     assert plans and not any(QUADRATIC.search(p) for p in plans)
+
+
+def test_touches_are_dealt_by_more_than_the_session(spark, sf_dir, monkeypatch):
+    """All rows of one session, and rows without a key, in more than one chunk: numbered as by one window, and in tasks of few rows."""
+    from pyspark.sql import Window
+
+    from stockline.sources import tables
+
+    monkeypatch.setattr(tables, "TOUCH_ROWS", 500)
+    one = tables.read(spark, sf_dir, "lineitem").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 50 != 7, F.col("l_orderkey") * 200))
+    got = tables.touch_view(one)
+    rows = got.count()
+    assert got.rdd.getNumPartitions() == -(-rows // 500)
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < rows / 3
+    order = Window.partitionBy(F.col("l_orderkey") % 200).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    want = one.select((F.col("l_orderkey") % 200).alias("session_id"), F.row_number().over(order).cast("long").alias("ord"), F.col("l_quantity").cast("long").alias("line_no"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("tokens"))
+    assert want.exceptAll(got.select(want.columns)).isEmpty() and want.count() == rows
+    assert got.where("session_id IS NULL").agg(F.min("ord") == 1, F.max("ord") == F.count("*")).first() == (True, True)
+
+
+def test_usage_is_dealt_in_tasks_of_few_rows(spark, sf_dir, monkeypatch):
+    from stockline.sources import tables
+
+    monkeypatch.setattr(tables, "USAGE_ROWS", 100)
+    events = tables.read(spark, sf_dir, "events")
+    assert tables.usage_view(events).rdd.getNumPartitions() == max(4, -(-events.count() // 100))
