@@ -18,8 +18,9 @@ before their last need is in one block; only the single symbols (65,536 at most)
 Each position meets one block of each language, so log probabilities add up to those of the model in one piece.
 
 *Decision*: least cross-entropy (nats per symbol). ``score`` is the share of the best language in the softmax of minus
-cross-entropy times min(symbols, 50). ``rejected`` where cross-entropy is above the language's limit: on a bounded sample
-of training rows (``calibration_rows``, chosen by a hash of doc_id) the 99.9 % quantile at that text's length (powers of two), times ``slack``.
+cross-entropy times min(symbols, 50). ``rejected`` where cross-entropy is above the language's limit: on all training rows
+the 99.9 % quantile at that text's length (powers of two and their neighbours), times ``slack``. Spark counts entropies in steps of 1e-4 nats, so
+the quantiles are exact to that step and only the limits, 32 for a language, come to the driver.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0 and is rejected; so does every
 text if there is no labelled training text; ties go to the language first by code point; repeated rows get equal results.
@@ -33,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -333,7 +334,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_grams: int = 2_000_000, calibration_rows: int = 4000, slack: float = 1.25) -> Model:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_grams: int = 2_000_000, slack: float = 1.25) -> Model:
     """The model from the training rows of docs. See the module for the bounds."""
     small_batches(docs.sparkSession)
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -350,24 +351,36 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         counted.unpersist()
     model.blocks = blocks
     if model.languages:
-        share = min(1.0, calibration_rows / max(rows.count(), 1))
-        chosen = rows.where(F.crc32(F.concat(F.lit("calibration"), F.col(doc_id).cast("string"))) < F.lit(int(share * 2**32)))
-        scored = predict(chosen, model, doc_id, text).where("lang_pred <> 'und'").select("lang_pred", "cross_entropy", "n_symbols").toArrow().to_pydict()
-        _calibrate(model, scored, slack)
+        _calibrate(model, predict(rows, model, doc_id, text), slack)
     return model
 
 
-def _calibrate(model: Model, scored: dict, slack: float) -> None:
-    entropy = np.array(scored["cross_entropy"], float)
-    length = np.log2(np.maximum(np.array(scored["n_symbols"], float), 1)).astype(int)
-    names = np.array(scored["lang_pred"], object)
-    for name in model.languages:
-        limits = np.full(32, np.inf)
-        for k in range(32):
-            near = (names == name) & (abs(length - k) <= 1)
-            if near.sum() >= 20:
-                limits[k] = np.quantile(entropy[near], 0.999) * slack
-        model.limits[name] = limits
+#: Entropies are counted in steps of 1 / STEPS nats.
+STEPS = 10_000
+
+
+def _limits(scored: DataFrame, quantile: float = 0.999, least: int = 20) -> DataFrame:
+    """lang_pred, k and the quantile of the cross-entropies of all rows whose length (a power of two) is k - 1, k or k + 1, where there are enough.
+
+    The quantile is interpolated between the two values about it, each found in running counts of the steps.
+    """
+    known = scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("n_symbols") > 0))
+    length = F.length(F.bin("n_symbols")) - 1
+    steps = known.groupBy("lang_pred", length.alias("length"), F.round(F.col("cross_entropy") * STEPS).cast("long").alias("step")).count()
+    near = steps.select("lang_pred", "step", "count", F.explode(F.sequence(F.col("length") - 1, F.col("length") + 1)).alias("k"))
+    near = near.where("k BETWEEN 0 AND 31").groupBy("lang_pred", "k", "step").agg(F.sum("count").alias("count"))
+    group = Window.partitionBy("lang_pred", "k")
+    up_to = near.withColumn("n", F.sum("count").over(group)).withColumn("upto", F.sum("count").over(group.orderBy("step")))
+    place = quantile * (F.col("n") - 1)
+    value = lambda i: F.min(F.when(F.col("upto") > i, F.col("step")))
+    found = up_to.where(F.col("n") >= least).withColumn("place", place).groupBy("lang_pred", "k", "place").agg(value(F.floor("place")).alias("low"), value(F.ceil("place")).alias("high"))
+    return found.select("lang_pred", "k", ((F.col("low") + (F.col("place") - F.floor("place")) * (F.col("high") - F.col("low"))) / STEPS).alias("entropy"))
+
+
+def _calibrate(model: Model, scored: DataFrame, slack: float) -> None:
+    model.limits = {name: np.full(32, np.inf) for name in model.languages}
+    for row in _limits(scored).collect():
+        model.limits[row["lang_pred"]][row["k"]] = row["entropy"] * slack
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

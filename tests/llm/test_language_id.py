@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stockline.llm import language_id as L
 
@@ -83,3 +84,26 @@ def test_every_gram_of_a_rare_language_counts(spark):
     for k, r in want.items():
         assert (got[k].lang_pred, got[k].rejected) == (r.lang_pred, r.rejected) == ("zz" if k >= 1000 else "aa", False)
         assert math.isclose(got[k].cross_entropy, r.cross_entropy, rel_tol=1e-5)
+
+
+def test_limits_come_from_all_rows(spark):
+    """More than any sample would hold: the quantile of 30,000 rows by numpy, with 60 outliers that a part of the rows would miss."""
+    random = np.random.default_rng(5)
+    n = 30_000
+    entropy = np.round(random.normal(2.0, 0.1, n), 4)
+    entropy[random.choice(n, 60, replace=False)] = np.round(random.uniform(5, 9, 60), 4)
+    symbols = random.integers(1, 300, n)
+    rows = spark.createDataFrame([("en", float(e), int(k)) for e, k in zip(entropy, symbols, strict=True)] + [("de", 1.0, 8)] * 19, "lang_pred string, cross_entropy double, n_symbols long")
+    got = {(r.lang_pred, r.k): r.entropy for r in L._limits(rows.repartition(7)).collect()}
+    length = np.log2(symbols).astype(int)
+    want = {("en", k): np.quantile(entropy[abs(length - k) <= 1], 0.999) for k in range(32) if (abs(length - k) <= 1).sum() >= 20}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_fit_scores_every_training_row(spark, monkeypatch):
+    rows = [(i, ("the quick brown fox and the dog " if i % 2 else "der schnelle braune fuchs und der hund ") * (1 + i % 3), "en" if i % 2 else "de") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, calibrate = [], L._calibrate
+    monkeypatch.setattr(L, "_calibrate", lambda model, scored, slack: (seen.append(scored.count()), calibrate(model, scored, slack)))
+    L.fit(docs)
+    assert seen == [docs.where(~L.held_out(F.col("doc_id"))).count()] and seen[0] > 4000
