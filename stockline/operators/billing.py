@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockline.functions import economics as E
 from stockline.functions.models import tier_model
+from stockline.sources.shared import cut_lineage
 
 from . import latch
 from .calls import by_segment, so_far
@@ -66,6 +67,7 @@ def backstop(calls: DataFrame, consume: bool = True) -> DataFrame:
     if not consume:
         return rows.withColumns({"dw_bills": F.col("_sum"), "laps": F.lit(0), "backstop_fires": F.coalesce(F.col("_reach") >= 0, F.lit(False))}).drop("_sum", "_reach")
     keys = ("session_id", "segment")
+    rows = cut_lineage(rows)  # the latch reads them several times, and the windows below shouldn't share a task with those above
     small = rows.where("_reach IS NOT NULL").select(*keys, "ord", F.col("_sum").alias("need"), F.col("_reach").alias("reach"))
     found = latch.fires(small, keys, small.select(*keys).distinct().withColumn("need", F.lit(0.0))).withColumn("_fires", F.lit(True))
     rows = rows.join(found, [*keys, "ord"], "left").withColumn("backstop_fires", F.coalesce("_fires", F.lit(False)))

@@ -65,3 +65,11 @@ def test_usage_is_dealt_in_tasks_of_few_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "USAGE_ROWS", 100)
     events = tables.read(spark, sf_dir, "events")
     assert tables.usage_view(events).rdd.getNumPartitions() == max(4, -(-events.count() // 100))
+
+
+def test_backstop_starts_from_a_checkpoint(spark, sf_dir):
+    from stockline.operators import billing
+    from stockline.plans import base
+
+    plan = _plan(billing.backstop(base.metered(spark, sf_dir)))
+    assert "ExistingRDD" in plan and "parquet" not in plan.lower()
