@@ -6,6 +6,7 @@ order of ord, in micro-batches of any size. The values of a call are those of th
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -32,12 +33,15 @@ PROFILE = (
 #: The state of a session beside its known calls, which are a map of their own.
 STATE = (
     "seq long, turn long, segment long, l long, stock long, dead long, ceiling long, g double, first boolean, burn double, micro long, run long, run_cycles long, fired boolean, n long, peak long, human boolean, "
-    "bills double, laps long, turn0 long, amber long, ts0 long, ts1 long, read long, out long, model string, r double, mf double, pp double, br double, pp_peak double, br_peak double, g_min double"
+    "bills double, laps long, turn0 long, amber long, ts0 long, ts1 long, read long, out long, model string, r double, mf double, pp double, br double, pp_peak double, br_peak double, g_min double, recent map<string,long>, spilled boolean"
 )
+#: Keys of a session's map that stay in its value.
+FEW = 64
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 IDLE_MS = 7 * 24 * 3600 * 1000
 
 
+@functools.lru_cache(1024)
 def _ratio(model: str) -> float:
     import re
 
@@ -165,23 +169,101 @@ def emitted(rows: Iterable[dict], columns: list[str] = _COLUMNS) -> Iterator[Row
     return (row(*(x.get(c) for c in columns)) for x in rows)
 
 
+class Held:
+    """A map in state while one session's rows of a batch are taken in: a key is read once at most, and ``flush`` writes each changed key once.
+
+    A call of a state goes through a socket and costs more than a row's own work. Of a map that is ``empty`` (of a new session), or was
+    cleared in this batch, nothing is read at all. Only the keys that a batch brings are held, unless the map is iterated.
+    """
+
+    def __init__(self, state, empty: bool = False):
+        self.state, self.values, self.changed, self.whole, self.stored, self.cleared = state, {}, {}, empty, not empty, False
+
+    def getValue(self, key: tuple) -> tuple | None:
+        if key not in self.values and not self.whole:
+            self.values[key] = self.state.getValue(key)
+        return self.values.get(key)
+
+    def containsKey(self, key: tuple) -> bool:
+        return self.getValue(key) is not None
+
+    def updateValue(self, key: tuple, value: tuple | None) -> None:
+        self.values[key] = value
+        self.changed[key] = None
+
+    def removeKey(self, key: tuple) -> None:
+        self.updateValue(key, None)
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        """Keys and values in the order of keys."""
+        if not self.whole:
+            self.values = {tuple(k): tuple(v) for k, v in self.state.iterator()} | self.values
+            self.whole = True
+        return iter(sorted((k, v) for k, v in self.values.items() if v is not None))
+
+    def clear(self) -> None:
+        self.cleared = self.stored
+        self.values, self.changed, self.whole = {}, {}, True
+
+    def flush(self) -> None:
+        if self.cleared:
+            self.state.clear()
+        for key in self.changed:
+            if self.values[key] is not None:
+                self.state.updateValue(key, self.values[key])
+            elif self.stored and not self.cleared:
+                self.state.removeKey(key)
+        self.changed, self.stored, self.cleared = {}, True, False
+
+
+class Recent(Held):
+    """A map of strings to numbers whose newest keys are part of the session's own value (``recent``), up to FEW; more of them go to the map at once.
+
+    A session of few keys never calls the map.
+    """
+
+    def __init__(self, state, recent: dict | None, spilled: bool | None):
+        super().__init__(state, not spilled)
+        self.recent, self.spilled = dict(recent or {}), bool(spilled)
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return (self.recent[key[0]],) if key[0] in self.recent else super().getValue(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        if key[0] in self.recent or super().getValue(key) is None:
+            self.recent[key[0]] = value[0]
+        else:
+            super().updateValue(key, value)
+
+    def clear(self) -> None:
+        super().clear()
+        self.recent, self.spilled = {}, False
+
+    def flush(self) -> None:
+        if len(self.recent) > FEW:
+            for key, value in self.recent.items():
+                super().updateValue((key,), (value,))
+            self.recent, self.spilled = {}, True
+        super().flush()
+
+
 class _Known:
     """The calls of a session and their largest totals: a map in state, of which a batch touches only its own ids."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, held: Recent):
+        self.held = held
 
     def __contains__(self, key: str) -> bool:
-        return self.state.containsKey((key,))
+        return self.held.containsKey((key,))
 
     def __getitem__(self, key: str) -> int:
-        return self.state.getValue((key,))[0]
+        return self.held.getValue((key,))[0]
 
     def __setitem__(self, key: str, total: int) -> None:
-        self.state.updateValue((key,), (total,))
+        self.held.updateValue((key,), (total,))
 
     def clear(self) -> None:
-        self.state.clear()
+        self.held.clear()
 
 
 class FoldProcessor(StatefulProcessor):
@@ -197,12 +279,16 @@ class FoldProcessor(StatefulProcessor):
 
     def _load(self) -> dict:
         held = self.value.get()
-        return (fresh() | dict(zip(_STATE, held, strict=True)) if held else fresh()) | {"known": _Known(self.known)}
+        s = fresh() | (dict(zip(_STATE, held, strict=True)) if held else {})
+        return s | {"known": _Known(Recent(self.known, s.get("recent"), s.get("spilled")))}
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
         s, out = self._load(), []
         for row in sorted(rows, key=lambda r: r.ord):
             out += step(key[0], s, row)
+        known = s["known"].held
+        known.flush()
+        s.update({"recent": known.recent, "spilled": known.spilled})
         self.value.update(tuple(s[c] for c in _STATE))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):

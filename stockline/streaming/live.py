@@ -3,7 +3,7 @@
 Two stateful steps by session, with the library's own column expressions between them:
 
 1. ``Sequencer`` puts lines in order, follows the conversation tree, folds calls and matches tool results with their uses. Its state is a
-   few numbers, and maps (line -> row, line -> link of the tree, call id -> tokens, tool use id -> use); a batch touches the keys it brings.
+   few numbers, and maps (first line -> run of rows, first line -> run of links of the tree, call id -> tokens, tool use id -> use); a batch touches the keys it brings.
    - Lines may come in any order and in any micro-batch: one that is early waits in the map until all before it are there.
    - A result counts only in the segment of its use; uses are forgotten when their segment ends, and those of other than file tools after two turns.
    - While entries continue the one before, nothing but the new rows is read. After the first entry that does not, each batch compares
@@ -20,6 +20,7 @@ state until it is idle for ``idle_ms``, since a rewind needs them. Two results f
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ from stockline.operators.calls import EMA_ALPHA, EMA_FLOOR, EMA_SEED, MISS_DROP,
 from stockline.operators.ledger import CLEARS
 from stockline.sources import transcripts
 
-from .fold import BR_AMBER, IDLE_MS, _closed, _ratio, emitted, metered, use_rocksdb
+from .fold import BR_AMBER, IDLE_MS, Held, Recent, _closed, _ratio, emitted, metered, use_rocksdb
 
 MAX_TURNS = 2
+#: Lines, and characters, of a run of rows that is one value of the state.
+RUN_ROWS, RUN_CHARS = 256, 1 << 20
 EVENT = (
     "session_id {0}, kind string, at long, rewinds long, again boolean, ord long, segment long, boundary string, call_id string, folded_seq long, turn_seq long, miss boolean, l long, delta_l long, dead long, stock long, "
     "outp long, tokens long, model string, ms long, id string, name string, input string, cwd string, result_text string, turns long"
@@ -98,12 +101,14 @@ def replay_plan(links: list[tuple[int, str, str | None]]) -> list[tuple[int, int
 
 #: What the sequencer knows of a session beside its maps. ``folded`` and ``mark`` say which lines were folded, and in which order;
 #: ``opens``: the next call is the first of a root, ``parts``: nothing of that root went out.
-SESSION = "next long, at long, rewinds long, linear boolean, tree boolean, latest string, roots long, folded long, mark long, root long, opens boolean, parts boolean, seq long, turn long, bump boolean, segment long, n long, l long, stock long, dead long, ceiling long"
+SESSION = "next long, at long, rewinds long, linear boolean, tree boolean, latest string, roots long, folded long, mark long, root long, opens boolean, parts boolean, seq long, turn long, bump boolean, segment long, n long, l long, stock long, dead long, ceiling long, " + (
+    "recent map<string,long>, spilled boolean, recent_uuids map<string,long>, spilled_uuids boolean"
+)
 _SESSION = _names(SESSION)
 
 
 def _new_session() -> dict:
-    return dict.fromkeys(_SESSION, 0) | {"linear": True, "tree": False, "latest": None, "opens": False, "parts": False, "bump": False}
+    return dict.fromkeys(_SESSION, 0) | {"linear": True, "tree": False, "latest": None, "opens": False, "parts": False, "bump": False, "recent": {}, "recent_uuids": {}, "spilled": False, "spilled_uuids": False}
 
 
 class _Timed(StatefulProcessor):
@@ -123,42 +128,80 @@ class _Timed(StatefulProcessor):
 
 
 class Sequencer(_Timed):
+    """``early`` holds lines that wait for those before them; ``runs`` the rows, and ``links`` the tree, of lines in order."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("session", SESSION)
-        self.rows = handle.getMapState("rows", "ord long", "row string")
-        self.uuids = handle.getMapState("uuids", "uuid string", "ord long")
-        self.links = handle.getMapState("links", "ord long", "uuid string, parent string")
-        self.known = handle.getMapState("known", "call_id string", "tokens long")
-        self.waiting = handle.getMapState("waiting", "id string", "name string, input string, cwd string, turn long")
+        self.runs = handle.getMapState("runs", "first long", "rows array<string>")
+        self.links = handle.getMapState("links", "first long", "ords array<long>, uuids array<string>, parents array<string>")
+        self.maps = {
+            "early": handle.getMapState("early", "ord long", "row string"),
+            "uuids": handle.getMapState("uuids", "uuid string", "ord long"),
+            "known": handle.getMapState("known", "call_id string", "tokens long"),
+            "waiting": handle.getMapState("waiting", "id string", "name string, input string, cwd string, turn long"),
+        }
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
         held = self.value.get()
         s = dict(zip(_SESSION, held, strict=True)) if held else _new_session()
         self.out: list[dict] = []
         self.session = key[0]
+        self.early, self.waiting = (Held(self.maps[m], not held) for m in ("early", "waiting"))
+        self.known, self.uuids = Recent(self.maps["known"], s["recent"], s["spilled"]), Recent(self.maps["uuids"], s["recent_uuids"], s["spilled_uuids"])
+        self.starts, self.run = None, None
         came = {r.ord: r.row for r in rows if r.ord >= s["next"]}
-        for ord_, row in came.items():
-            self.rows.updateValue((ord_,), (row,))
+        first, run = s["next"], []
         fresh: list[tuple[int, dict]] = []
-        while s["next"] in came or self.rows.containsKey((s["next"],)):
-            raw = came[s["next"]] if s["next"] in came else self.rows.getValue((s["next"],))[0]
+        while s["next"] in came or self.early.containsKey((s["next"],)):
+            if s["next"] in came:
+                raw = came.pop(s["next"])
+                if held:
+                    self.early.removeKey((s["next"],))
+            else:
+                raw = self.early.getValue((s["next"],))[0]
+                self.early.removeKey((s["next"],))
+            run.append(raw)
             if raw is not None:
                 fresh.append((s["next"], json.loads(raw)))
             s["next"] += 1
+        for ord_, row in came.items():
+            self.early.updateValue((ord_,), (row,))
+        self._keep(first, run)
         self._follow(s, fresh)
+        for state in (self.early, self.uuids, self.known, self.waiting):
+            state.flush()
+        s.update({"recent": self.known.recent, "spilled": self.known.spilled, "recent_uuids": self.uuids.recent, "spilled_uuids": self.uuids.spilled})
         self.value.update(tuple(s[c] for c in _SESSION))
         self.touch(timer_values)
         yield from emitted(self.out, _names(EVENT))
 
+    def _keep(self, first: int, rows: list[str | None]) -> None:
+        """Lines from ``first`` on as runs in state."""
+        start, chars = 0, 0
+        for i, raw in enumerate(rows):
+            chars += len(raw or "")
+            if i + 1 == len(rows) or i + 1 - start == RUN_ROWS or chars >= RUN_CHARS:
+                self.runs.updateValue((first + start,), (rows[start : i + 1],))
+                start, chars = i + 1, 0
+
+    def _row(self, ord_: int) -> dict:
+        """A line that was kept, from its run; one run is held at a time."""
+        if self.starts is None:
+            self.starts = sorted(k[0] for k in self.runs.keys())
+        first = self.starts[bisect.bisect_right(self.starts, ord_) - 1]
+        if self.run is None or self.run[0] != first:
+            self.run = (first, self.runs.getValue((first,))[0])
+        return json.loads(self.run[1][ord_ - first])
+
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
-        for state in (self.value, self.rows, self.uuids, self.links, self.known, self.waiting):
+        for state in (self.value, self.runs, self.links, *self.maps.values()):
             state.clear()
         yield from ()
 
     def _follow(self, s: dict, fresh: list[tuple[int, dict]]) -> None:
         """Folds new rows that continue the session; else compares the plan with what was folded."""
-        straight = []
+        straight, tree = [], []
         for ord_, row in fresh:
             uuid, parent = row.get("uuid"), row.get("parent")
             if uuid is None:
@@ -171,15 +214,18 @@ class Sequencer(_Timed):
             s["roots"] += not known
             s["tree"], s["latest"] = True, uuid
             self.uuids.updateValue((uuid,), (ord_,))
-            self.links.updateValue((ord_,), (uuid, parent))
+            tree.append((ord_, uuid, parent))
             straight.append((ord_, row, s["roots"]))
+        for i in range(0, len(tree), RUN_ROWS):
+            part = tree[i : i + RUN_ROWS]
+            self.links.updateValue((part[0][0],), tuple(list(x) for x in zip(*part, strict=True)))
         if s["linear"]:
             for ord_, row, root in straight:
                 self._fold(s, ord_, row, root, False)
             return
         if not fresh:
             return
-        links = sorted((k[0], v[0], v[1]) for k, v in self.links.iterator())
+        links = sorted((x for _, v in self.links.iterator() for x in zip(*v, strict=True)), key=lambda x: x[0])
         plan, done = replay_plan(links), s["folded"]
         mark = 0
         for ord_, _ in plan[:done]:
@@ -193,7 +239,7 @@ class Sequencer(_Timed):
             self._emit(s, kind="rewind")
             done = 0
         for ord_, root in plan[done:]:
-            self._fold(s, ord_, json.loads(self.rows.getValue((ord_,))[0]), root, ord_ < again)
+            self._fold(s, ord_, self._row(ord_), root, ord_ < again)
 
     def _emit(self, s: dict, **row) -> None:
         if s["parts"] and row["kind"] in ("tool", "call"):  # a root parts segments at its first event
@@ -279,15 +325,21 @@ class Ledger(_Timed):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("session", LEDGER)
-        self.lines = handle.getMapState("lines", "path string, epoch long, line long", "tokens double")
-        self.paths = handle.getMapState("paths", "path string", "epoch long, lines double, edits double, overhead double, total double")
-        self.grown = handle.getMapState("grown", "path string", "tokens double")
+        self.maps = {
+            "lines": handle.getMapState("lines", "path string, epoch long, line long", "tokens double"),
+            "paths": handle.getMapState("paths", "path string", "epoch long, lines double, edits double, overhead double, total double"),
+            "grown": handle.getMapState("grown", "path string", "tokens double"),
+        }
+
+    def _hold(self, empty: bool) -> None:
+        self.lines, self.paths, self.grown = (Held(m, empty) for m in self.maps.values())
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
         held = self.value.get()
         s = dict(zip(_LEDGER, held, strict=True)) if held else _new_segment() | {"segment": 0, "rewinds": 0, "lifetime": 0, "applied": -1, "last_seq": 0}
         self.out: list[dict] = []
         self.session = key[0]
+        self._hold(not held)
         for row in sorted(rows, key=lambda r: r.at):
             if row.kind == "tool":
                 self._write(s, row.writes or [])
@@ -300,6 +352,8 @@ class Ledger(_Timed):
                 s["rewinds"] = row.rewinds
                 if row.kind == "rewind":
                     self.out.append({"session_id": self.session, "kind": "rewind", "at": row.at, "rewinds": row.rewinds})
+        for state in (self.lines, self.paths, self.grown):
+            state.flush()
         self.value.update(tuple(s[c] for c in _LEDGER))
         self.touch(timer_values)
         yield from emitted(self.out, _names(CALL))
@@ -307,9 +361,11 @@ class Ledger(_Timed):
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
         held = self.value.get()
         self.out, self.session = [], key[0]
+        self._hold(False)
         if held:
             self._end(dict(zip(_LEDGER, held, strict=True)), None)
-        self.value.clear()
+        for state in (self.value, *self.maps.values()):
+            state.clear()
         yield from emitted(self.out, _names(CALL))
 
     def _end(self, s: dict, at: int | None, closed: bool = True) -> None:

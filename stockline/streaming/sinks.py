@@ -88,8 +88,12 @@ class LiveTables:
         rows = rows.persist()
         try:
             write_batch(rows.where("kind = 'rewind'").select(*self.mark.names), batch, f"{self.folder}/rewinds")
-            done = complete_segments(self.table("steps"), self.table("profiles"), batch)
-            steps = rows.where("kind = 'call'").select(*self.step.names).join(done, [*SEGMENT, "rewinds"], "left_anti").select(*self.step.names)
+            key, steps = [*SEGMENT, "rewinds"], rows.where("kind = 'call'").select(*self.step.names)
+            # few segments get steps after their profile, so the steps of earlier batches are read for those segments alone
+            late = self.table("profiles").where(F.col("batch") < batch).join(steps.select(*key).distinct(), key, "left_semi")
+            if not late.isEmpty():
+                done = complete_segments(self.table("steps"), late, batch)
+                steps = steps.join(done, key, "left_anti").select(*self.step.names)
             write_batch(steps, batch, f"{self.folder}/steps", (*STEP, "rewinds"))
             write_batch(rows.where("kind = 'path'").select(*self.path.names), batch, f"{self.folder}/paths", (*SEGMENT, "rewinds", "path"))
             closed = rows.where("kind = 'closed'").select(*PROFILE, "at", "rewinds", F.lit("live").alias("archive_source"), F.lit(PRIORITY["live"]).alias("archive_priority"))
