@@ -16,9 +16,10 @@ in a document of smaller doc_id, or earlier in the same document.
    bucket. A task takes as many buckets as fit in a block and sorts their
    suffixes, by distance from the anchor and by the first 31 and the last 31
    bytes, eight bytes at a time. Suffixes that still tie are compared by ranks:
-   the 69-byte strings at the positions of a difference cover modulo 31 are ranked once
-   for the block, and any two suffixes have a common offset below 31 at which both
-   are in the cover. Memory depends on the block, not on the corpus.
+   the 69-byte strings at the positions of a difference cover modulo 31 are ranked
+   together, and any two suffixes have a common offset below 31 at which both
+   are in the cover. Suffixes at different distances never tie, so the block's suffixes are
+   sorted a few distances at a time. Memory depends on the block, not on the corpus.
 4. *Removal*. Spans meet their document by one shuffle of the texts, used twice.
 
 Anchors that are very frequent (estimated on a sample, which affects the route and not
@@ -56,8 +57,8 @@ RUN = LENGTH - GRAM + 1
 COVER_PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 #: Length of the cover's strings: with the first and last 31 bytes they cover 100 bytes from any offset below 31.
 COVER_LENGTH = LENGTH - COVER_PERIOD
-#: Bytes of suffix buckets that are sorted at once.
-BLOCK_BYTES = 1 << 18
+#: Bytes of suffix buckets that are held at once, and suffixes of them that are sorted at once (but for those of one distance).
+BLOCK_BYTES, SORT_SUFFIXES = 1 << 18, 1 << 16
 #: An anchor with more rows than this is taken window by window. The list of such anchors is sent to tasks; where it would pass
 #: MOST_HOT (64 MB), the rarest of them stay buckets of their own.
 HOT_ROWS, HOT_SAMPLE, MOST_HOT = 2_500, 1 / 64, 1 << 23
@@ -230,9 +231,39 @@ def _sort_block(text, bucket, begin, doc, at):
 
     text: all bytes of the block; run i covers text[begin[i]:begin[i + 1]].
     """
-    count = (at >> 7 & 127) + 1
-    owner = np.repeat(np.arange(len(count)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    count, farthest = (at >> 7 & 127) + 1, at & 127
+    found = []
+    for near, far in _distances(farthest - count + 1, farthest):
+        # the windows of each run that are so far from its anchor
+        first, stop = np.maximum(farthest - far, 0), np.minimum(farthest - near + 1, count)
+        size = np.maximum(stop - first, 0)
+        owner = np.repeat(np.arange(len(count)), size)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[owner]
+        again = _earlier_too(text, bucket, begin, doc, at, owner, step)
+        found.append((owner[again] << 7) | step[again])
+    again = np.sort(np.concatenate(found))
+    owner, step = again >> 7, again & 127
+    if not len(again):
+        return owner, step, step
+    cut = np.flatnonzero((np.diff(step) != 1) | (np.diff(owner) != 0)) + 1
+    first, last = np.r_[0, cut], np.r_[cut - 1, len(again) - 1]
+    return owner[first], step[first], step[last]
+
+
+def _distances(nearest: np.ndarray, farthest: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges (nearest, farthest) of distances that cover those of all runs, each with at most SORT_SUFFIXES suffixes or of one distance."""
+    count = np.cumsum(np.bincount(nearest, minlength=129) - np.bincount(farthest + 1, minlength=129)).tolist()
+    begin, size = 0, 0
+    for distance, n in enumerate(count):
+        if size and size + n > SORT_SUFFIXES:
+            yield begin, distance - 1
+            begin, size = distance, 0
+        size += n
+    yield begin, len(count) - 1
+
+
+def _earlier_too(text, bucket, begin, doc, at, owner, step):
+    """Which of the suffixes (owner: run, step: place in the run) also start earlier."""
     place = begin[:-1][owner] + step
     distance = (at & 127)[owner] - step
     rank = _refine(bucket[owner], distance)
@@ -244,7 +275,7 @@ def _sort_block(text, bucket, begin, doc, at):
         keep = _tied(rank)
         live, rank = live[keep], rank[keep]
         if not len(live):
-            return (np.zeros(0, np.int64),) * 3
+            return live
     # ranks of the cover's strings that the tied suffixes need
     samples = place[live][:, None] + (COVER[None, :] - place[live][:, None]) % COVER_PERIOD
     used, which = np.unique(samples, return_inverse=True)
@@ -264,13 +295,7 @@ def _sort_block(text, bucket, begin, doc, at):
     least = np.full(key.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, key, np.repeat(order, len(COVER)))
     earliest = least[key].reshape(samples.shape).min(axis=1)
-    again = live[earliest < order]
-    if not len(again):
-        return again, again, again
-    again.sort()
-    cut = np.flatnonzero((np.diff(again) != 1) | (np.diff(owner[again]) != 0)) + 1
-    first, last = again[np.r_[0, cut]], again[np.r_[cut - 1, len(again) - 1]]
-    return owner[first], step[first], step[last]
+    return live[earliest < order]
 
 
 def _bucket_sort(batches):

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -86,6 +89,35 @@ def test_small_blocks(monkeypatch):
     assert results[0] == results[1] and results[0]
 
 
+def near_copies(n):
+    """A bucket of n runs of 168 bytes: copies, every other with a byte of its own."""
+    rng = random.Random(n)
+    base = bytes(rng.randrange(97, 122) for _ in range(168))
+    parts = [base[:k] + bytes([65 + i % 26]) + base[k + 1 :] if i % 2 else base for i, k in ((i, rng.randrange(168)) for i in range(n))]
+    at = [5 << 14 | 68 << 7 | 68] * n
+    return pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array(range(n)), pa.array([0] * n), pa.array(at), pa.array(parts)], ["h", "doc", "print", "at", "part"])
+
+
+def test_large_bucket(monkeypatch):
+    """A bucket just below a frequent anchor's is sorted a few distances at a time, with the same spans."""
+    batch = near_copies(4000)
+    sort = lambda: sorted(x for b in S._bucket_sort([batch.slice(i, 1000) for i in range(0, 4000, 1000)]) for x in zip(*b.to_pydict().values(), strict=True))
+    tracemalloc.start()
+    found = sort()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    seen, want = set(), []
+    for doc, part in enumerate(batch.column(4).to_pylist()):
+        windows = [part[k : k + S.LENGTH] for k in range(69)]
+        again = [k for k in range(69) if (k, windows[k]) in seen]
+        seen.update(enumerate(windows))
+        want += [(doc, 0, 5 + k, 5 + next(m for m in range(k, 69) if m + 1 not in again) + S.LENGTH) for k in again if k - 1 not in again]
+    assert found == sorted(want)
+    monkeypatch.setattr(S, "SORT_SUFFIXES", 1)
+    assert sort() == found
+
+
 def test_long_text_is_cut_in_pieces(spark, monkeypatch):
     rng = random.Random(5)
     part = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
