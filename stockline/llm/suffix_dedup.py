@@ -341,7 +341,8 @@ def _cut_runs(at_text: int):
             view = memoryview(np.ascontiguousarray(data))
             for i in range(0, len(h), SEND_ROWS):
                 s = slice(i, i + SEND_ROWS)
-                part = pa.array([view[a:b] for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
+                # pyarrow never lets go of a memoryview, which would keep all texts of the task
+                part = pa.array([bytes(view[a:b]) for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(doc[row[s]]), pa.array(print_[row[s]]), pa.array(at[s]), part], ["h", "doc", "print", "at", "part"])
 
     return run

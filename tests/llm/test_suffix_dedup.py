@@ -118,6 +118,21 @@ def test_large_bucket(monkeypatch):
     assert sort() == found
 
 
+def test_texts_are_let_go():
+    """Cutting runs leaves none of a batch's memory behind."""
+    text, runs = ["abcdefghij" * 40] * 100, [[{"h": 1, "at": 30 << 7 | 30}]] * 100
+
+    def batches():
+        for _ in range(5):
+            row = pa.StructArray.from_arrays([pa.array(range(100)), pa.array(text)], ["doc_id", "text"])
+            listed = pa.array(runs, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([row, pa.array(range(100)), pa.array([0] * 100), listed], ["row", "doc", "print", "runs"])
+
+    before = pa.total_allocated_bytes()
+    assert [b.num_rows for b in S._cut_runs(1)(batches())] == [100] * 5
+    assert pa.total_allocated_bytes() - before < 40_000
+
+
 def test_long_text_is_cut_in_pieces(spark, monkeypatch):
     rng = random.Random(5)
     part = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
