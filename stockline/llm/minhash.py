@@ -10,8 +10,8 @@ r"""Operator 4: near duplicates by fast similarity sketching, banding and exact
    with probability 1e-8, at 0.8 with 4e-6.
 4. Links are confirmed on the full sets. Each member of a bucket is compared with the bucket's centre, the member
    that meets most others. Where members of a centre are then in several components, those outside the largest one look for
-   partners by the prefix filter (``_candidates``), which loses no similar pair: both members of a bucket have its centre,
-   so a common order of their shingles. Pairs inside a component are never made, so a group of n copies
+   partners by a prefix filter on their differences from the centre (``_candidates``), which loses no similar pair and meets no
+   pair in what it shares with the centre. Pairs inside a component are never made, so a group of n copies
    gives about n pairs, and no link between components is lost.
 5. Components: least label over links with pointer jumping; each step is cut by a checkpoint. A component's id is its least doc_id.
 
@@ -142,25 +142,33 @@ def _confirmed(percent: int):
 
 
 def _compared(percent: int):
-    """Batches (centre, member, their sets) to: n, whether they are similar, and the member's prefix.
+    """Batches (centre, member, their sets) to: n, d, whether they are similar, and the member's prefix.
 
-    The prefix is the first n - ceil(percent n / 100) + 1 shingles of the member, those that the centre lacks before those that it has.
+    d shingles are in one of the two sets: those that the centre lacks, then those that the member lacks. With e = (100 + percent) d -
+    (100 - percent) (sum of both sizes), above 0 if they aren't similar, a member of another component that is similar to this one
+    has e / 200 of these in common with it at least, so the prefix ends where fewer are left.
     """
 
     def run(batches):
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
-            size, similar, prefixes = [], [], []
+            size, different, similar, prefixes = [], [], [], []
             for i in range(batch.num_rows):
                 c, x = (np.frombuffer(k[i].as_buffer(), np.uint64) for k in (left, right))
-                there = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x
+                at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+                there = c[at] == x
+                lacks = np.ones(len(c), bool)
+                lacks[at[there]] = False
+                both = np.concatenate((x[~there], c[lacks]))
                 size.append(len(x))
+                different.append(len(both))
                 similar.append(_similar(int(there.sum()), len(c), len(x), percent))
-                prefixes.append(np.concatenate((x[~there], x[there]))[: len(x) - (percent * len(x) + 99) // 100 + 1].view(np.int64))
+                beyond = (100 + percent) * len(both) - (100 - percent) * (len(c) + len(x))
+                prefixes.append(both[: (200 * len(both) - max(beyond, 0)) // 200 + 1].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "similar", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(different, pa.int64()), pa.array(similar, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "d", "similar", "prefix"])
 
     return run
 
@@ -189,22 +197,26 @@ def components(links: DataFrame) -> DataFrame:
 def _candidates(starred: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that have a centre in common and can be similar.
 
-    With a common order of shingles, similar sets share a shingle of their prefixes, and at their first common one, at places i
-    and j, min(n - i, m - j) is at least the overlap that similarity asks for. The order puts what the
-    centre lacks first, so members of a group of copies don't meet in what all of them have. Only members outside
-    the largest component of their centre look for partners.
+    The differences of two sets from their centre, d and e shingles with k in common, tell how far they differ from one another: by d + e - 2 k
+    shingles. So n and m shingles are similar where 2 (100 + percent) k >= (100 + percent) (d + e) - (100 - percent) (n + m). The right
+    side is above 0 unless both are similar to the centre, and then they are in one component. At their first common shingle, at places i and j of a
+    common order, k is at most min(d - i, e - j), and after the last one that is met at most as many are left. Members of a group of copies
+    don't meet in what all of them have. Only members outside the largest component of their centre look for partners.
     """
     placed = starred.join(labels.select(F.col("doc").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    several = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("a", "least")
-    placed = cut_lineage(placed.join(several, "a").select("a", "b", "n", "label", "least", "prefix"))
+    several = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("a")
+    placed = cut_lineage(placed.join(several, "a").select("a", "b", "n", "d", "label", "prefix"))
     parts = placed.groupBy("a", "label").agg(F.count("*").alias("size"))
     largest = parts.groupBy("a").agg(F.max(F.struct("size", "label")).alias("top")).select("a", F.col("top.label").alias("top"))
-    reach = lambda n, i, m: (100 + percent) * (n - i) >= percent * (n + m)
-    x = placed.join(largest, "a").where("label <> top").select("a", F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "least", F.posexplode("prefix").alias("x_i", "shingle"))
-    x = x.where(reach(F.col("x_n"), F.col("x_i"), F.greatest(F.col("least"), F.floor(percent * F.col("x_n") / 100))))
-    y = placed.select("a", F.col("b").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.posexplode("prefix").alias("y_i", "shingle"))
-    met = x.join(y, ["a", "shingle"]).where((F.col("x_label") != F.col("y_label")) & reach(F.col("x_n"), F.col("x_i"), F.col("y_n")) & reach(F.col("y_n"), F.col("y_i"), F.col("x_n")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda rows, v: rows.select("a", F.col("b").alias(v), F.col("n").alias(f"{v}_n"), F.col("d").alias(f"{v}_d"), F.col("label").alias(f"{v}_label"), F.posexplode("prefix").alias(f"{v}_i", "shingle"))
+    x, y = side(placed.join(largest, "a").where("label <> top"), "x"), side(placed, "y")
+    enough = lambda k, x_n, x_d, y_n, y_d: 2 * (100 + percent) * k >= (100 + percent) * (x_d + y_d) - (100 - percent) * (x_n + y_n)
+    sizes = ["x_n", "x_d", "y_n", "y_d"]
+    left = lambda i, j: F.least(F.col("x_d") - F.col(i), F.col("y_d") - F.col(j))
+    met = x.join(y, ["a", "shingle"]).where((F.col("x_label") != F.col("y_label")) & enough(left("x_i", "y_i"), *map(F.col, sizes)))
+    pairs = met.groupBy("a", "x", "y", *sizes).agg(F.count("*").alias("k"), F.max("x_i").alias("i"), F.max("y_i").alias("j"))
+    pairs = pairs.where(enough(F.col("k") + left("i", "j") - 1, *map(F.col, sizes)))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -227,7 +239,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
     # rows equal in doc and print are one text
     found = texts.join(involved, ["doc", "print"]).groupBy("doc", "print", "node").agg(F.first("text").alias("text"))
     sets = cut_lineage(found.select("node", "text").mapInArrow(_full_sets(shingle), "doc long, shingles binary").where("shingles is not null"))
-    starred = cut_lineage(_with_sets(pairs, sets).mapInArrow(_compared(percent), "a long, b long, n long, similar boolean, prefix array<long>"))
+    starred = cut_lineage(_with_sets(pairs, sets).mapInArrow(_compared(percent), "a long, b long, n long, d long, similar boolean, prefix array<long>"))
     links = starred.where("similar").select("a", "b")
     labels = components(links)
     more = cut_lineage(_candidates(starred, labels, percent))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,25 @@ def test_group_of_edited_copies_gives_few_pairs(spark):
     assert seen[0] < 5000  # of 44,850
 
 
+def test_members_unlike_their_centre_meet_seldom(spark):
+    """Members that lack different shingles of their centre don't meet in what all of them have; similar ones do."""
+    rng = np.random.default_rng(3)
+    centre = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    new = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    members = [np.sort(np.concatenate((rng.permutation(centre)[38:], new(28)))) for _ in range(100)]
+    members += [np.sort(np.concatenate((rng.permutation(m)[10:], new(6)))) for m in members[:10]]
+    raw = pa.array([x.tobytes() for x in members])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 110), pa.array(range(1, 111)), pa.array([centre.tobytes()] * 110), raw], ["a", "b", "sa", "sb"])
+    compared = next(M._compared(85)([batch]))
+    assert not any(compared.column(compared.schema.get_field_index("similar")).to_pylist())
+    starred = spark.createDataFrame(pa.Table.from_batches([compared]))
+    got = {tuple(r) for r in M._candidates(starred, spark.createDataFrame([], "doc long, label long"), 85).collect()}
+    sets = [set(x.tolist()) for x in members]
+    similar = {(i + 1, j + 1) for i in range(110) for j in range(i + 1, 110) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert len(similar) >= 10 and similar <= got
+    assert len(got) < 2000  # of 5,995
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     common, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
