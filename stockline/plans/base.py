@@ -25,6 +25,10 @@ def touches(spark: SparkSession, sf: str) -> DataFrame:
     return T.touch_view(T.read(spark, sf, "lineitem"))
 
 
+def paths_of(spark: SparkSession, sf: str) -> DataFrame:
+    return T.path_view(T.read(spark, sf, "lineitem"))
+
+
 def dealt(spark: SparkSession, sf: str, rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of touches dealt by keys to as many tasks as the touches have, so that a task holds few of the 200 sessions."""
     return rows.repartition(T.tasks_for(T.read(spark, sf, "lineitem"), T.TOUCH_ROWS), *keys)

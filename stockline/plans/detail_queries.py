@@ -10,7 +10,7 @@ from stockline.functions import text as X
 from stockline.operators import billing, calls, corpus, handoff, ledger, profiles, tools, tree
 from stockline.sources import tables as T
 
-from .base import analysed, dealt, metered, positioned, r6, round_sql, touches, usage, with_calls, with_meter, with_positions, with_touches, with_usage
+from .base import analysed, dealt, metered, paths_of, positioned, r6, round_sql, touches, usage, with_calls, with_meter, with_positions, with_touches, with_usage
 from .table_queries import HANDOFF_SQL, LJUNG_SQL, _handoffs, _loads
 from .tree_queries import TREE_SQL, _entries
 
@@ -39,7 +39,7 @@ def ignore_rules(spark, sf):
     rules = nation.select(F.concat(F.lit("/f"), F.col("n_nationkey").cast("string"), F.lit("[.]js$")).alias("pattern"), (F.col("n_nationkey") + 10).cast("long").alias("priority"), (F.col("n_nationkey") % 2 == 0).alias("negated")).unionByName(
         region.select(F.concat(F.lit("^/repo/[an]/"), F.col("r_regionkey").cast("string"), F.lit("/")).alias("pattern"), F.col("r_regionkey").cast("long").alias("priority"), F.lit(False).alias("negated"))
     )
-    return handoff.apply_ignore_rules(touches(spark, sf), rules)
+    return handoff.apply_ignore_rules(paths_of(spark, sf), rules)
 
 
 IGNORE_SQL = with_touches(""", p AS (SELECT DISTINCT path FROM touch_v),
@@ -122,7 +122,7 @@ LEDGER_ERRORS_SQL = with_meter("""SELECT session_id, ord, concat_ws(',', CASE WH
 
 def session_names(spark, sf):
     """Session ids and transcript files from paths: names, names with folders and with two dots, files of sub-agents."""
-    p = touches(spark, sf).select("path").distinct()
+    p = paths_of(spark, sf).select("path").distinct()
     n, name = F.length("path") % 3, F.regexp_extract("path", "[^/]+$", 0)
     id_ = F.when(n == 0, name).when(n == 1, F.col("path")).otherwise(F.concat(F.lit("s.."), name))
     file = F.when(n == 1, F.concat(F.col("path"), F.lit("/subagents/agent.jsonl"))).otherwise(F.concat(F.col("path"), F.lit(".jsonl")))
@@ -301,7 +301,7 @@ BIGRAMS_SQL = f"""SELECT doc_id, len(g) AS n, md5(array_to_string(g, ' ')) AS bi
 
 def kept_projection(spark, sf):
     """Kept entries in both shapes, and broken ones, with fields that the answer doesn't have."""
-    p = touches(spark, sf).select("path").distinct()
+    p = paths_of(spark, sf).select("path").distinct()
     n = F.length("path")
     entry = F.concat(F.lit('{"path":"'), "path", F.lit('","note":"x","lines":[['), n.cast("string"), F.lit(",99]]}"))
     raw = F.when(n % 3 == 0, F.concat(F.lit("["), entry, F.lit("]"))).when(n % 3 == 1, F.concat(F.lit('{"paths":['), entry, F.lit('],"skills":["s"]}'))).otherwise("[{")

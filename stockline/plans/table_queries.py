@@ -8,7 +8,7 @@ from stockline.functions import text as X
 from stockline.operators import calls, corpus, handoff, ledger, profiles
 from stockline.sources import tables as T
 
-from .base import JUMPS_SQL, analysed, positioned, r6, round_sql, touches, usage, with_calls, with_positions, with_touches, with_usage
+from .base import JUMPS_SQL, analysed, paths_of, positioned, r6, round_sql, touches, usage, with_calls, with_positions, with_touches, with_usage
 from .call_queries import _recon
 from .ledger_queries import SNAPSHOT_SQL
 
@@ -64,7 +64,7 @@ def _loads(spark, sf):
 
 def _kept(spark, sf):
     """All paths, some by their last part only."""
-    paths = touches(spark, sf).select("session_id", "path").distinct()
+    paths = paths_of(spark, sf)
     n = F.length("path") + F.col("session_id")
     name = F.when(n % 3 == 0, F.regexp_extract("path", "[^/]+$", 0)).when(n % 3 == 1, F.regexp_extract("path", "[^/]+/[^/]+$", 0)).otherwise(F.col("path"))
     return paths.select("session_id", name.alias("path")).distinct()
@@ -108,7 +108,7 @@ def tokens(spark, sf):
 
 
 def paths(spark, sf):
-    t = touches(spark, sf).select("path").distinct()
+    t = paths_of(spark, sf).select("path").distinct()
     raw = F.concat(F.substring("path", 2, 100), F.lit("/../x/./y.js"))
     k = X.keep_path("path", F.lit("/repo"))
     return t.select("path", X.canonical_path(raw, F.lit("/a/b")).alias("canonical"), k["path"].alias("kept"), k["invalid"].alias("invalid"), k["external"].alias("external"), X.discard_reason("path", F.lit("/repo/a"), F.col("path").endswith("5.js")).alias("discard"))

@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,19 @@ CHUNK_KEYS = 12_800
 TOUCH_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_returnflag", "l_quantity")
 
 
+def _session() -> Column:
+    return F.col("l_orderkey") % 200
+
+
+def _path() -> Column:
+    return F.concat(F.lit("/repo/"), F.lower("l_returnflag"), F.lit("/"), (F.col("l_suppkey") % 7).cast("string"), F.lit("/f"), (F.col("l_partkey") % 40).cast("string"), F.lit(".js"))
+
+
+def path_view(lineitem: DataFrame) -> DataFrame:
+    """Sessions and paths of the touches, once each: they need no order, so tasks group their rows before a shuffle."""
+    return lineitem.select(_session().alias("session_id"), _path().alias("path")).distinct()
+
+
 def touch_view(lineitem: DataFrame) -> DataFrame:
     """File touches for the path ledger, churn and directory roll-up.
 
@@ -75,16 +88,16 @@ def touch_view(lineitem: DataFrame) -> DataFrame:
     """
     keys, parts = ["_session", "_chunk"], tasks_for(lineitem, TOUCH_ROWS)
     # no remainder is -200: it stands for null, so that rows without a key meet their counts too
-    rows = lineitem.withColumn("_session", F.coalesce(F.col("l_orderkey") % 200, F.lit(-200))).withColumn("_chunk", F.coalesce(F.floor(F.col("l_orderkey") / CHUNK_KEYS), F.lit(0)))
+    rows = lineitem.withColumn("_session", F.coalesce(_session(), F.lit(-200))).withColumn("_chunk", F.coalesce(F.floor(F.col("l_orderkey") / CHUNK_KEYS), F.lit(0)))
     earlier = Window.partitionBy("_session").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    counts = rows.groupBy(*keys).count().select(*keys, F.sum("count").over(earlier).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = rows.select(*keys, *TOUCH_COLUMNS).repartition(parts, *keys)
-    rows = rows.withColumn("_row", F.row_number().over(inside)).join(counts, keys)
+    # all rows have counts, but a left join is left out where nobody reads ord; it would have dealt the rows by the session's number of partitions
+    rows = rows.withColumn("_row", F.row_number().over(inside)).join(counts, keys, "left")
     op = F.when(F.col("l_linestatus") == "O", "lineUpdate").otherwise(F.when(F.col("l_linenumber") % 3 == 0, "fullSet").when(F.col("l_linenumber") % 3 == 1, "write").otherwise("editDelta"))
     touches = rows.select(
-        (F.col("l_orderkey") % 200).alias("session_id"), (F.col("_before") + F.col("_row")).cast("long").alias("ord"),
-        F.concat(F.lit("/repo/"), F.lower("l_returnflag"), F.lit("/"), (F.col("l_suppkey") % 7).cast("string"), F.lit("/f"), (F.col("l_partkey") % 40).cast("string"), F.lit(".js")).alias("path"),
+        _session().alias("session_id"), (F.coalesce("_before", F.lit(0)) + F.col("_row")).cast("long").alias("ord"), _path().alias("path"),
         op.alias("op"), F.col("l_quantity").cast("long").alias("line_no"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("tokens"),
     )
     return touches.repartition(parts, "session_id", "path")

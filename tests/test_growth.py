@@ -59,6 +59,30 @@ def test_touches_are_dealt_by_more_than_the_session(spark, sf_dir, monkeypatch):
     assert got.where("session_id IS NULL").agg(F.min("ord") == 1, F.max("ord") == F.count("*")).first() == (True, True)
 
 
+def test_touches_without_an_order_meet_no_counts(spark, sf_dir, monkeypatch):
+    """A join with the counts of chunks would deal all rows by spark.sql.shuffle.partitions, whatever the rows of a task should be."""
+    from stockline.plans import table_queries
+    from stockline.sources import tables
+
+    monkeypatch.setattr(tables, "TOUCH_ROWS", 500)
+    lineitem = tables.read(spark, sf_dir, "lineitem")
+    touches = tables.touch_view(lineitem)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Join" in _plan(touches)
+        assert "Join" not in _plan(touches.select("session_id", "path", "line_no").distinct())
+        assert "Join" not in _plan(table_queries._kept(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    keys = ["session_id", "path"]
+    # rows without a key or a flag have their paths, too
+    odd = lineitem.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 50 != 7, F.col("l_orderkey"))).withColumn("l_returnflag", F.when(F.col("l_partkey") % 9 != 2, F.col("l_returnflag")))
+    got, want = tables.path_view(odd), tables.touch_view(odd).where("ord > 0").select(keys).distinct()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert got.where("session_id IS NULL").count() > 1 and got.where("path IS NULL").count() > 1
+
+
 def test_usage_is_dealt_in_tasks_of_few_rows(spark, sf_dir, monkeypatch):
     from stockline.sources import tables
 
