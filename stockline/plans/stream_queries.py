@@ -26,10 +26,16 @@ def _folder(spark) -> str:
     return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
 
+#: Rows of a micro-batch: each batch loads and commits every store of the state, so their number must not grow with small files.
+BATCH_ROWS = 4_000_000
+
+
 def _streamed(spark, rows, folder: str):
-    """A table as a stream of its files, a few in a micro-batch."""
+    """A table as a stream of its files, about BATCH_ROWS rows in a micro-batch and 8 files at least."""
     rows.write.parquet(f"{folder}/in")
-    return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    written = spark.read.parquet(f"{folder}/in")
+    each = written.count() / max(1, len(written.inputFiles()))
+    return spark.readStream.schema(written.schema).option("maxFilesPerTrigger", max(8, int(BATCH_ROWS / max(1, each)))).parquet(f"{folder}/in")
 
 
 def _run(stream, write, folder: str) -> None:
@@ -82,8 +88,8 @@ def _usage_lines(spark, sf):
 def live_profiles(spark, sf):
     """Profiles of closed segments, from the tables that a stream of transcript lines fills batch by batch; as the batch profiles give them."""
     folder = _folder(spark)
-    stream = live.live_replay(_streamed(spark, _usage_lines(spark, sf), folder), *_rates(), timeout=False)
-    tables = sinks.LiveTables(spark, f"{folder}/tables", stream.schema)
+    stream = live.live_packs(_streamed(spark, _usage_lines(spark, sf), folder), *_rates(), timeout=False)
+    tables = sinks.LiveTables(spark, f"{folder}/tables", fold.unpacked(stream, live.CALL.format("long")).schema)
     _run(stream, tables.write, folder)
     return r6(tables.profiles().drop("batch", "at", "rewinds", "archive_source", "archive_priority"), *PROFILE_ROUNDED)
 

@@ -94,19 +94,28 @@ def is_turn_boundary() -> Column:
     return F.coalesce((F.col("type") == "user") & ~F.col("is_sidechain") & ~F.col("is_meta") & content.isNotNull() & (text | (F.ltrim(content).startswith("[") & ~results)), F.lit(False))
 
 
-def usage_fields() -> dict[str, Column]:
-    """cr, cc, inp, outp of an entry, ``_used`` if it is a usage row that counts and ``_turn`` if it is a human's."""
+def counters() -> dict[str, Column]:
+    """cr, cc, inp and outp of an entry."""
     u = F.col("usage")
-    null_field = F.lit(False)
-    for name in USAGE_FIELDS:
-        null_field = null_field | u.rlike(rf'"{name}"\s*:\s*null')
     number = lambda name: F.coalesce(F.get_json_object(u, f"$.{name}").cast("long"), F.lit(0))
     parts = F.get_json_object(u, "$.cache_creation")
     creation = F.when(F.ltrim(parts).startswith("{"), number("cache_creation.ephemeral_5m_input_tokens") + number("cache_creation.ephemeral_1h_input_tokens")).otherwise(number("cache_creation_input_tokens"))
-    counters = {"cr": number("cache_read_input_tokens"), "cc": creation, "inp": number("input_tokens"), "outp": number("output_tokens")}
+    return {"cr": number("cache_read_input_tokens"), "cc": creation, "inp": number("input_tokens"), "outp": number("output_tokens")}
+
+
+def is_used(counters: dict[str, Column]) -> Column:
+    """A usage row that counts, with these counters."""
+    u = F.col("usage")
+    null_field = F.lit(False)
+    for name in USAGE_FIELDS:
+        null_field = null_field | u.rlike(rf'"{name}"\s*:\s*null')
     own = (F.col("type") == "assistant") & u.isNotNull() & F.ltrim(u).startswith("{") & ~null_field
-    used = F.coalesce(own, F.lit(False)) & (F.col("model") != "<synthetic>") & (counters["cr"] + counters["cc"] + counters["inp"] + counters["outp"] > 0)
-    return counters | {"_used": used, "_turn": is_turn_boundary()}
+    return F.coalesce(own, F.lit(False)) & (F.col("model") != "<synthetic>") & (counters["cr"] + counters["cc"] + counters["inp"] + counters["outp"] > 0)
+
+
+def usage_fields() -> dict[str, Column]:
+    """cr, cc, inp, outp of an entry, ``_used`` if it is a usage row that counts and ``_turn`` if it is a human's."""
+    return counters() | {"_used": is_used(counters()), "_turn": is_turn_boundary()}
 
 
 def extract_usage(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ order of ord, in micro-batches of any size. The values of a call are those of th
 from __future__ import annotations
 
 import functools
+import json
 import math
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stockline.functions import text as X
 from stockline.functions.economics import BR_AMBER
 from stockline.functions.models import COST_RATIOS, DEFAULT_COST_RATIO
 from stockline.operators.calls import EMA_ALPHA, EMA_FLOOR, EMA_SEED, MISS_DROP, STOCK_EPSILON
@@ -36,7 +38,10 @@ STATE = (
     "bills double, laps long, turn0 long, amber long, ts0 long, ts1 long, read long, out long, model string, r double, mf double, pp double, br double, pp_peak double, br_peak double, g_min double, recent map<string,long>, spilled boolean"
 )
 #: Keys of a session's map that stay in its value.
-FEW = 64
+FEW = 128
+#: Rows of a pack at most, and a processor's output of packs.
+PACK = 256
+PACKED = "session_id {0}, kind string, n int, pack string"
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 IDLE_MS = 7 * 24 * 3600 * 1000
 
@@ -155,7 +160,6 @@ def step(session: int, s: dict, row) -> list[dict]:
     return out
 
 
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 _STATE = [c.split()[0] for c in STATE.split(", ")]
 
 
@@ -164,11 +168,42 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(*STORE)
 
 
-def emitted(rows: Iterable[dict], columns: list[str] = _COLUMNS) -> Iterator[Row]:
+def emitted(rows: Iterable[dict], columns: list[str]) -> Iterator[Row]:
     row = Row(*columns)
     return (row(*(x.get(c) for c in columns)) for x in rows)
 
 
+def packs(rows: Iterable[dict]) -> Iterator[dict]:
+    """kind, number and columns (as JSON) of rows of one kind, up to PACK of them: to hand out each row by itself costs Python and Arrow many times a row's own work."""
+    alike: dict[tuple, list[dict]] = {}
+    for row in rows:
+        alike.setdefault((row["kind"], *row), []).append(row)
+    for (kind, *names), same in alike.items():
+        for i in range(0, len(same), PACK):
+            part = same[i : i + PACK]
+            columns = zip(*(row.values() for row in part), strict=True)
+            yield {"kind": kind, "n": len(part), "pack": json.dumps({c: values for c, values in zip(names, columns, strict=True) if c not in ("session_id", "kind")})}
+
+
+def rows_of(pack: str) -> Iterator[dict]:
+    columns = json.loads(pack)
+    return (dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True))
+
+
+def emitted_packs(session, rows: Iterable[dict]) -> Iterator[Row]:
+    return emitted(({"session_id": session, **pack} for pack in packs(rows)), ["session_id", "kind", "n", "pack"])
+
+
+def unpacked(packed: DataFrame, schema: str) -> DataFrame:
+    """Rows of ``packs``, with the columns of ``schema``: those that aren't in the packs are the packed rows' own."""
+    fields = [c.split(" ", 1) for c in schema.split(", ")]
+    told = [(name, kind) for name, kind in fields if name not in packed.columns]
+    columns = F.from_json("pack", ", ".join(f"{name} array<{kind}>" for name, kind in told))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    rows = X.let(columns, lambda p: F.transform(places, lambda i: F.struct(*[F.get(p[name], i).alias(name) for name, _ in told])))
+    return packed.select(*[name for name, _ in fields if name in packed.columns], F.inline(rows)).select(*[name for name, _ in fields])
+
+
 class Held:
     """A map in state while one session's rows of a batch are taken in: a key is read once at most, and ``flush`` writes each changed key once.
 
@@ -196,6 +231,8 @@ class Held:
 
     def iterator(self) -> Iterator[tuple[tuple, tuple]]:
         """Keys and values in the order of keys."""
+        if self.whole and not self.values:
+            return iter(())
         if not self.whole:
             self.values = {tuple(k): tuple(v) for k, v in self.state.iterator()} | self.values
             self.whole = True
@@ -203,7 +240,8 @@ class Held:
 
     def clear(self) -> None:
         self.cleared = self.stored
-        self.values, self.changed, self.whole = {}, {}, True
+        if self.values or not self.whole:
+            self.values, self.changed, self.whole = {}, {}, True
 
     def flush(self) -> None:
         if self.cleared:
@@ -294,13 +332,13 @@ class FoldProcessor(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield from emitted(out)
+        yield from emitted_packs(key[0], out)
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
         s = self._load()
         self.known.clear()
         self.value.clear()
-        yield from emitted([_closed(key[0], s)])
+        yield from emitted_packs(key[0], [_closed(key[0], s)])
 
     def close(self) -> None:
         pass
@@ -314,7 +352,8 @@ def stream_fold(usage: DataFrame, timeout: bool = True) -> DataFrame:
     use_rocksdb(usage.sparkSession)
     if "ts" in usage.columns:
         usage = usage.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).drop("ts")
-    return usage.groupBy("session_id").transformWithState(FoldProcessor(IDLE_MS if timeout else None), OUTPUT, "append", "processingTime" if timeout else "none")
+    packed = usage.groupBy("session_id").transformWithState(FoldProcessor(IDLE_MS if timeout else None), PACKED.format("long"), "append", "processingTime" if timeout else "none")
+    return unpacked(packed, OUTPUT)
 
 
 def closed_profiles(stream: DataFrame) -> DataFrame:

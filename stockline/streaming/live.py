@@ -25,6 +25,9 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -35,7 +38,7 @@ from stockline.operators.calls import EMA_ALPHA, EMA_FLOOR, EMA_SEED, MISS_DROP,
 from stockline.operators.ledger import CLEARS
 from stockline.sources import transcripts
 
-from .fold import BR_AMBER, IDLE_MS, Held, Recent, _closed, _ratio, emitted, metered, use_rocksdb
+from .fold import BR_AMBER, IDLE_MS, PACKED, Held, Recent, _closed, _ratio, emitted, emitted_packs, metered, packs, rows_of, unpacked, use_rocksdb
 
 MAX_TURNS = 2
 #: Lines, and characters, of a run of rows that is one value of the state.
@@ -44,6 +47,9 @@ EVENT = (
     "session_id {0}, kind string, at long, rewinds long, again boolean, ord long, segment long, boundary string, call_id string, folded_seq long, turn_seq long, miss boolean, l long, delta_l long, dead long, stock long, "
     "outp long, tokens long, model string, ms long, id string, name string, input string, cwd string, result_text string, turns long"
 )
+#: What the sequencer hands out: packs of its events; a tool event is a pack of its own, beside what its writes are told from.
+TOOL = ("name", "input", "cwd", "result_text")
+SENT = PACKED + ", name string, input string, cwd string, result_text string"
 CALL = (
     "session_id {0}, kind string, at long, rewinds long, ord long, segment long, call_id string, folded_seq long, turn_seq long, miss boolean, l long, dead long, tokens long, b double, deferred double, residual double, g double, burn double, "
     "cycles long, progress double, lifetime long, anchor boolean, deep_water boolean, gate_fires boolean, dw_bills double, laps long, backstop_fires boolean, n_calls long, l_peak long, "
@@ -63,12 +69,22 @@ def entry_rows(lines: DataFrame) -> DataFrame:
     part = lambda b: F.struct(
         F.coalesce(b["id"], b["tool_use_id"]).alias("id"), (b["type"] == "tool_use").alias("use"), b["name"].alias("name"), b["input"].alias("input"), X.result_text(b["content"]).alias("text"), b["is_error"].alias("bad")
     )
-    fields = transcripts.usage_fields()
-    entries = transcripts.parse_entries(lines, keep=True).withColumns({n: c for n, c in fields.items()})
+    # the counters are columns before what asks them, so a usage is read once
+    counters = transcripts.counters()
+    entries = transcripts.parse_entries(lines, keep=True).withColumns(counters).withColumns({"_used": transcripts.is_used({n: F.col(n) for n in counters}), "_turn": transcripts.is_turn_boundary()})
     row = F.to_json(F.struct("uuid", F.col("parent_uuid").alias("parent"), transcripts.fold_key().alias("call"), F.unix_millis("ts").alias("ms"), "cwd", "model", "cr", "cc", "inp", "outp", F.col("_used").alias("used"), F.col("_turn").alias("turn"), F.transform(blocks, part).alias("blocks")))
     return entries.select("session_id", "ord", F.when(F.col("type").isNotNull() & ~F.col("is_sidechain"), row).alias("row"))
 
 
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (session_id, ord, row) that follow one another in a session as one row of lists."""
+    for batch in batches:
+        ids = batch.column(0)
+        starts = np.flatnonzero(np.concatenate([[True], pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)])) if len(ids) else np.empty(0, int)
+        offsets = pa.array(np.append(starts, len(ids)), pa.int32())
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), *(pa.ListArray.from_arrays(offsets, batch.column(i)) for i in (1, 2))], ["session_id", "ords", "rows"])
+
+
 def replay_plan(links: list[tuple[int, str, str | None]]) -> list[tuple[int, int]]:
     """(line, number of its root) in replay order, of (line, uuid, parent) in order of lines: as ``tree.replay_plan``."""
     place = {uuid: (ord_, parent) for ord_, uuid, parent in links}
@@ -150,23 +166,32 @@ class Sequencer(_Timed):
         self.early, self.waiting = (Held(self.maps[m], not held) for m in ("early", "waiting"))
         self.known, self.uuids = Recent(self.maps["known"], s["recent"], s["spilled"]), Recent(self.maps["uuids"], s["recent_uuids"], s["spilled_uuids"])
         self.starts, self.run = None, None
-        came = {r.ord: r.row for r in rows if r.ord >= s["next"]}
-        first, run = s["next"], []
-        fresh: list[tuple[int, dict]] = []
-        while s["next"] in came or self.early.containsKey((s["next"],)):
-            if s["next"] in came:
-                raw = came.pop(s["next"])
+        came = {}
+        for _, ords, texts in rows:
+            # one text for all lines of a run: a call of the parser costs as much as a line
+            read = json.loads(f"[{','.join('null' if text is None else text for text in texts)}]")
+            came.update((ord_, (text, row)) for ord_, text, row in zip(ords, texts, read, strict=True) if ord_ >= s["next"])
+        at = first = s["next"]
+        run, fresh = [], []
+        while True:
+            if at in came:
+                text, row = came.pop(at)
                 if held:
-                    self.early.removeKey((s["next"],))
+                    self.early.removeKey((at,))
+            elif self.early.containsKey((at,)):
+                text = self.early.getValue((at,))[0]
+                row = None if text is None else json.loads(text)
+                self.early.removeKey((at,))
             else:
-                raw = self.early.getValue((s["next"],))[0]
-                self.early.removeKey((s["next"],))
-            run.append(raw)
-            if raw is not None:
-                fresh.append((s["next"], json.loads(raw)))
-            s["next"] += 1
-        for ord_, row in came.items():
-            self.early.updateValue((ord_,), (row,))
+                break
+            # a plan is made of links, so a line without uuid is never read again
+            run.append(text if row and row.get("uuid") is not None else None)
+            if row is not None:
+                fresh.append((at, row))
+            at += 1
+        s["next"] = at
+        for ord_, (text, _) in came.items():
+            self.early.updateValue((ord_,), (text,))
         self._keep(first, run)
         self._follow(s, fresh)
         for state in (self.early, self.uuids, self.known, self.waiting):
@@ -174,15 +199,24 @@ class Sequencer(_Timed):
         s.update({"recent": self.known.recent, "spilled": self.known.spilled, "recent_uuids": self.uuids.recent, "spilled_uuids": self.uuids.spilled})
         self.value.update(tuple(s[c] for c in _SESSION))
         self.touch(timer_values)
-        yield from emitted(self.out, _names(EVENT))
+        yield from self._sent()
+
+    def _sent(self) -> Iterator[Row]:
+        tools_ = [e for e in self.out if e["kind"] == "tool"]
+        sent = list(packs(e for e in self.out if e["kind"] != "tool"))
+        for event in tools_:
+            apart = {c: event.pop(c) for c in TOOL}
+            sent += (pack | apart for pack in packs([event]))
+        return emitted(({"session_id": self.session, **x} for x in sent), _names(SENT))
 
     def _keep(self, first: int, rows: list[str | None]) -> None:
-        """Lines from ``first`` on as runs in state."""
+        """Lines from ``first`` on as runs in state; one without any row isn't kept."""
         start, chars = 0, 0
         for i, raw in enumerate(rows):
             chars += len(raw or "")
             if i + 1 == len(rows) or i + 1 - start == RUN_ROWS or chars >= RUN_CHARS:
-                self.runs.updateValue((first + start,), (rows[start : i + 1],))
+                if chars:
+                    self.runs.updateValue((first + start,), (rows[start : i + 1],))
                 start, chars = i + 1, 0
 
     def _row(self, ord_: int) -> dict:
@@ -246,7 +280,7 @@ class Sequencer(_Timed):
             s["parts"] = False
             self._emit(s, kind="root", segment=s["segment"])
         s["at"] += 1
-        self.out.append({"session_id": self.session, "at": s["at"], "rewinds": s["rewinds"], **row})
+        self.out.append({"at": s["at"], "rewinds": s["rewinds"], **row})
 
     def _fold(self, s: dict, ord_: int, row: dict, root: int, again: bool) -> None:
         s["folded"] += 1
@@ -271,7 +305,7 @@ class Sequencer(_Timed):
             self._call(s, ord_, row, again)
 
     def _call(self, s: dict, ord_: int, row: dict, again: bool) -> None:
-        cr, cc, inp, outp = (row[c] for c in ("cr", "cc", "inp", "outp"))
+        cr, cc, inp, outp = row["cr"], row["cc"], row["inp"], row["outp"]
         call, total, stock = row.get("call") or f"row:{ord_}", cr + cc + inp + outp, cr + cc + inp
         if self.known.containsKey((call,)):
             if total >= self.known.getValue((call,))[0]:
@@ -316,9 +350,11 @@ LEDGER = SEGMENT + ", segment long, rewinds long, lifetime long, applied long, l
 _LEDGER = _names(LEDGER)
 
 
+_SEGMENT = dict.fromkeys(_names(SEGMENT)) | dict.fromkeys(("paths", "prev_b", "bank", "bills", "b"), 0.0) | {"g": EMA_SEED, "micro": 0, "run": 0, "run_cycles": 0, "fired": False, "laps": 0, "n": 0, "peak": 0, "dead": 0, "turn": 0, "read": 0, "out": 0}
+
+
 def _new_segment() -> dict:
-    zero = ("paths", "prev_b", "bank", "bills", "b")
-    return dict.fromkeys(_names(SEGMENT)) | dict.fromkeys(zero, 0.0) | {"g": EMA_SEED, "micro": 0, "run": 0, "run_cycles": 0, "fired": False, "laps": 0, "n": 0, "peak": 0, "dead": 0, "turn": 0, "read": 0, "out": 0}
+    return dict(_SEGMENT)
 
 
 class Ledger(_Timed):
@@ -340,23 +376,24 @@ class Ledger(_Timed):
         self.out: list[dict] = []
         self.session = key[0]
         self._hold(not held)
-        for row in sorted(rows, key=lambda r: r.at):
-            if row.kind == "tool":
-                self._write(s, row.writes or [])
-            elif row.kind == "call":
-                self._call(s, row)
-            elif row.kind == "revision":
-                self.out.append({"session_id": self.session, "kind": "revision", "at": row.at, "rewinds": row.rewinds, "ord": row.ord, "segment": row.segment, "call_id": row.call_id, "tokens": row.tokens})
+        events = [(e["at"], kind, e, writes) for _, kind, pack, writes in rows for e in rows_of(pack)]
+        for at, kind, e, writes in sorted(events, key=lambda x: x[0]):
+            if kind == "tool":
+                self._write(s, writes or [])
+            elif kind == "call":
+                self._call(s, e)
+            elif kind == "revision":
+                self.out.append({"kind": kind} | {c: e[c] for c in ("at", "rewinds", "ord", "segment", "call_id", "tokens")})
             else:
-                self._end(s, row.at, closed=row.kind == "root")
-                s["rewinds"] = row.rewinds
-                if row.kind == "rewind":
-                    self.out.append({"session_id": self.session, "kind": "rewind", "at": row.at, "rewinds": row.rewinds})
+                self._end(s, at, closed=kind == "root")
+                s["rewinds"] = e["rewinds"]
+                if kind == "rewind":
+                    self.out.append({"kind": kind, "at": at, "rewinds": e["rewinds"]})
         for state in (self.lines, self.paths, self.grown):
             state.flush()
         self.value.update(tuple(s[c] for c in _LEDGER))
         self.touch(timer_values)
-        yield from emitted(self.out, _names(CALL))
+        yield from emitted_packs(self.session, self.out)
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
         held = self.value.get()
@@ -366,13 +403,13 @@ class Ledger(_Timed):
             self._end(dict(zip(_LEDGER, held, strict=True)), None)
         for state in (self.value, *self.maps.values()):
             state.clear()
-        yield from emitted(self.out, _names(CALL))
+        yield from emitted_packs(self.session, self.out)
 
     def _end(self, s: dict, at: int | None, closed: bool = True) -> None:
         """The segment ends: its profile and its paths go out, unless a rewind makes them void."""
         if closed and s["n"]:
             self.out.append(_closed(self.session, s) | {"at": at, "rewinds": s["rewinds"], "b_total": s["b"]})
-            place = {"session_id": self.session, "kind": "path", "segment": s["segment"], "at": at, "rewinds": s["rewinds"]}
+            place = {"kind": "path", "segment": s["segment"], "at": at, "rewinds": s["rewinds"]}
             self.out.extend(place | {"path": k[0], "path_tokens": v[4]} for k, v in self.paths.iterator() if v[4] > 0)
         s.update(_new_segment())
         for state in (self.lines, self.paths, self.grown):
@@ -404,14 +441,14 @@ class Ledger(_Timed):
             self.grown.updateValue((path,), ((grown[0] if grown else 0.0) + after - total,))
             s["paths"] += after - total
 
-    def _call(self, s: dict, row) -> None:
-        if row.boundary == "fall":
-            self._end(s, row.at)
-        anchor = s["n"] == 0 or row.folded_seq < s["last_seq"]
-        b, residual = row.dead + s["paths"], None
-        if row.delta_l is not None:
+    def _call(self, s: dict, row: dict) -> None:
+        if row["boundary"] == "fall":
+            self._end(s, row["at"])
+        anchor = s["n"] == 0 or row["folded_seq"] < s["last_seq"]
+        b, residual = row["dead"] + s["paths"], None
+        if row["delta_l"] is not None:
             positive = sum(max(0.0, v[0]) for _, v in self.grown.iterator())
-            up, db = max(0.0, float(row.delta_l)), b - s["prev_b"]
+            up, db = max(0.0, float(row["delta_l"])), b - s["prev_b"]
             behind = max(0.0, up - db)
             retired = min(s["bank"], behind)
             residual = behind - retired
@@ -419,38 +456,46 @@ class Ledger(_Timed):
             s["g"] = EMA_ALPHA * residual + (1 - EMA_ALPHA) * s["g"]
         self.grown.clear()
         before = s["micro"] // 1_000_000
-        position = metered(s, row.l, b, max(s["g"], EMA_FLOOR), _ratio(row.model))
-        if not row.again and row.ord > s["applied"]:
+        position = metered(s, row["l"], b, max(s["g"], EMA_FLOOR), _ratio(row["model"]))
+        if not row["again"] and row["ord"] > s["applied"]:
             s["lifetime"] += position["cycles"] - before
-            s["applied"] = row.ord
-        s.update({"prev_b": b, "b": b, "dead": row.dead, "n": s["n"] + 1, "peak": max(s["peak"], row.l), "turn": row.turn_seq, "segment": row.segment, "last_seq": row.folded_seq, "model": row.model, "read": s["read"] + row.stock, "out": s["out"] + row.outp})
-        s["turn0"] = row.turn_seq if s["turn0"] is None else s["turn0"]
+            s["applied"] = row["ord"]
+        turn, ms = row["turn_seq"], row["ms"]
+        s.update({"prev_b": b, "b": b, "dead": row["dead"], "n": s["n"] + 1, "peak": max(s["peak"], row["l"]), "turn": turn, "segment": row["segment"], "last_seq": row["folded_seq"], "model": row["model"], "read": s["read"] + row["stock"], "out": s["out"] + row["outp"]})
+        s["turn0"] = turn if s["turn0"] is None else s["turn0"]
         if s["amber"] is None and s["br"] is not None and s["br"] >= BR_AMBER:
-            s["amber"] = row.turn_seq
-        if row.ms is not None:
-            s["ts0"], s["ts1"] = (row.ms, row.ms) if s["ts0"] is None else (min(s["ts0"], row.ms), max(s["ts1"], row.ms))
-        self.out.append({
-            "session_id": self.session, "kind": "call", "at": row.at, "rewinds": row.rewinds, "ord": row.ord, "segment": row.segment, "call_id": row.call_id, "folded_seq": row.folded_seq, "turn_seq": row.turn_seq, "miss": row.miss, "l": row.l,
-            "dead": row.dead, "tokens": row.tokens, "b": b, "deferred": s["bank"], "residual": residual, "lifetime": s["lifetime"], "anchor": anchor, **position,
-        })
+            s["amber"] = turn
+        if ms is not None:
+            s["ts0"], s["ts1"] = (ms, ms) if s["ts0"] is None else (min(s["ts0"], ms), max(s["ts1"], ms))
+        told = {c: row[c] for c in ("at", "rewinds", "ord", "segment", "call_id", "folded_seq", "turn_seq", "miss", "l", "dead", "tokens")}
+        self.out.append({"kind": "call"} | told | {"b": b, "deferred": s["bank"], "residual": residual, "lifetime": s["lifetime"], "anchor": anchor} | position)
 
 
 def _kind(df: DataFrame) -> str:
     return df.schema["session_id"].dataType.simpleString()
 
 
+def _sent(lines: DataFrame, timeout: bool) -> DataFrame:
+    use_rocksdb(lines.sparkSession)
+    runs = entry_rows(lines).mapInArrow(_in_runs, f"session_id {_kind(lines)}, ords array<long>, rows array<string>")
+    return runs.groupBy("session_id").transformWithState(Sequencer(IDLE_MS if timeout else None), SENT.format(_kind(lines)), "append", "processingTime" if timeout else "none")
+
+
 def sequenced(lines: DataFrame, timeout: bool = True) -> DataFrame:
     """Calls, revisions, matched tool events, roots and rewinds of a stream of lines (session_id, ord from 0 without gaps, line)."""
-    use_rocksdb(lines.sparkSession)
-    rows = entry_rows(lines)
-    return rows.groupBy("session_id").transformWithState(Sequencer(IDLE_MS if timeout else None), EVENT.format(_kind(lines)), "append", "processingTime" if timeout else "none")
+    return unpacked(_sent(lines, timeout), EVENT.format(_kind(lines)))
+
+
+def live_packs(lines: DataFrame, ascii_ctp: Column, cjk_ctp: Column, timeout: bool = True) -> DataFrame:
+    """The rows of ``live_replay`` as packs (``fold.packs``): who needs few of their kinds or columns reads only those."""
+    sent = _sent(lines, timeout).withColumn("skill_text", F.lit(None).cast("string"))
+    written = sent.select("session_id", "kind", "pack", F.when(F.col("kind") == "tool", tools.writes_of(ascii_ctp, cjk_ctp)).alias("writes"))
+    return written.groupBy("session_id").transformWithState(Ledger(IDLE_MS if timeout else None), PACKED.format(_kind(lines)), "append", "processingTime" if timeout else "none")
 
 
 def live_replay(lines: DataFrame, ascii_ctp: Column, cjk_ctp: Column, timeout: bool = True) -> DataFrame:
     """Calls, revisions, rewinds and closed segments of a stream of lines; ``at`` orders a session's rows, ``rewinds`` counts what made earlier ones void."""
-    events = sequenced(lines, timeout).withColumn("skill_text", F.lit(None).cast("string"))
-    written = events.withColumn("writes", F.when(F.col("kind") == "tool", tools.writes_of(ascii_ctp, cjk_ctp))).drop("input", "result_text", "skill_text", "cwd")
-    return written.groupBy("session_id").transformWithState(Ledger(IDLE_MS if timeout else None), CALL.format(_kind(lines)), "append", "processingTime" if timeout else "none")
+    return unpacked(live_packs(lines, ascii_ctp, cjk_ctp, timeout), CALL.format(_kind(lines)))
 
 
 def residual_uses(events: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from stockline.operators.profiles import PRIORITY, SEGMENT
 
-from .fold import PROFILE
+from .fold import PROFILE, unpacked
 
 STEP = ("session_id", "segment", "folded_seq")
 
@@ -75,7 +75,8 @@ class LiveTables:
     def __init__(self, spark: SparkSession, folder: str, schema: StructType):
         self.spark, self.folder, types = spark, folder, {f.name: f for f in schema.fields}
         # the profile columns of a stream have names of their own; b_total and the keys are the stream's
-        self.profile = StructType([types[c] for c in (*PROFILE, "at", "rewinds")]).add("archive_source", "string").add("archive_priority", "integer")
+        self.closed = StructType([types[c] for c in (*PROFILE, "at", "rewinds")])
+        self.profile = StructType(self.closed.fields).add("archive_source", "string").add("archive_priority", "integer")
         self.step = StructType([types[c] for c in (*STEP, "call_id", "ord", "tokens", "l", "b", "g", "miss", "at", "rewinds")])
         self.path = StructType([types[c] for c in (*SEGMENT, "path", "path_tokens", "at", "rewinds")])
         self.mark = StructType([types[c] for c in ("session_id", "rewinds")])
@@ -83,22 +84,31 @@ class LiveTables:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}", {"profiles": self.profile, "paths": self.path, "steps": self.step, "rewinds": self.mark}[name])
 
+    def _of(self, rows: DataFrame, kind: str, fields: StructType) -> DataFrame:
+        """The batch's rows of one kind; of packs, only theirs are read, and only these columns."""
+        same = rows.where(F.col("kind") == kind)
+        if "pack" in rows.columns:
+            same = unpacked(same, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
+        return same.select(*fields.names)
+
     def write(self, rows: DataFrame, batch: int) -> None:
-        """The batch's rewinds, steps and closed segments. Steps of segments that an earlier batch completed are left out."""
+        """The batch's rewinds, steps and closed segments, of rows of ``live_replay`` or of its packs. Steps of segments that an earlier batch completed are left out."""
         rows = rows.persist()
+        steps = self._of(rows, "call", self.step).persist()
         try:
-            write_batch(rows.where("kind = 'rewind'").select(*self.mark.names), batch, f"{self.folder}/rewinds")
-            key, steps = [*SEGMENT, "rewinds"], rows.where("kind = 'call'").select(*self.step.names)
+            write_batch(self._of(rows, "rewind", self.mark), batch, f"{self.folder}/rewinds")
+            key, kept = [*SEGMENT, "rewinds"], steps
             # few segments get steps after their profile, so the steps of earlier batches are read for those segments alone
             late = self.table("profiles").where(F.col("batch") < batch).join(steps.select(*key).distinct(), key, "left_semi")
             if not late.isEmpty():
                 done = complete_segments(self.table("steps"), late, batch)
-                steps = steps.join(done, key, "left_anti").select(*self.step.names)
-            write_batch(steps, batch, f"{self.folder}/steps", (*STEP, "rewinds"))
-            write_batch(rows.where("kind = 'path'").select(*self.path.names), batch, f"{self.folder}/paths", (*SEGMENT, "rewinds", "path"))
-            closed = rows.where("kind = 'closed'").select(*PROFILE, "at", "rewinds", F.lit("live").alias("archive_source"), F.lit(PRIORITY["live"]).alias("archive_priority"))
+                kept = steps.join(done, key, "left_anti").select(*self.step.names)
+            write_batch(kept, batch, f"{self.folder}/steps", (*STEP, "rewinds"))
+            write_batch(self._of(rows, "path", self.path), batch, f"{self.folder}/paths", (*SEGMENT, "rewinds", "path"))
+            closed = self._of(rows, "closed", self.closed).select(*self.closed.names, F.lit("live").alias("archive_source"), F.lit(PRIORITY["live"]).alias("archive_priority"))
             write_batch(closed, batch, f"{self.folder}/profiles", (*SEGMENT, "rewinds"))
         finally:
+            steps.unpersist()
             rows.unpersist()
 
     def profiles(self) -> DataFrame:
