@@ -35,7 +35,7 @@ PROFILE = (
 #: The state of a session beside its known calls, which are a map of their own.
 STATE = (
     "seq long, turn long, segment long, l long, stock long, dead long, ceiling long, g double, first boolean, burn double, micro long, run long, run_cycles long, fired boolean, n long, peak long, human boolean, "
-    "bills double, laps long, turn0 long, amber long, ts0 long, ts1 long, read long, out long, model string, r double, mf double, pp double, br double, pp_peak double, br_peak double, g_min double, recent map<string,long>, spilled boolean"
+    "bills double, laps long, turn0 long, amber long, ts0 long, ts1 long, read long, out long, model string, r double, mf double, pp double, br double, pp_peak double, br_peak double, g_min double, recent string, spilled boolean"
 )
 #: Keys of a session's map that stay in its value.
 FEW = 128
@@ -109,7 +109,10 @@ def metered(s: dict, length: int, b: float, g: float, r: float) -> dict:
         s["bills"] += cycles - before
         if s["bills"] >= _interval(mf):
             backstop, s["bills"], s["laps"] = True, 0.0, s["laps"] + 1
-    s.update({"r": r, "mf": mf, "pp": pp, "br": br, "pp_peak": _most(s["pp_peak"], pp), "br_peak": _most(s["br_peak"], br), "g_min": g if s["g_min"] is None else min(s["g_min"], g)})
+    s["r"], s["mf"], s["pp"], s["br"] = r, mf, pp, br
+    if pp is not None:
+        s["pp_peak"], s["br_peak"] = _most(s["pp_peak"], pp), _most(s["br_peak"], br)
+    s["g_min"] = g if s["g_min"] is None else min(s["g_min"], g)
     return {"g": g, "burn": burn, "cycles": cycles, "progress": s["micro"] % 1_000_000 / 1_000_000, "deep_water": deep, "gate_fires": fires, "dw_bills": s["bills"], "laps": s["laps"], "backstop_fires": backstop}
 
 
@@ -174,7 +177,10 @@ def emitted(rows: Iterable[dict], columns: list[str]) -> Iterator[Row]:
 
 
 def packs(rows: Iterable[dict]) -> Iterator[dict]:
-    """kind, number and columns (as JSON) of rows of one kind, up to PACK of them: to hand out each row by itself costs Python and Arrow many times a row's own work."""
+    """kind, number and columns (as JSON) of rows of one kind, up to PACK of them: to hand out each row by itself costs Python and Arrow many times a row's own work.
+
+    A column of equal values is told once.
+    """
     alike: dict[tuple, list[dict]] = {}
     for row in rows:
         alike.setdefault((row["kind"], *row), []).append(row)
@@ -182,12 +188,13 @@ def packs(rows: Iterable[dict]) -> Iterator[dict]:
         for i in range(0, len(same), PACK):
             part = same[i : i + PACK]
             columns = zip(*(row.values() for row in part), strict=True)
-            yield {"kind": kind, "n": len(part), "pack": json.dumps({c: values for c, values in zip(names, columns, strict=True) if c not in ("session_id", "kind")})}
+            told = {c: values[:1] if values.count(values[0]) == len(values) else values for c, values in zip(names, columns, strict=True) if c not in ("session_id", "kind")}
+            yield {"kind": kind, "n": len(part), "pack": json.dumps(told)}
 
 
-def rows_of(pack: str) -> Iterator[dict]:
+def rows_of(pack: str, n: int) -> Iterator[dict]:
     columns = json.loads(pack)
-    return (dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True))
+    return (dict(zip(columns, values, strict=True)) for values in zip(*(v if len(v) == n else v * n for v in columns.values()), strict=True))
 
 
 def emitted_packs(session, rows: Iterable[dict]) -> Iterator[Row]:
@@ -200,7 +207,7 @@ def unpacked(packed: DataFrame, schema: str) -> DataFrame:
     told = [(name, kind) for name, kind in fields if name not in packed.columns]
     columns = F.from_json("pack", ", ".join(f"{name} array<{kind}>" for name, kind in told))
     places = F.sequence(F.lit(0), F.col("n") - 1)
-    rows = X.let(columns, lambda p: F.transform(places, lambda i: F.struct(*[F.get(p[name], i).alias(name) for name, _ in told])))
+    rows = X.let(columns, lambda p: F.transform(places, lambda i: F.struct(*[F.get(p[name], i % F.size(p[name])).alias(name) for name, _ in told])))
     return packed.select(*[name for name, _ in fields if name in packed.columns], F.inline(rows)).select(*[name for name, _ in fields])
 
 
@@ -318,7 +325,7 @@ class FoldProcessor(StatefulProcessor):
     def _load(self) -> dict:
         held = self.value.get()
         s = fresh() | (dict(zip(_STATE, held, strict=True)) if held else {})
-        return s | {"known": _Known(Recent(self.known, s.get("recent"), s.get("spilled")))}
+        return s | {"known": _Known(Recent(self.known, json.loads(s.get("recent") or "{}"), s.get("spilled")))}
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
         s, out = self._load(), []
@@ -326,7 +333,7 @@ class FoldProcessor(StatefulProcessor):
             out += step(key[0], s, row)
         known = s["known"].held
         known.flush()
-        s.update({"recent": known.recent, "spilled": known.spilled})
+        s.update({"recent": json.dumps(known.recent), "spilled": known.spilled})
         self.value.update(tuple(s[c] for c in _STATE))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):

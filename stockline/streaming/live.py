@@ -118,13 +118,13 @@ def replay_plan(links: list[tuple[int, str, str | None]]) -> list[tuple[int, int
 #: What the sequencer knows of a session beside its maps. ``folded`` and ``mark`` say which lines were folded, and in which order;
 #: ``opens``: the next call is the first of a root, ``parts``: nothing of that root went out.
 SESSION = "next long, at long, rewinds long, linear boolean, tree boolean, latest string, roots long, folded long, mark long, root long, opens boolean, parts boolean, seq long, turn long, bump boolean, segment long, n long, l long, stock long, dead long, ceiling long, " + (
-    "recent map<string,long>, spilled boolean, recent_uuids map<string,long>, spilled_uuids boolean"
+    "recent string, spilled boolean, recent_uuids string, spilled_uuids boolean"
 )
 _SESSION = _names(SESSION)
 
 
 def _new_session() -> dict:
-    return dict.fromkeys(_SESSION, 0) | {"linear": True, "tree": False, "latest": None, "opens": False, "parts": False, "bump": False, "recent": {}, "recent_uuids": {}, "spilled": False, "spilled_uuids": False}
+    return dict.fromkeys(_SESSION, 0) | {"linear": True, "tree": False, "latest": None, "opens": False, "parts": False, "bump": False, "recent": "{}", "recent_uuids": "{}", "spilled": False, "spilled_uuids": False}
 
 
 class _Timed(StatefulProcessor):
@@ -164,7 +164,7 @@ class Sequencer(_Timed):
         self.out: list[dict] = []
         self.session = key[0]
         self.early, self.waiting = (Held(self.maps[m], not held) for m in ("early", "waiting"))
-        self.known, self.uuids = Recent(self.maps["known"], s["recent"], s["spilled"]), Recent(self.maps["uuids"], s["recent_uuids"], s["spilled_uuids"])
+        self.known, self.uuids = Recent(self.maps["known"], json.loads(s["recent"]), s["spilled"]), Recent(self.maps["uuids"], json.loads(s["recent_uuids"]), s["spilled_uuids"])
         self.starts, self.run = None, None
         came = {}
         for _, ords, texts in rows:
@@ -192,11 +192,12 @@ class Sequencer(_Timed):
         s["next"] = at
         for ord_, (text, _) in came.items():
             self.early.updateValue((ord_,), (text,))
-        self._keep(first, run)
+        if any(run):
+            self._keep(first, run)
         self._follow(s, fresh)
         for state in (self.early, self.uuids, self.known, self.waiting):
             state.flush()
-        s.update({"recent": self.known.recent, "spilled": self.known.spilled, "recent_uuids": self.uuids.recent, "spilled_uuids": self.uuids.spilled})
+        s.update({"recent": json.dumps(self.known.recent), "spilled": self.known.spilled, "recent_uuids": json.dumps(self.uuids.recent), "spilled_uuids": self.uuids.spilled})
         self.value.update(tuple(s[c] for c in _SESSION))
         self.touch(timer_values)
         yield from self._sent()
@@ -207,7 +208,7 @@ class Sequencer(_Timed):
         for event in tools_:
             apart = {c: event.pop(c) for c in TOOL}
             sent += (pack | apart for pack in packs([event]))
-        return emitted(({"session_id": self.session, **x} for x in sent), _names(SENT))
+        return emitted(({"session_id": self.session, **x} for x in sent), _SENT)
 
     def _keep(self, first: int, rows: list[str | None]) -> None:
         """Lines from ``first`` on as runs in state; one without any row isn't kept."""
@@ -290,7 +291,7 @@ class Sequencer(_Timed):
             self.waiting.clear()
         s["root"] = root
         inside = s["segment"] + (s["opens"] and s["seq"] > 0)
-        for b in row.get("blocks") or []:
+        for b in row.get("blocks") or ():
             if b.get("id") is None:
                 continue
             if b["use"]:
@@ -300,15 +301,16 @@ class Sequencer(_Timed):
                 if not (b.get("bad") and name in tools.FILE_TOOLS):
                     self.waiting.removeKey((b["id"],))
                     self._emit(s, kind="tool", ord=ord_, segment=inside, id=b["id"], name=name, input=given, cwd=cwd, result_text=b.get("text"), turns=s["turn"] - turn)
-        s["bump"] = s["bump"] or bool(row.get("turn"))
-        if row.get("used"):
+        s["bump"] = s["bump"] or row["turn"]
+        if row["used"]:
             self._call(s, ord_, row, again)
 
     def _call(self, s: dict, ord_: int, row: dict, again: bool) -> None:
         cr, cc, inp, outp = row["cr"], row["cc"], row["inp"], row["outp"]
         call, total, stock = row.get("call") or f"row:{ord_}", cr + cc + inp + outp, cr + cc + inp
-        if self.known.containsKey((call,)):
-            if total >= self.known.getValue((call,))[0]:
+        known = self.known.getValue((call,))
+        if known:
+            if total >= known[0]:
                 self.known.updateValue((call,), (total,))
                 self._emit(s, kind="revision", ord=ord_, segment=s["segment"], call_id=call, tokens=total, ms=row.get("ms"))
             return
@@ -350,6 +352,7 @@ LEDGER = SEGMENT + ", segment long, rewinds long, lifetime long, applied long, l
 _LEDGER = _names(LEDGER)
 
 
+_SENT = _names(SENT)
 _SEGMENT = dict.fromkeys(_names(SEGMENT)) | dict.fromkeys(("paths", "prev_b", "bank", "bills", "b"), 0.0) | {"g": EMA_SEED, "micro": 0, "run": 0, "run_cycles": 0, "fired": False, "laps": 0, "n": 0, "peak": 0, "dead": 0, "turn": 0, "read": 0, "out": 0}
 
 
@@ -376,7 +379,7 @@ class Ledger(_Timed):
         self.out: list[dict] = []
         self.session = key[0]
         self._hold(not held)
-        events = [(e["at"], kind, e, writes) for _, kind, pack, writes in rows for e in rows_of(pack)]
+        events = [(e["at"], kind, e, writes) for _, kind, n, pack, writes in rows for e in rows_of(pack, n)]
         for at, kind, e, writes in sorted(events, key=lambda x: x[0]):
             if kind == "tool":
                 self._write(s, writes or [])
@@ -447,7 +450,7 @@ class Ledger(_Timed):
         anchor = s["n"] == 0 or row["folded_seq"] < s["last_seq"]
         b, residual = row["dead"] + s["paths"], None
         if row["delta_l"] is not None:
-            positive = sum(max(0.0, v[0]) for _, v in self.grown.iterator())
+            positive = sum([max(0.0, v[0]) for _, v in self.grown.iterator()])
             up, db = max(0.0, float(row["delta_l"])), b - s["prev_b"]
             behind = max(0.0, up - db)
             retired = min(s["bank"], behind)
@@ -467,8 +470,10 @@ class Ledger(_Timed):
             s["amber"] = turn
         if ms is not None:
             s["ts0"], s["ts1"] = (ms, ms) if s["ts0"] is None else (min(s["ts0"], ms), max(s["ts1"], ms))
-        told = {c: row[c] for c in ("at", "rewinds", "ord", "segment", "call_id", "folded_seq", "turn_seq", "miss", "l", "dead", "tokens")}
-        self.out.append({"kind": "call"} | told | {"b": b, "deferred": s["bank"], "residual": residual, "lifetime": s["lifetime"], "anchor": anchor} | position)
+        self.out.append({
+            "kind": "call", "at": row["at"], "rewinds": row["rewinds"], "ord": row["ord"], "segment": row["segment"], "call_id": row["call_id"], "folded_seq": row["folded_seq"], "turn_seq": turn, "miss": row["miss"], "l": row["l"],
+            "dead": row["dead"], "tokens": row["tokens"], "b": b, "deferred": s["bank"], "residual": residual, "lifetime": s["lifetime"], "anchor": anchor, **position,
+        })
 
 
 def _kind(df: DataFrame) -> str:
@@ -489,7 +494,7 @@ def sequenced(lines: DataFrame, timeout: bool = True) -> DataFrame:
 def live_packs(lines: DataFrame, ascii_ctp: Column, cjk_ctp: Column, timeout: bool = True) -> DataFrame:
     """The rows of ``live_replay`` as packs (``fold.packs``): who needs few of their kinds or columns reads only those."""
     sent = _sent(lines, timeout).withColumn("skill_text", F.lit(None).cast("string"))
-    written = sent.select("session_id", "kind", "pack", F.when(F.col("kind") == "tool", tools.writes_of(ascii_ctp, cjk_ctp)).alias("writes"))
+    written = sent.select("session_id", "kind", "n", "pack", F.when(F.col("kind") == "tool", tools.writes_of(ascii_ctp, cjk_ctp)).alias("writes"))
     return written.groupBy("session_id").transformWithState(Ledger(IDLE_MS if timeout else None), PACKED.format(_kind(lines)), "append", "processingTime" if timeout else "none")
 
 

@@ -35,7 +35,7 @@ def test_packs_hold_every_row_and_value(spark):
     given += [{"session_id": 1, "kind": "closed", "at": 7, "x_axis": 1e-300}, {"session_id": 1, "kind": "closed", "at": 8, "x_axis": None}, {"kind": "rewind", "at": 9}]
     packed = list(fold.packs(given))
     assert [p["n"] for p in packed] == [256, 256, 88, 2, 1]
-    assert [dict(r, kind=p["kind"]) for p in packed for r in fold.rows_of(p["pack"])] == [{k: v for k, v in r.items() if k != "session_id"} for r in given]
+    assert [dict(r, kind=p["kind"]) for p in packed for r in fold.rows_of(p["pack"], p["n"])] == [{k: v for k, v in r.items() if k != "session_id"} for r in given]
     frame = spark.createDataFrame([(1, p["kind"], p["n"], p["pack"]) for p in packed], fold.PACKED.format("long"))
     got = fold.unpacked(frame, live.CALL.format("long"))
     assert got.schema.names == live._names(live.CALL)
@@ -48,7 +48,7 @@ def test_a_session_leaves_python_in_few_rows():
     usage = Row("session_id", "ord", "message_id", "model", "cr", "cc", "inp", "outp", "human_turn", "ms")
     processor, _ = started(fold.FoldProcessor(None))
     out = list(processor.handleInputRows((1,), iter([usage(1, i, f"m{i}", "claude", 20_000 - 15_000 * (i % 40 == 39) + i, 5, 1, 1, False, i) for i in range(200)]), None))
-    told = [(r.kind, x) for r in out for x in fold.rows_of(r.pack)]
+    told = [(r.kind, x) for r in out for x in fold.rows_of(r.pack, r.n)]
     assert sum(k == "call" for k, _ in told) == 200 and sum(k == "closed" for k, _ in told) > 3 and len(out) < 5
 
     line = lambda i, **more: json.dumps({"call": f"m{i}", "ms": i, "model": "claude", "cr": 20_000 + i, "cc": 5, "inp": 1, "outp": 1, "used": True, "turn": False} | more)
@@ -58,8 +58,8 @@ def test_a_session_leaves_python_in_few_rows():
     # nothing is read again of lines without a tree: neither they nor their few calls are keys of a map
     assert not any(m.calls for m in maps.values())
     ledger, _ = started(live.Ledger(None))
-    got = list(ledger.handleInputRows((1,), iter([(1, r.kind, r.pack, None) for r in sent]), None))
-    assert len(got) == 1 and [x["ord"] for x in fold.rows_of(got[0].pack)] == list(range(120))
+    got = list(ledger.handleInputRows((1,), iter([(1, r.kind, r.n, r.pack, None) for r in sent]), None))
+    assert len(got) == 1 and [x["ord"] for x in fold.rows_of(got[0].pack, got[0].n)] == list(range(120))
 
     processor, maps = started(live.Sequencer(None))
     list(processor.handleInputRows((1,), iter([(1, [0, 1], [line(0, uuid="a"), line(1, uuid="b", parent="a")])]), None))
